@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, mixing, quality_rules
+from quire.llm import decontaminate, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, token_tables, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_table(spark, sf_dir, "documents"))
 
@@ -25,10 +29,31 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.report(_table(spark, sf_dir, "pages"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tables.report(_table(spark, sf_dir, "documents"), token_tables.public_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_warc": op3_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_token_tables": op10_token_tables,
 }
 
 ORACLE_SQL: dict[str, str] = {}
