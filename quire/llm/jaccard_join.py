@@ -1,16 +1,15 @@
 """Similarity join of word n-gram sets by Jaccard, exact, with signature trees.
 
 1. Equal sets are one: each document gets the hash of its set.
-2. Candidate groups. With any fixed order of shingles, two sets that link share one among the first
-   |x| - ceil(t |x|) + 1 shingles of each. These prefixes are dealt out by shingle; sets with a prefix shingle
-   in common and sizes within t of each other, directly or over further ones, form a group. Shingles
-   that are frequent in a bounded sample of documents come last in the order: this makes groups
-   small, and any order gives all links.
-3. Within a group a signature tree holds in each node the OR of its sets' token bitmaps, their size
-   range and slack (size less bits set). Two nodes traverse together, and are left when their
-   greatest possible overlap is too small for their smallest sizes, or when all their sets are connected
-   already. Pairs that remain are compared exactly.
-4. A group with too many shingles for one task is cut into blocks, and every two blocks meet in a task; the links
+2. A set can only link if at least t |x| of its shingles are in another set too. All shingles are dealt out by hash
+   once, counted over distinct sets, and for each set the shared ones are summed. The sets that pass are active.
+3. Candidate groups. Two sets that link share one of the first |x| - ceil(t |x|) + 1 shingles of each, in the order of
+   their hashes. Active sets with such a shingle in common and sizes within t of each other, directly
+   or over further ones, form a group.
+4. Within a group a signature tree holds in each node the OR of its sets' token bitmaps, their size range and slack
+   (size less bits set). Two nodes traverse together, and are left when their greatest possible overlap is
+   too small for their smallest sizes, or when all their sets are connected already. Pairs that remain are compared exactly.
+5. A group with too many shingles for one task is cut into blocks, and every two blocks meet in a task; the links
    found are joined to components again.
 
 Only links that connect are needed for the components, so a group of near copies takes about one comparison a set.
@@ -22,45 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import shared
 from quire.llm.components import components
+from quire.llm.shingles import set_id, sets
 
-_A, _M1, _M2 = np.uint64(0xD1342543DE82EF95), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_words: dict[bytes, int] = {}
 LEAF, FANOUT = 16, 8
-SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 20_000, 8, 200_000
-TASK_SHINGLES = 8_000_000
-
-
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """The distinct n-word shingles of a whole text as sorted 64-bit hashes; all words as one if fewer than n."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_words) > 500_000:
-        _words.clear()
-    for w in words:
-        if w not in _words:
-            _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter((_words[w] for w in words), np.uint64, len(words))
-    k = min(n, len(h))
-    with np.errstate(over="ignore"):
-        g = h[: len(h) - k + 1] + np.uint64(k)
-        for i in range(1, k):
-            g = g * _A + h[i : len(h) - k + 1 + i]
-        g = (g ^ g >> np.uint64(30)) * _M1
-        g = (g ^ g >> np.uint64(27)) * _M2
-        g ^= g >> np.uint64(31)
-    return np.unique(g)
-
-
-def set_id(s: np.ndarray) -> int | None:
-    """A signed 64-bit hash of a set, None for the empty one."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s) & 0xFFFFFFFF)))) if len(s) else None
+TASK_SHINGLES, BUCKET_SHINGLES, BROADCAST_ROWS = 8_000_000, 16_000_000, 500_000
 
 
 def prefix_length(size: int, num: int) -> int:
@@ -152,72 +121,108 @@ class Tree:
         return out
 
 
-def frequent_shingles(docs: DataFrame, n: int, key: str, text_col: str) -> np.ndarray:
-    """Shingles in at least FREQUENT of at most SAMPLE_DOCS documents. They only settle the order of shingles, on
-    which speed depends and results don't."""
-    rows = docs.count()
-    if rows == 0:
-        return np.empty(0, np.uint64)
-    part = docs if rows <= SAMPLE_DOCS else docs.filter(F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(1 << 20)) < int((1 << 20) * SAMPLE_DOCS / rows))
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+def _set_rows(docs: DataFrame, n: int, key: str, text_col: str) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for t in b.column("_text"):
-                s = shingle_set(t.as_py(), n)
-                h = xxhash.xxh3_128_digest(s.tobytes())
-                if h not in seen:  # copies count once
-                    seen.add(h)
-                    found.append(s)
-            g, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
-            keep = c > 1  # a frequent one is in a batch several times
-            yield pa.RecordBatch.from_arrays([pa.array(g[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["g", "c"])
-
-    counts = part.select(F.col(text_col).alias("_text")).mapInArrow(local, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
-    top = counts.orderBy(F.desc("c"), "g").limit(MAX_FREQUENT).collect()
-    return np.sort(np.array([r["g"] for r in top], np.int64).view(np.uint64))
+            found = [(len(s), set_id(s)) for s in sets(b.column("_text"), n)]
+            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("th"), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["_k", "th", "n", "sid"])
 
+    d = docs.select(F.col(key).alias("_k"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("_text"))
+    return d.mapInArrow(rows, f"_k {docs.schema[key].dataType.simpleString()}, th long, n long, sid long")
 
-def _set_rows(docs: DataFrame, n: int, key: str, text_col: str) -> DataFrame:
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _shared_counts(docs: DataFrame, n: int, buckets: int, text_col: str) -> DataFrame:
+    """Rows (sid, shared): of each set, how many shingles another set has too, never too few.
+
+    A bucket gets, packed per batch, each set's id, its number of shingles there and their low 32 bits.
+    """
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            own, ids = [], []
+            for s in sets(b.column("_text"), n):
+                i = set_id(s)
+                if i is not None and i not in seen:
+                    if len(seen) > 2_000_000:
+                        seen.clear()
+                    seen.add(i)
+                    own.append(s)
+                    ids.append(i)
+            if not own:
+                continue
+            g, sid = np.concatenate(own), np.array(ids, np.int64)
+            of = np.repeat(np.arange(len(own)), [len(s) for s in own])
+            where = (g >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(where, kind="stable")
+            g, of, where = (g[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), of[order], where[order].astype(np.int64)
+            at = np.append(np.flatnonzero(np.r_[True, where[1:] != where[:-1]]), len(where))
+            blobs = []
+            for p, q in zip(at[:-1], at[1:]):
+                x = of[p:q]
+                edge = np.append(np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x))
+                blobs.append(b"".join([len(edge[1:]).to_bytes(4, "little"), sid[x[edge[:-1]]].tobytes(), np.diff(edge).astype("<u4").tobytes(), g[p:q].tobytes()]))
+            yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+
+    def counted(held: list[bytes]) -> pa.RecordBatch:
+        sids, counts, grams = [], [], []
+        for x in held:
+            m = int.from_bytes(x[:4], "little")
+            sids.append(np.frombuffer(x, "<i8", m, 4))
+            counts.append(np.frombuffer(x, "<u4", m, 4 + 8 * m))
+            grams.append(np.frombuffer(x, "<u4", -1, 4 + 12 * m))
+        sid, count, g = np.concatenate(sids), np.concatenate(counts), np.concatenate(grams)
+        first = np.zeros(len(sid), bool)  # copies met in other tasks count once
+        first[np.unique(sid, return_index=True)[1]] = True
+        g, sid, count = g[np.repeat(first, count)], sid[first], count[first]
+        order = np.argsort(g, kind="stable")
+        s = g[order]
+        same = s[1:] == s[:-1]
+        twice = np.zeros(len(s), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        n_shared = np.bincount(np.repeat(np.arange(len(sid)), count)[order[twice]], minlength=len(sid))
+        keep = n_shared > 0
+        return pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array(n_shared[keep].astype(np.int64))], names=["sid", "shared"])
+
+    spread = docs.select(F.col(text_col).alias("_text")).mapInArrow(dealt, "bucket long, rows binary")
+    return spread.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(counted), "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared"))
+
+
+def _by_bucket(each):
+    """Gathers a sorted partition's rows by bucket; ``each`` makes a batch of the packed rows of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
         for b in batches:
-            s = [shingle_set(t.as_py(), n) for t in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("th"), pa.array([len(x) for x in s], pa.int64()), pa.array([set_id(x) for x in s], pa.int64())], names=["_k", "th", "n", "sid"])
+            for k, r in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist()):
+                if k != now and held:
+                    yield each(held)
+                    held = []
+                now = k
+                held.append(r)
+        if held:
+            yield each(held)
 
-    d = docs.select(F.col(key).alias("_k"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("_text"))
-    return d.mapInArrow(sets, f"_k {docs.schema[key].dataType.simpleString()}, th long, n long, sid long")
+    return run
 
 
-def _candidates(docs: DataFrame, n: int, num: int, frequent: np.ndarray, buckets: int, text_col: str) -> DataFrame:
-    """Edges (a, b) between set ids that connect the candidate groups."""
+def _candidates(docs: DataFrame, n: int, num: int, buckets: int) -> DataFrame:
+    """Edges (a, b) between set ids of (sid, _text) that connect the candidate groups."""
     posting = np.dtype([("g", "<u4"), ("sid", "<i8"), ("n", "<u4")])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b in batches:
             parts, where = [], []
-            for t in b.column("_text"):
-                s = shingle_set(t.as_py(), n)
-                i = set_id(s)
-                if i is None or i in seen:
+            for i, s in zip(b.column("sid").to_pylist(), sets(b.column("_text"), n)):
+                if i != set_id(s):  # another text with the same document id
                     continue
-                if len(seen) > 2_000_000:
-                    seen.clear()
-                seen.add(i)
-                p = prefix_length(len(s), num)
-                if len(frequent):
-                    last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    head = s[~last][:p]
-                    s = np.concatenate([head, s[last][: p - len(head)]])
-                    size = len(last)
-                else:
-                    size = len(s)
-                s = s[:p]
-                row = np.empty(len(s), posting)
-                row["g"], row["sid"], row["n"] = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32), i, size
+                head = s[: prefix_length(len(s), num)]
+                row = np.empty(len(head), posting)
+                row["g"], row["sid"], row["n"] = (head & np.uint64(0xFFFFFFFF)).astype(np.uint32), i, len(s)
                 parts.append(row)
-                where.append(((s >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+                # the hashes are the smallest of a set, so their high bits don't spread
+                where.append((head % np.uint64(0xFFFFFFFB) % np.uint64(buckets)).astype(np.int64))
             if not parts:
                 continue
             rows, w = np.concatenate(parts), np.concatenate(where)
@@ -226,18 +231,6 @@ def _candidates(docs: DataFrame, n: int, num: int, frequent: np.ndarray, buckets
             at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array([x.tobytes() for x in np.split(rows, at[1:])], pa.binary())], names=["bucket", "rows"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for b in batches:
-            for k, r in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist()):
-                if k != now and held:
-                    yield edges(held)
-                    held = []
-                now = k
-                held.append(r)
-        if held:
-            yield edges(held)
-
     def edges(held: list[bytes]) -> pa.RecordBatch:
         r = np.frombuffer(b"".join(held), posting)
         r = r[np.lexsort((r["sid"], r["n"], r["g"]))]
@@ -256,15 +249,14 @@ def _candidates(docs: DataFrame, n: int, num: int, frequent: np.ndarray, buckets
             p, q = find(p), find(q)
             if p != q:
                 root[max(p, q)] = min(p, q)
-        e = [(x, find(x)) for x in root if find(x) != x]
+        e = [(x, find(x)) for x in list(root) if find(x) != x]
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], names=["a", "b"])
 
-    dealt = docs.select(F.col(text_col).alias("_text")).mapInArrow(prefixes, "bucket long, rows binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    return docs.select("sid", "_text").mapInArrow(prefixes, "bucket long, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(edges), "a long, b long")
 
 
-def _within(docs: DataFrame, groups: DataFrame, n: int, num: int, key: str, text_col: str) -> DataFrame:
-    """Edges (a, b), a set and the first of its component, found in the groups (_k, sid, comp, i, j)."""
+def _within(rows: DataFrame, n: int, num: int) -> DataFrame:
+    """Edges (a, b), a set and the first of its component, found in the groups of rows (comp, i, j, sid, _text)."""
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -282,21 +274,16 @@ def _within(docs: DataFrame, groups: DataFrame, n: int, num: int, key: str, text
             return x
 
         for b in batches:
-            for comp, i, j, sid, t in zip(*(b.column(c) for c in ("comp", "i", "j", "sid", "_text"))):
-                task = comp.as_py(), i.as_py(), j.as_py()
-                if task != now:
+            for comp, i, j, sid, s in zip(*(b.column(c).to_pylist() for c in ("comp", "i", "j", "sid")), sets(b.column("_text"), n)):
+                if (comp, i, j) != now:
                     close()
-                    now = task
-                s = shingle_set(t.as_py(), n)
-                if set_id(s) == sid.as_py():  # else another text with the same document id
-                    held[sid.as_py()] = s
+                    now = comp, i, j
+                if set_id(s) == sid:  # else another text with the same document id
+                    held[sid] = s
             yield batch()
         close()
         yield batch()
 
-    d = docs.select(F.col(key).alias("_k"), F.col(text_col).alias("_text"))
-    g = groups.withColumnRenamed("_k", "_gk")
-    rows = d.join(g, d["_k"].eqNullSafe(g["_gk"])).select("comp", "i", "j", "sid", "_text")
     return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(trees, "a long, b long")
 
 
@@ -311,17 +298,24 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, key: str = "doc_id", tex
     ids = shared.written(_set_rows(docs, n, key, text_col), "sets")
     reps = shared.written(ids.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("_k").alias("rep"), F.first("n").alias("n")), "reps")
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(64, total * (100 - num) // 100 * 16 // (4 << 20))
-    frequent = frequent_shingles(docs, n, key, text_col)
-    groups = shared.written(components(_candidates(docs, n, num, frequent, buckets, text_col)), "groups")
-    active = groups.join(reps, groups["node"] == reps["sid"]).select(F.col("rep").alias("_k"), "sid", F.col("root").alias("comp"), "n")
-    sizes = shared.written(active.groupBy("comp").agg(F.expr(f"cast(ceil(sum(n) / {TASK_SHINGLES}) as int)").alias("blocks")), "group-sizes")
-    cut = active.join(sizes, "comp").withColumn("own", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
+    buckets = max(12, -(-total // BUCKET_SHINGLES))
+    active = _shared_counts(docs, n, buckets, text_col).join(reps, "sid").filter(f"100 * shared >= {num} * n")
+    active = shared.written(active.select("sid", F.col("rep").alias("_k"), F.col("n").alias("_n")), "active")
+    few = active.count() <= BROADCAST_ROWS
+    d = docs.select(F.col(key).alias("_dk"), F.col(text_col).alias("_text"))
+    a = F.broadcast(active) if few else active
+    texts = shared.written(d.join(a, d["_dk"].eqNullSafe(a["_k"])).select("sid", "_n", "_text"), "active-texts")
+    groups = shared.written(components(_candidates(texts, n, num, max(12, total * (100 - num) // 100 // BUCKET_SHINGLES))), "groups")
+    sized = groups.join(active, groups["node"] == active["sid"]).groupBy(F.col("root").alias("comp")).agg(F.expr(f"cast(ceil(sum(_n) / {TASK_SHINGLES}) as int)").alias("blocks"))
+    sized = shared.written(sized, "group-sizes")
+    cut = shared.written(groups.join(sized, groups["root"] == sized["comp"]).select("node", "comp", "blocks"), "tasks")
+    cut = cut.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     cut = cut.withColumn("other", F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x != own))")))
-    cut = cut.select("_k", "sid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = shared.written(_within(docs, shared.written(cut, "tasks"), n, num, key, text_col), "links")
-    if sizes.filter("blocks > 1").limit(1).count():
-        links = components(links).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    cut = cut.select("node", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = texts.join(cut, texts["sid"] == cut["node"]).select("comp", "i", "j", "sid", "_text")
+    links = shared.written(_within(rows, n, num), "links")
+    if sized.filter("blocks > 1").limit(1).count():
+        links = shared.written(components(links).select(F.col("node").alias("a"), F.col("root").alias("b")), "links")
     joined = links.select(F.col("a").alias("sid"), F.col("b").alias("root")).union(links.select(F.col("b").alias("sid"), F.col("b").alias("root"))).distinct()
     joined = shared.written(joined.join(reps, "sid").select("sid", "root", "rep"), "joined")
     least = shared.written(joined.groupBy("root").agg(F.min("rep").alias("least")), "least")
