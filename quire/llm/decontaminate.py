@@ -22,7 +22,8 @@ from quire.llm import shared
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of letters, digits and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: The same before A-Z are lower-cased.
+RAW_WORD, NOT_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 ANCHOR = 3
 
 
@@ -148,6 +149,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         raise ValueError(f"no such mode: {mode}")
     t = F.col(text_col)
     lead = F.regexp_extract(t, f"^{NOT_WORD}*", 0)
-    pieces = F.regexp_extract_all(t, F.lit(WORD + NOT_WORD + "*"), F.lit(0))
+    pieces = F.regexp_extract_all(t, F.lit(RAW_WORD + NOT_WORD + "*"), F.lit(0))
     cut = F.concat(lead, F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("_p", i)), ""))
     return d.join(h, same, "left").withColumn(text_col, F.when(F.col("_p").isNull(), t).otherwise(cut)).drop("_dth", "_k", "_th", "_p")
