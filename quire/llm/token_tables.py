@@ -18,6 +18,7 @@ Tasks name their files by attempt; only files in the manifest, which holds those
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -218,40 +220,79 @@ class Reader:
         return found
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level tokenizers write a byte that prints as itself, the others as the letters from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(prints)]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
+
+
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
 class Encoder:
-    """Ids of whole texts, by the tokenizers library.
+    """Ids of whole texts, by the tokenizers library, as little-endian uint16 or uint32.
 
     Where ``split`` says that the tokenizer treats the pieces between spaces and line feeds each by
-    itself, as one that drops white space does, pieces are encoded once and kept.
+    itself, as one that drops white space does, pieces are encoded once and kept. Of new pieces in Latin letters,
+    which normalising only lower-cases, the words are cut by the tokenizer's own pattern and given
+    to its model, each once; other new pieces are encoded whole.
     """
 
-    KEPT, LONGEST = 400_000, 48
+    KEPT = 700_000
 
-    def __init__(self, path: str, end_id: int, split: bool):
+    def __init__(self, path: str, end_id: int, split: bool, width: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.split = Tokenizer.from_file(path), struct.pack("<I", end_id), split
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.split = Tokenizer.from_file(path), split
+        self.model = self.tokenizer.model
+        if split:
+            self.word = regex.compile(_file(path)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.kind = np.dtype("<u2" if width == 2 else "<u4")
+        self.end = np.array([end_id], self.kind).tobytes()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers, self.ids, self.words = _Numbers(), [], {}
+        self.numbers.new = []
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> bytes:
+        if piece and (max(piece) >= "\u0180" or "\u0130" in piece or self.special.search(piece)):
+            return self._library([piece])[0]
+        out = []
+        for w in self.word.findall(piece.lower()):
+            ids = self.words.get(w)
+            if ids is None:
+                tokens = self.model.tokenize(w.encode("utf-8").decode("latin-1").translate(_BYTES))
+                ids = self.words[w] = np.array([t.id for t in tokens], self.kind).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian uint32, the end id last."""
+        """Per text its ids, the end id last."""
         if not self.split:
             return [x + self.end for x in self._library(texts)]
-        known = self.known
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for ps in pieces for p in ps} - known.keys())
-        if len(known) + len(new) > self.KEPT:
-            known.clear()
-            new = list({p for ps in pieces for p in ps})
-        known.update(zip(new, self._library(new)))
-        out = [b"".join([known[p] for p in ps]) + self.end for ps in pieces]
-        for p in new:
-            if len(p) > self.LONGEST:
-                del known[p]
-        return out
+        if len(self.ids) > self.KEPT:
+            self._clear()
+        number = self.numbers.__getitem__
+        found = [list(map(number, t.replace("\n", " ").split(" "))) for t in texts]
+        self.ids += map(self._piece, self.numbers.new)
+        self.numbers.new.clear()
+        of = self.ids.__getitem__
+        return [b"".join(map(of, f)) + self.end for f in found]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -263,18 +304,23 @@ def encoder(*args) -> Encoder:
     return _encoders[args]
 
 
-def drops_space(path: str) -> bool:
-    """Whether a tokenizer file splits by a pattern that leaves white space out, so that it never looks across a space."""
-    import json
-
+def _file(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
-        t = json.load(f)
-    steps = (t.get("pre_tokenizer") or {}).get("pretokenizers", [t.get("pre_tokenizer") or {}])
-    first = steps[0] if steps else {}
-    pattern = (first.get("pattern") or {}).get("Regex", "")
+        return json.load(f)
+
+
+def drops_space(path: str) -> bool:
+    """Whether a tokenizer file never looks across white space, which it drops: it lower-cases, keeps the matches of
+    a pattern without spaces, maps their bytes and gives each to a byte-pair model."""
+    t = _file(path)
+    steps = (t.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    kinds = [x["type"] for x in steps]
+    normalizers = [x["type"] for x in (t.get("normalizer") or {}).get("normalizers", [])]
+    if kinds != ["Split", "ByteLevel"] or normalizers != ["NFC", "Replace", "Lowercase"] or t["model"]["type"] != "BPE" or t["model"].get("dropout"):
+        return False
+    cut, mapped = steps
     added = all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] and not re.search(r"\s", x["content"]) for x in t.get("added_tokens", []))
-    normalizers = {x["type"] for x in (t.get("normalizer") or {}).get("normalizers", [])}
-    return added and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and " " not in pattern and r"[^\s\p{L}\p{N}]" in pattern and normalizers <= {"NFC", "Replace", "Lowercase"}
+    return added and cut["behavior"] == "Removed" and cut["invert"] and not mapped["add_prefix_space"] and not mapped["use_regex"] and r"[^\s\p{L}\p{N}]" in cut["pattern"].get("Regex", "")
 
 
 def _vocabulary(path: str) -> int:
@@ -296,7 +342,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
     fs.create_dir(base)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, end_id, split)
+        encode = encoder(tokenizer, end_id, split, width)
         fs, base = shared.file_system(folder)
         task = TaskContext.get()
         part, attempt, seq, writer, path, size, rows = task.partitionId(), task.taskAttemptId(), 0, None, "", 0, []
@@ -318,9 +364,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
                     if writer is None:
                         path, size = f"{base}/part-{part:06d}-{attempt}-{seq:04d}.sst", 0
                         writer = Writer(fs.open_output_stream(path), width)
-                    value = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
-                    writer.add(encode_key(k), value)
-                    size += len(value)
+                    writer.add(encode_key(k), ids)
+                    size += len(ids)
         if writer:
             close()
         if rows:
