@@ -12,7 +12,9 @@
 5. A group with too many shingles for one task is cut into blocks, and every two blocks meet in a task; the links
    found are joined to components again.
 
-Only links that connect are needed for the components, so a group of near copies takes about one comparison a set.
+For the components alone (``classes``) only links that connect are needed, so a group of near copies takes about one
+comparison a set. ``links`` counts and ``pairs`` gives every link: node pairs are left by the bound alone, and the sets
+below two lowest nodes are compared at once.
 """
 
 from __future__ import annotations
@@ -115,11 +117,66 @@ class Tree:
             x, y = x[keep], y[keep]
             ok = self.possible(level - 1, x, y)
             todo += [(level - 1, p, q) for p, q in zip(x[ok].tolist()[::-1], y[ok].tolist()[::-1])]
+        return self._firsts()
+
+    def _firsts(self) -> list[int]:
         out = [0] * len(self.sets)
         for place, original in enumerate(self.order):
             out[original] = self.order[self.find(place)]
         return out
 
+    def _leaf_pairs(self) -> Iterator[tuple[int, int]]:
+        """The pairs of lowest nodes with sets that could link, those of one left node in a row."""
+        x = y = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, 1, -1):
+            fan, below = self.fan[level - 1], len(self.levels[level - 1][1])
+            step = np.arange(fan)
+            kept = []
+            for at in range(0, len(x), 1024):
+                p = np.repeat(x[at : at + 1024, None] * fan + step, fan, 1).ravel()
+                q = np.tile(y[at : at + 1024, None] * fan + step, fan).ravel()
+                ok = (p <= q) & (q < below)
+                p, q = p[ok], q[ok]
+                for k in range(0, len(p), 4096):
+                    ok = self.possible(level - 1, p[k : k + 4096], q[k : k + 4096])
+                    kept.append(np.stack([p[k : k + 4096][ok], q[k : k + 4096][ok]]))
+            x, y = np.concatenate(kept, 1) if kept else (x[:0], y[:0])
+        order = np.lexsort((y, x))
+        yield from zip(x[order].tolist(), y[order].tolist())
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Every link once: (places, places, shingles in common), in batches, by the order given. Joins the sets, too."""
+        order, n = np.array(self.order), self.levels[0][1]
+        if len(n) < 2:
+            return
+        now = None
+        for i, j in self._leaf_pairs():
+            left, right = self.span(1, i), self.span(1, j)
+            if i != now:
+                now, own = i, [self.sets[k] for k in left]
+                words = np.unique(np.concatenate(own))
+                a = np.zeros((len(left), len(words)), np.float32)
+                for row, s in zip(a, own):
+                    row[np.searchsorted(words, s)] = 1
+            x, y = np.repeat(np.array(left), len(right)), np.tile(np.array(right), len(left))
+            ok = self.possible(0, x, y) & (x < y)
+            if not ok.any():
+                continue
+            s = np.concatenate([self.sets[k] for k in right])
+            at = np.searchsorted(words, s)
+            hit = words[np.minimum(at, len(words) - 1)] == s
+            b = np.zeros((len(right), len(words)), np.float32)
+            b[np.repeat(np.arange(len(right)), n[right.start : right.stop])[hit], at[hit]] = 1
+            common = (a @ b.T).astype(np.int64).ravel()  # exact up to 2 ** 24
+            ok &= 100 * common >= self.num * (n[x] + n[y] - common)
+            x, y, common = x[ok], y[ok], common[ok]
+            if len({self.find(k) for k in (*left, *right)}) > 1:
+                for p, q in zip(x.tolist(), y.tolist()):
+                    p, q = self.find(p), self.find(q)
+                    self.root[max(p, q)] = min(p, q)
+            if len(x):
+                yield order[x], order[y], common
+
 
 def _set_rows(docs: DataFrame, n: int, key: str, text_col: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,14 +344,76 @@ def _within(rows: DataFrame, n: int, num: int) -> DataFrame:
     return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(trees, "a long, b long")
 
 
-def classes(docs: DataFrame, n: int = 5, num: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: key, n_shingles, component_id, text_hash.
+def _all_within(rows: DataFrame, n: int, num: int, each: bool) -> DataFrame:
+    """Of every link in the groups of rows (comp, i, j, own, sid, _text): with ``each`` rows (a, b, common), one a link; else
+    rows (a, b, n): a set, the first of its component in the task, and how many links of it are counted there.
 
-    Two rows link when 100 * intersection >= num * union of their sets of n-word shingles. component_id is
-    the smallest key reachable by links. A row without words has an empty set, no links and its own
-    key. Rows with equal ids are rows of their own. Keys that are null don't count for the smallest
-    unless there are no others.
+    Two sets of one block meet in several tasks; their links count in the first: (0, 1) for block 0, (0, k) for block k.
     """
+    names = ["a", "b", "common" if each else "n"]
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        blocks: dict[int, int] = {}
+        now = None
+
+        def batch(*cols):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+        def close():
+            if len(held) > 1:
+                ids, tree = np.array(list(held), np.int64), Tree(list(held.values()), num)
+                block, total = np.array(list(blocks.values())), np.zeros(len(held), np.int64)
+                _, i, j = now
+                once = i == j or (i == 0 and j == 1)
+                out: list = []
+                size = 0
+                for x, y, common in tree.pairs():
+                    ok = (block[x] != block[y]) | once | ((i == 0) & (block[x] == j))
+                    x, y = x[ok], y[ok]
+                    if each:
+                        out.append((ids[x], ids[y], common[ok]))
+                        size += len(x)
+                        if size > 100_000:
+                            yield batch(*map(np.concatenate, zip(*out)))
+                            out, size = [], 0
+                    else:
+                        np.add.at(total, x, 1)
+                        np.add.at(total, y, 1)
+                if out:
+                    yield batch(*map(np.concatenate, zip(*out)))
+                if not each:
+                    yield batch(ids, ids[tree._firsts()], total)
+            held.clear()
+            blocks.clear()
+
+        for b in batches:
+            for comp, i, j, own, sid, s in zip(*(b.column(c).to_pylist() for c in ("comp", "i", "j", "own", "sid")), sets(b.column("_text"), n)):
+                if (comp, i, j) != now:
+                    yield from close()
+                    now = comp, i, j
+                if set_id(s) == sid:  # else another text with the same document id
+                    held[sid], blocks[sid] = s, own
+        yield from close()
+
+    return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(trees, ", ".join(f"{x} long" for x in names))
+
+
+def _joined(ids: DataFrame, reps: DataFrame, links: DataFrame, split: bool) -> DataFrame:
+    """(sid, least) of each set, least the smallest key of its component. links: edges (a, b) to the first of a component in a
+    task; split: a component may have come from several tasks."""
+    if split:
+        links = shared.written(components(links).select(F.col("node").alias("a"), F.col("root").alias("b")), "links")
+    joined = links.select(F.col("a").alias("sid"), F.col("b").alias("root")).union(links.select(F.col("b").alias("sid"), F.col("b").alias("root"))).distinct()
+    joined = shared.written(joined.join(reps, "sid").select("sid", "root", "rep"), "joined")
+    least = shared.written(joined.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    found = shared.written(joined.join(least, "root").select("sid", "least"), "found")
+    return shared.written(reps.join(found, "sid", "left").select("sid", F.coalesce("least", "rep").alias("least")), "of-set")
+
+
+def _grouped(docs: DataFrame, n: int, num: int, key: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(rows of ``docs`` with their sets' ids, sets with their smallest keys, the texts of the candidate groups by task, whether
+    a group has several tasks)."""
     ids = shared.written(_set_rows(docs, n, key, text_col), "sets")
     reps = shared.written(ids.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("_k").alias("rep"), F.first("n").alias("n")), "reps")
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -311,19 +430,51 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, key: str = "doc_id", tex
     cut = shared.written(groups.join(sized, groups["root"] == sized["comp"]).select("node", "comp", "blocks"), "tasks")
     cut = cut.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     cut = cut.withColumn("other", F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x != own))")))
-    cut = cut.select("node", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = texts.join(cut, texts["sid"] == cut["node"]).select("comp", "i", "j", "sid", "_text")
-    links = shared.written(_within(rows, n, num), "links")
-    if sized.filter("blocks > 1").limit(1).count():
-        links = shared.written(components(links).select(F.col("node").alias("a"), F.col("root").alias("b")), "links")
-    joined = links.select(F.col("a").alias("sid"), F.col("b").alias("root")).union(links.select(F.col("b").alias("sid"), F.col("b").alias("root"))).distinct()
-    joined = shared.written(joined.join(reps, "sid").select("sid", "root", "rep"), "joined")
-    least = shared.written(joined.groupBy("root").agg(F.min("rep").alias("least")), "least")
-    found = shared.written(joined.join(least, "root").select("sid", "least"), "found")
-    of_set = shared.written(reps.join(found, "sid", "left").select("sid", F.coalesce("least", "rep").alias("least")), "of-set")
+    cut = cut.select("node", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    rows = texts.join(cut, texts["sid"] == cut["node"]).select("comp", "i", "j", "own", "sid", "_text")
+    return ids, reps, rows, bool(sized.filter("blocks > 1").limit(1).count())
+
+
+def classes(docs: DataFrame, n: int = 5, num: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: key, n_shingles, component_id, text_hash.
+
+    Two rows link when 100 * intersection >= num * union of their sets of n-word shingles. component_id is
+    the smallest key reachable by links. A row without words has an empty set, no links and its own
+    key. Rows with equal ids are rows of their own. Keys that are null don't count for the smallest
+    unless there are no others.
+    """
+    ids, reps, rows, split = _grouped(docs, n, num, key, text_col)
+    of_set = _joined(ids, reps, shared.written(_within(rows, n, num), "links"), split)
     return ids.join(of_set, "sid", "left").select(F.col("_k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "_k").alias("component_id"), F.col("th").alias("text_hash"))
 
 
+def links(docs: DataFrame, n: int = 4, num: int = 85, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: key, n_shingles, component_id as in ``classes``, set_id, n_equal, n_links.
+
+    n_equal is how many other rows have an equal set, n_links how many different sets the row's set links to, each
+    counted once, whether or not they are connected otherwise. A row without words has set_id null and 0 of both.
+    """
+    ids, reps, rows, split = _grouped(docs, n, num, key, text_col)
+    found = shared.written(_all_within(rows, n, num, False), "links")
+    of_set = _joined(ids, reps, found.filter("a != b").select("a", "b"), split)
+    equal = ids.filter("sid IS NOT NULL").groupBy("sid").agg((F.count("*") - 1).alias("n_equal"))
+    counted = found.groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("n_links"))
+    per = shared.written(of_set.join(equal, "sid").join(counted, "sid", "left"), "per-set")
+    none = F.lit(0).cast("long")
+    return ids.join(per, "sid", "left").select(
+        F.col("_k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "_k").alias("component_id"), F.col("sid").alias("set_id"), F.coalesce("n_equal", none).alias("n_equal"), F.coalesce("n_links", none).alias("n_links")
+    )
+
+
+def pairs(docs: DataFrame, n: int = 4, num: int = 85, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (a, b, set_a, set_b, common): every link between two different sets once, by the smallest keys and the ids of
+    the sets, with their shingles in common. ``links`` has the set_id of each row. As many rows as there are links."""
+    _, reps, rows, _ = _grouped(docs, n, num, key, text_col)
+    p = _all_within(rows, n, num, True).select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"), "common")
+    x, y = (reps.select(F.col("sid").alias(f"set_{c}"), F.col("rep").alias(c)) for c in "ab")
+    return p.join(x, "set_a").join(y, "set_b").select("a", "b", "set_a", "set_b", "common")
+
+
 def report(docs: DataFrame, n: int = 4, num: int = 85, **kw) -> DataFrame:
     return classes(docs, n, num, **kw).drop("text_hash")
 

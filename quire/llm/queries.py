@@ -49,6 +49,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.report(_table(spark, sf_dir, "documents"), token_tables.public_tokenizer())
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_extraction": op7_html_extraction,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_jaccard_join": op9_jaccard_join,
+    "op9_jaccard_links": op9_jaccard_links,
     "op10_token_tables": op10_token_tables,
 }
 

@@ -91,3 +91,28 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components.components(d).collect()}
     assert all(got[i] == 0 for i in range(51)) and got[200] == 100 and got[402] == 400 and all(got[i] == 1000 for i in range(1000, 1100)) and 300 not in got
     assert components.components(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("task", [8_000_000, 600])
+@pytest.mark.parametrize("n,num", [(4, 85), (1, 50)])
+def test_every_link_counts(spark, monkeypatch, n, num, task):
+    """Also those between sets that others connect already; in groups cut into blocks each once."""
+    monkeypatch.setattr(jaccard_join, "TASK_SHINGLES", task)
+    rows = list(enumerate([t for _, t in corpus()] + family(30, 120, 2)))
+    first, members = {}, {}
+    for i, t in rows:
+        if s := frozenset(brute.shingles(t, n)):
+            first.setdefault(s, i)
+            members.setdefault(s, []).append(i)
+    own = list(first)
+    want = {(first[x], first[y]): len(x & y) for k, x in enumerate(own) for y in own[k + 1 :] if 100 * len(x & y) >= num * len(x | y)}
+    classes = brute.components(rows, n, num)
+    assert len(want) > len(own) - len({classes[i] for i in first.values()}) + 20  # far more than connect
+    d = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(4)
+    got = [(min(r["a"], r["b"]), max(r["a"], r["b"]), r["common"]) for r in jaccard_join.pairs(d, n, num).collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in want.items())
+    counted = {r["doc_id"]: r for r in jaccard_join.links(d, n, num).collect()}
+    assert len(counted) == len(rows) and {i: r["component_id"] for i, r in counted.items()} == classes
+    for s, m in members.items():
+        n_links = sum(first[s] in k for k in want)
+        assert all((counted[i]["n_links"], counted[i]["n_equal"]) == (n_links, len(m) - 1) for i in m)
