@@ -1,6 +1,6 @@
 """Conversations from messages that quote each other.
 
-Quoted lines are parsed by level (">" marks, however nested). Quoted passages, whole and by line, are
+Quoted lines are parsed by level (">" marks, however nested). Quoted passages, whole and by line and sentence, are
 hashed in a normal form and joined to the messages that hold them as their own words; the latest earlier
 message wins. That gives the message each message replies to. A thread is a message that replies to none,
 with all that reply to it, directly or not; conversations are ordered by thread and turn, without quotes.
@@ -21,7 +21,9 @@ from quire.llm import shared
 QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.S)
 #: The line that introduces a quote in mails, in the languages of the corpus.
 INTRO = re.compile(r"\s*(?:On|Am|Le|El)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\b.{0,80}:\s*")
-MIN_CHARS, CHUNK = 3, 4096
+#: Where a sentence ends: after its marks and what closes with them, before white space, or anywhere after those of CJK.
+SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])(?![。！？”’」』）])")
+CHUNK = 4096
 
 
 def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -48,12 +50,22 @@ def normal(passage: str) -> str:
     return " ".join(passage.split()).lower()
 
 
+def sentences(text: str) -> list[str]:
+    out, at = [], 0
+    for m in SENTENCE.finditer(text):
+        out.append(text[at : m.end()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
 def units(passage: str) -> dict[int, int]:
-    """hash -> characters of the whole passage, its paragraphs and its lines, in normal form."""
+    """hash -> characters of the whole passage, its paragraphs, their sentences however wrapped, and its lines, in normal form."""
     out = {}
-    for x in [passage, *re.split(r"\n[ \t]*\n", passage), *passage.split("\n")]:
+    paragraphs = re.split(r"\n[ \t]*\n", passage)
+    lines = passage.split("\n")
+    for x in [passage, *paragraphs, *lines, *(y for x in (*paragraphs, *lines) for y in sentences(x))]:
         n = normal(x)
-        if len(n) >= MIN_CHARS:
+        if n:
             out[xxhash.xxh3_64_intdigest(n) >> 1] = len(n)
     return out
 

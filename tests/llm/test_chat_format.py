@@ -50,3 +50,10 @@ def test_the_latest_earlier_message_counts(spark):
     rows = [(1, i, "u", "a common line") for i in range(5)] + [(1, 5, "u", "> a common line\nx"), (1, 6, "u", "a common line")]
     r = {x["turn"]: x["reply_to"] for x in C.report(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert r[5] == 4 and r[6] is None
+
+
+def test_quoted_sentences_and_short_messages(spark):
+    texts = ["It is slow. Use the \"library.\" That helps!", "> Use the \"library.\"\nWhich one?", "ok", "> ok\nfine", "好的", "> 好的\n谢谢", "今天很好。明天也好！再见", "> 明天也好！\n是", "One sentence which\nis wrapped here. And another\none. Last.", "> And another one.\nYes", "> slow\nNo sentence of any"]
+    rows = [(1, i, "u", t) for i, t in enumerate(texts)]
+    r = {x["turn"]: x["reply_to"] for x in C.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert r == {0: None, 1: 0, 2: None, 3: 2, 4: None, 5: 4, 6: None, 7: 6, 8: None, 9: 8, 10: None}
