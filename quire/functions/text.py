@@ -19,7 +19,12 @@ CAPITALS = r"^[A-ZÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĐĨŨƠƯ][A-ZÀÁÂÃÈÉÊ
 FENCE, TABLE_ROW, TABLE_RULE = r"^```.*$", r"^\|.+\|\s*$", r"^[|\-:\s]{3,}$"
 BULLET = r"^([\-*•]|\d+[.)]) .+"
 LEVELS = {"chương": 1, "phần": 1, "bài": 1, "mục": 2, "điều": 2, "khoản": 3, "tiết": 3, "điểm": 4, "chapter": 1, "part": 1, "appendix": 1, "article": 2, "section": 2, "clause": 3}
-CONNECTORS = "và hoặc nhưng mà vì nên thì là của trong với để cho khi theo từ and or but which that who where when".split()
+CONNECTORS = (
+    "và", "hoặc", "nhưng", "mà", "vì", "nên", "thì", "là", "của", "trong", "với", "để", "cho", "khi", "theo", "từ",
+    "and", "or", "but", "which", "that", "who", "where", "when",
+)
+ANSWER_LABELS = ("Question:", "Constraint:", "Keyword search:", "Found in:")
+DEFAULT_AUTHORITIES, ADMIN_AUTHORITIES = "document:create,document:read,document:update,document:delete", "system:admin,kb:manage,user:manage"
 PAGE_NUMBER = r"^[-–—]?\s*\d{1,4}\s*[-–—]?$"
 PAGE_LABEL = r"(?i)^(page|trang)\s+\d+.*$"
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
@@ -161,9 +166,14 @@ def type_of_upload(mime: Column, name: Column) -> Column:
     )
 
 
+def storage_key(user: Column, ext: Column) -> Column:
+    """The name under which an upload's bytes are kept; new at each evaluation."""
+    return F.concat(F.lit("doc_"), user, F.lit("_"), F.uuid(), ext)
+
+
 def clean_answer(raw: Column) -> Column:
     """Without echoed prompt labels, each up to its line end."""
-    for label in ("Question:", "Constraint:", "Keyword search:", "Found in:"):
+    for label in ANSWER_LABELS:
         raw = F.regexp_replace(raw, f"(?s){label}.*?\\n", "")
     return trim_controls(raw)
 
@@ -184,6 +194,6 @@ def authorities(role: Column, roles: Column) -> Column:
     own = F.coalesce(role, F.lit("WORKSPACE_MEMBER"))
     admin = own.isin("SUPER_ADMIN", "ADMIN") | cleaned.contains("ADMIN")
     return F.concat(
-        F.lit("document:create,document:read,document:update,document:delete"), F.when(cleaned != "", F.concat(F.lit(","), cleaned)).otherwise(""),
-        F.lit(",ROLE_"), own, F.when(admin, ",system:admin,kb:manage,user:manage").otherwise(""),
+        F.lit(DEFAULT_AUTHORITIES), F.when(cleaned != "", F.concat(F.lit(","), cleaned)).otherwise(""),
+        F.lit(",ROLE_"), own, F.when(admin, "," + ADMIN_AUTHORITIES).otherwise(""),
     )

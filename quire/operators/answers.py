@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import text as X
 
+# Replies, labels and prompt parts that decide results.
 NO_DOCUMENTS = "Hệ thống chưa có tài liệu nội bộ nào được upload."
 NO_HITS = "Không tìm thấy thông tin liên quan."
 NO_ANSWER = "I couldn't find any relevant information in the internal documents I have access to."
 NO_MESSAGES = "Không có tin nhắn nào trong cuộc trò chuyện này."
+AGENT_ERROR = "Đã xảy ra lỗi khi xử lý yêu cầu. Vui lòng thử lại."
+SOURCE_LABEL, PROMPT = ("[Nguồn ", " — ", " > ", "]\n"), ("Thông tin:\n", "\n\nCâu hỏi:\n", "\n\nTrả về JSON duy nhất.\n")
+#: What an answer model is told besides the prompt; replace it as the model needs.
+SYSTEM = "Answer from the information given only. Reply with one JSON object: summary (text), details (list of texts), sources (list of texts)."
 ANSWER = "summary string, details array<string>, sources array<string>"
 
 
@@ -44,13 +53,15 @@ def sources(hits: DataFrame) -> DataFrame:
 def context(hits: DataFrame) -> DataFrame:
     """Rows (query_id, context): the hits of each query as numbered blocks. At most k hits a query."""
     name = meta("fileName", "Unknown")
-    block = F.concat(F.lit("[Nguồn "), F.col("rank"), F.lit(" — "), name, F.lit(" > "), topic(name), F.lit("]\n"), F.coalesce("content", F.lit("null")), F.lit("\n\n"))
+    a, b, c, d = map(F.lit, SOURCE_LABEL)
+    block = F.concat(a, F.col("rank"), b, name, c, topic(name), d, F.coalesce("content", F.lit("null")), F.lit("\n\n"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))
     return hits.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "").alias("context"))
 
 
 def prompt(question: Column, context: Column) -> Column:
-    return F.concat(F.lit("Thông tin:\n"), context, F.lit("\n\nCâu hỏi:\n"), question, F.lit("\n\nTrả về JSON duy nhất.\n"))
+    a, b, c = map(F.lit, PROMPT)
+    return F.concat(a, context, b, question, c)
 
 
 def extractive_answer(context: Column) -> Column:
@@ -59,6 +70,39 @@ def extractive_answer(context: Column) -> Column:
     return F.to_json(F.struct(F.regexp_replace(first, r"\A\[[^\n]*\]\n", "").alias("summary"), F.array().cast("array<string>").alias("details"), F.array(F.regexp_extract(first, r"\A\[([^\n]*)\]", 1)).alias("sources")))
 
 
+def answered(prompts: DataFrame, model: Callable[[list[str]], list[str | None]] | None = None, prompt: str = "prompt") -> DataFrame:
+    """``prompts`` with the column ``answer``: what ``model`` gives for a batch of prompts on the executors, null where it fails.
+
+    Without a model, the first block of the prompt's context as JSON, by built-in functions."""
+    if model is None:
+        return prompts.withColumn("answer", extractive_answer(F.regexp_replace(F.col(prompt), f"\\A{PROMPT[0]}", "")))
+    cols = [c for c in prompts.columns if c != "answer"]
+
+    def replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = b.column(prompt).to_pylist()
+            try:
+                got = list(model(asked))
+            except Exception:  # a model's failure is an answer that is missing, not a failed job
+                got = [None] * len(asked)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*cols, "answer"])
+
+    d = prompts.select(*cols)
+    return d.mapInArrow(replies, T.StructType([*d.schema.fields, T.StructField("answer", T.StringType())]))
+
+
+def completed(answers: DataFrame, failed: Column) -> DataFrame:
+    """Assistant messages (stream_id, role, content, tokens_used, response_time_ms) of answers (stream_id, answer, asked_at,
+    answered_at) that are complete; of those that ``failed``, a fixed text instead and no time."""
+    content = F.when(failed, AGENT_ERROR).otherwise(F.col("answer"))
+    ms = F.when(~failed, elapsed_ms(F.col("asked_at"), F.col("answered_at")))
+    return answers.select("stream_id", F.lit("assistant").alias("role"), content.alias("content"), X.tokens_by_ratio(content).alias("tokens_used"), ms.alias("response_time_ms"))
+
+
+def elapsed_ms(begin: Column, end: Column) -> Column:
+    return F.unix_millis(end.cast("timestamp")) - F.unix_millis(begin.cast("timestamp"))
+
+
 def parsed(answer: Column) -> Column:
     """The answer's struct; null for what isn't the JSON asked for."""
     return F.from_json(answer, ANSWER)
@@ -76,6 +120,30 @@ def knowledge(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", F.concat(F.lit("["), F.coalesce(F.col("metadata")["fileName"], F.lit("Document")), F.lit("]\n"), F.coalesce("content", F.lit(""))).alias("result"))
 
 
+def averaged(sums: DataFrame) -> DataFrame:
+    """(document_id, total_chunks, total_tokens, total_chars) with averages by integer division, 0 without chunks."""
+    avg = lambda x: F.when(F.col("total_chunks") > 0, F.expr(f"{x} div total_chunks")).otherwise(0).cast("long")
+    return sums.select("*", avg("total_tokens").alias("avg_tokens"), avg("total_chars").alias("avg_chars"))
+
+
+def chunk_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same from a chunk table: a row for each of ``documents`` (document_id), also one without chunks."""
+    n = chunks.groupBy("document_id").agg(F.count("*").alias("total_chunks"), F.sum(F.coalesce("token_count", F.lit(0))).alias("total_tokens"), F.sum(F.coalesce("char_count", F.lit(0))).alias("total_chars"))
+    return averaged(documents.select("document_id").join(n, "document_id", "left").na.fill(0, ["total_chunks", "total_tokens", "total_chars"]))
+
+
+def response(**fields: Column) -> Column:
+    """A JSON object of the fields without those that are null, "" or 0."""
+    kept = [F.when((v.cast("string") != "") & (v.cast("string") != "0"), v).alias(k) for k, v in fields.items()]
+    return F.to_json(F.struct(*kept), {"ignoreNullFields": "true"})
+
+
+def audited(df: DataFrame, user: Column) -> DataFrame:
+    """``df`` with created_at, updated_at, created_by and updated_by; without a user it is SYSTEM."""
+    by, now = F.coalesce(user, F.lit("SYSTEM")), F.current_timestamp()
+    return df.select("*", now.alias("created_at"), now.alias("updated_at"), by.alias("created_by"), by.alias("updated_by"))
+
+
 def recent(messages: DataFrame, n: int) -> DataFrame:
     """The last n messages of every conversation, kept per task first."""
     w = Window.partitionBy("conversation_id").orderBy(F.desc("created_at"), F.desc("id"))
@@ -92,12 +160,21 @@ def summarize(messages: DataFrame, asked: int) -> DataFrame:
     return out.select("conversation_id", F.when(F.size("lines") == 0, NO_MESSAGES).otherwise(F.array_join("lines", "\n")).alias("summary"), F.size("lines").alias("n_messages"))
 
 
-def from_first_brace(tokens: DataFrame) -> DataFrame:
+def from_first_brace(tokens: DataFrame, part: Column | None = None) -> DataFrame:
     """Rows (stream_id, answer): each stream's tokens from its first "{" on, empty ones left out.
 
-    A token's part before the first "{" goes. Streams are gathered one per row: they are single answers.
+    A token's part before the first "{" goes. The place of the first "{" is found by an aggregate that combines before the
+    shuffle, and only tokens from there on are gathered: first per ``part``, a column that grows with ``seq`` (as the hour), so
+    that a long stream is spread, then the parts of a stream to its answer, which is one row.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "token")))
-    whole = tokens.filter("token != ''").groupBy("stream_id").agg(F.array_join(F.transform(ordered, lambda x: x["token"]), "").alias("all"))
-    at = F.instr("all", "{")
-    return whole.select("stream_id", F.when(at > 0, F.expr("substring(all, instr(all, '{'))")).otherwise("").alias("answer"))
+    t = tokens.filter("token != ''").withColumn("_part", F.lit(0) if part is None else part)
+    first = t.groupBy("stream_id").agg(F.min(F.when(F.instr("token", "{") > 0, F.col("seq"))).alias("_first"))
+    cut = F.when(F.col("seq") == F.col("_first"), F.expr("substring(token, instr(token, '{'))")).otherwise(F.col("token"))
+    kept = t.join(first, "stream_id").filter(F.col("seq") >= F.col("_first")).select("stream_id", "_part", "seq", cut.alias("token"))
+
+    def joined(of: str, x: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(of, x))), lambda y: y[x]), "")
+
+    parts = kept.groupBy("stream_id", "_part").agg(joined("seq", "token").alias("_text"))
+    whole = parts.groupBy("stream_id").agg(joined("_part", "_text").alias("answer"))
+    return first.select("stream_id").join(whole, "stream_id", "left").select("stream_id", F.coalesce("answer", F.lit("")).alias("answer"))

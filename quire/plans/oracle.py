@@ -1,5 +1,8 @@
 """Shared parts of the DuckDB SQL that the queries are held against."""
 
+from quire.functions import chunking
+from quire.functions import text as X
+
 DOT = "chr(1)"
 
 CATALOG = """
@@ -17,10 +20,8 @@ def normal(t: str, tabs: bool = True) -> str:
     return x.replace("replace(replace(replace(replace(replace(replace(replace(replace(replace(", "replace(replace(replace(replace(replace(replace(replace(replace(", 1).format(tabs="")
 
 
-HEADING_EN = r"^(ARTICLE|Article|SECTION|Section|CHAPTER|Chapter|CLAUSE|Clause|PART|Part|APPENDIX|Appendix)\s+([\dIVXivx]+\.?)(.{0,160})$"
-HEADING_VI = r"^(CHƯƠNG|Chương|PHẦN|Phần|BÀI|Bài|MỤC|Mục|ĐIỀU|Điều|TIẾT|Tiết|KHOẢN|Khoản|ĐIỂM|Điểm)\s+([\dIVXivxA-Za-z]+\.?)(.{0,160})$"
-NUMBERED = r"^(\d{1,2}(?:\.\d{1,2}){0,3})\.\s{1,4}(\S.{2,100})$"
-CAPITALS = r"^[A-ZÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĐĨŨƠƯ][A-ZÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĐĨŨƠƯ\s\d\-/]{3,79}$"
+HEADING_EN, HEADING_VI, CAPITALS = X.LEGAL_EN, X.LEGAL_VI, X.CAPITALS
+NUMBERED = X.NUMBERED.replace(r"(\.", r"(?:\.")  # its groups are numbered otherwise
 
 
 def heading_level(line: str) -> str:
@@ -36,8 +37,8 @@ def heading_level(line: str) -> str:
     WHEN regexp_matches({line}, '{CAPITALS}') AND NOT contains({line}, ',') AND NOT ends_with({line}, '.') THEN 1 END"""
 
 
-_CONNECT = "^(và|hoặc|nhưng|mà|vì|nên|thì|là|của|trong|với|để|cho|khi|theo|từ|and|or|but|which|that|who|where|when) "
-NOISE = r"(regexp_matches(t, '^[-–—]?\s*\d{1,4}\s*[-–—]?$') OR regexp_matches(t, '(?i)^(page|trang)\s+\d+.*$') OR (t <> '' AND length(t) < 3))"
+_CONNECT = f"^({'|'.join(X.CONNECTORS)}) "
+NOISE = f"(regexp_matches(t, '{X.PAGE_NUMBER}') OR regexp_matches(t, '{X.PAGE_LABEL}') OR (t <> '' AND length(t) < 3))"
 
 #: lines: (doc_id, i, t, nxt) stripped lines; clean: (doc_id, clean).
 CLEAN = (
@@ -53,7 +54,7 @@ emitted AS (SELECT doc_id, i, CASE WHEN t = '' THEN chr(10)
 clean AS (SELECT d.doc_id, coalesce(regexp_replace(s.c, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '') AS clean FROM documents d LEFT JOIN (SELECT doc_id, string_agg(e, '' ORDER BY i) AS c FROM emitted GROUP BY doc_id) s USING (doc_id))"""
 )
 
-_PROTECT = "(TS|PGS|GS|ThS|BS|KS|CN|Mr|Mrs|Ms|Dr|Prof|vs|etc|e\\.g|i\\.e|v\\.v|v\\.d|[0-9])"
+_PROTECT = f"({'|'.join(chunking.ABBREVIATIONS)})"
 _marked = "x"
 for _c, _n in ((".", 57344), ("!", 57345), ("?", 57346)):
     _marked = f"regexp_replace({_marked}, '{_PROTECT}\\{_c}', '\\1' || chr({_n}), 'g')"

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import chunking
 from quire.functions import text as X
-from quire.operators import answers, search
+from quire.operators import answers, embedding, search
 from quire.plans import oracle as O
+from quire.sources import shared
 from quire.sources import tables as S
+from quire.sources.store import Log, Store, current, next_ids, with_titles
 from quire.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +52,7 @@ def documents_completed(spark, sf):
 
 @query(O.with_chunks("SELECT status, error_message, count(*) AS n, sum(chunk_count)::BIGINT AS n_chunks FROM processed GROUP BY 1, 2"))
 def documents_status_counts(spark, sf):
-    return S.processed(spark, sf).groupBy("status", "error_message").agg(F.count("*").alias("n"), F.sum("chunk_count").alias("n_chunks"))
+    return S.processed(spark, sf).groupBy("status", "error_message").agg(F.count("*").alias("n"), F.sum(long(F.col("chunk_count"))).alias("n_chunks"))
 
 
 @query("SELECT doc_id AS id, 'stored ' || doc_id || '.txt' AS document_name, 'PENDING' AS status, 'accepted' AS message FROM documents WHERE n_chars > 0 AND n_chars <= 52428800")
@@ -111,11 +113,11 @@ _messy_sql = "(chr(65279) || chr(8203) || regexp_replace(text, ' the ', chr(160)
 @query(f"SELECT doc_id, {O.normal(_messy_sql)} AS normalized, regexp_replace({O.normal(_messy_sql, False)}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS cleaned FROM documents")
 def text_normalize(spark, sf):
     t = _messy(F.col("text"))
-    return S.table(spark, sf, "documents").select("doc_id", X.normalize(t).alias("normalized"), X.clean_text(t).alias("cleaned"))
+    return S.spread(S.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.normalize(t).alias("normalized"), X.clean_text(t).alias("cleaned"))
 
 
 def _lines(spark, sf) -> DataFrame:
-    d = S.table(spark, sf, "documents")
+    d = S.spread(S.table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.posexplode(F.split(X.normalize(F.col("text")), "\n", -1)).alias("i", "line")).select("doc_id", "i", X.strip(F.col("line")).alias("t"))
 
 
@@ -146,6 +148,34 @@ def section_parse(spark, sf):
     return chunking.section_rows(S.cleaned(spark, sf))
 
 
+_headed_sql = """WITH h AS (SELECT doc_id, i, CASE (i - 1) % 4 WHEN 0 THEN '# H' || i WHEN 1 THEN '## S' || i WHEN 2 THEN 'Section ' || i || ' on' END AS heading, CASE (i - 1) % 4 WHEN 0 THEN 1 WHEN 3 THEN 0 ELSE 2 END AS level, t FROM lines WHERE t <> ''),
+g AS (SELECT *, count(heading) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h)
+SELECT doc_id, (section - 1)::INTEGER AS section, regexp_replace(max(heading), '^#+ ', '') AS heading, max(level)::INTEGER AS level, string_agg(coalesce(heading || chr(10), '') || t, chr(10) ORDER BY i) AS body FROM g GROUP BY 1, 2"""
+
+
+@query(f"WITH {O.CLEAN} SELECT * FROM ({_headed_sql})")
+def headed_sections(spark, sf):
+    """Sections of texts with headings of several kinds and levels before their lines."""
+    k = F.col("i") % 4
+    heading = F.when(k == 0, F.concat(F.lit("# H"), F.col("i") + 1)).when(k == 1, F.concat(F.lit("## S"), F.col("i") + 1)).when(k == 2, F.concat(F.lit("Section "), F.col("i") + 1, F.lit(" on")))
+    line = F.struct("i", F.concat_ws("\n", heading, "t").alias("t"))
+    d = _lines(spark, sf).filter("t != ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("ls"))  # the lines of one text
+    return chunking.section_rows(d.select("doc_id", F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("text")), "doc_id", "text")
+
+
+_crumb_sql = """WITH s AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS k FROM documents), b AS (SELECT doc_id, k, CASE k WHEN 0 THEN '# A' WHEN 1 THEN '## B' WHEN 2 THEN '### C' ELSE '# D' END || ' ' || repeat('abcdefgh ', 20) || 'n' || doc_id || 'z.' AS body FROM s),
+c AS (SELECT doc_id, k, CASE k WHEN 0 THEN '[A]' WHEN 1 THEN '[A > B]' WHEN 2 THEN '[A > C]' ELSE '[D]' END || chr(10) || body AS chunk_text, body FROM b)
+SELECT doc_id, k AS chunk_index, CASE WHEN length(w) > 80 THEN w[1:80] || '…' ELSE w END AS chunk_title, chunk_text, ceil(length(chunk_text) / 3.8::DOUBLE)::INTEGER AS token_count, length(chunk_text)::INTEGER AS char_count FROM (SELECT *, array_to_string(list_slice(string_split(body, ' '), 1, 10), ' ') AS w FROM c)"""
+
+
+@query(_crumb_sql)
+def headed_chunks(spark, sf):
+    """Chunks with the crumbs of their headings: the upper one, and the last of the lower ones."""
+    body = F.concat(F.expr("repeat('abcdefgh ', 20)"), F.lit("n"), F.col("doc_id"), F.lit("z."))
+    text = F.concat_ws("\n", *[x for h in ("# A", "## B", "### C", "# D") for x in (F.lit(h), body)])
+    return chunking.chunk_rows(S.table(spark, sf, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
+
+
 @query(f"WITH {O.SENTENCES} SELECT doc_id AS document_id, 0 AS section, (i - 1)::INTEGER AS sentence_index, s AS sentence FROM sents")
 def sentence_split(spark, sf):
     return chunking.sentence_rows(S.cleaned(spark, sf))
@@ -161,9 +191,18 @@ def chunks_full(spark, sf):
     return S.chunks(spark, sf)
 
 
-@query()
+_fixed_sql = """WITH RECURSIVE f AS (SELECT doc_id, regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS t FROM documents),
+walk AS (SELECT doc_id, t, 0 AS n, 0 AS began, CASE WHEN length(t) <= 1200 THEN length(t) ELSE {first} END AS past FROM f WHERE t <> ''
+UNION ALL SELECT doc_id, t, n + 1, past, CASE WHEN length(t) <= past + 1200 THEN length(t) ELSE {next} END FROM walk WHERE past < length(t)),
+cut AS (SELECT doc_id, n, regexp_replace(t[began + 1:past], '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS piece FROM walk)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INTEGER AS piece_index, piece FROM cut WHERE piece <> ''"""
+# of the units from at + 2 on (a space there leaves a piece), the last space's place, else 1200 on
+_last_space = "CASE WHEN contains(t[{at} + 2:{at} + 1201], ' ') THEN {at} + 1201 - instr(reverse(t[{at} + 2:{at} + 1201]), ' ') ELSE {at} + 1200 END"
+
+
+@query(_fixed_sql.replace("{first}", _last_space.replace("{at}", "0")).replace("{next}", _last_space.replace("{at}", "past")))
 def chunk_fixed_1200(spark, sf):
-    return chunking.fixed_rows(S.table(spark, sf, "documents"), "doc_id")
+    return chunking.fixed_rows(S.spread(S.table(spark, sf, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query("SELECT doc_id, ceil(length(text) / 3.8::DOUBLE)::INTEGER AS by_ratio, ceil(length(text) / 4.0::DOUBLE)::INTEGER AS by_quarter, greatest(1, length(text) // 4)::INTEGER AS by_quarter_down, length(text)::INTEGER AS n_units FROM documents")
@@ -177,9 +216,11 @@ def token_estimates(spark, sf):
 
 @query(O.with_chunks("SELECT c.id AS document_id, c.file_name, n.chunk_index, 'Chunk #' || n.chunk_index AS title, n.chunk_text, count(n.chunk_index) OVER (PARTITION BY c.id) AS total_chunks, NULL::DOUBLE AS similarity FROM catalog c LEFT JOIN named n ON n.document_id = c.id"))
 def chunk_listing(spark, sf):
-    c = S.catalog(spark, sf).select(F.col("id").alias("document_id"), "file_name")
-    j = c.join(S.chunks(spark, sf), "document_id", "left")
-    total = F.count("chunk_index").over(Window.partitionBy("document_id"))
+    c = S.spread(S.catalog(spark, sf)).select(F.col("id").alias("document_id"), "file_name", X.reconstruct(F.col("text")).alias("clean"))
+    j = chunking.chunk_rows(c, carried=("file_name",), outcome=True)  # a document's outcome row has its number of chunks
+    total = F.max(F.when(F.col("chunk_index").isNull(), long(F.col("token_count")))).over(Window.partitionBy("document_id"))
+    j = j.withColumn("total_chunks", total).filter("chunk_index IS NOT NULL OR total_chunks = 0")
+    total = F.col("total_chunks")
     return j.select("document_id", "file_name", "chunk_index", F.concat(F.lit("Chunk #"), "chunk_index").alias("title"), "chunk_text", total.alias("total_chunks"), F.lit(None).cast("double").alias("similarity"))
 
 
@@ -197,21 +238,18 @@ def chunk_texts_ordered(spark, sf):
 @query(O.with_chunks("""SELECT c.id AS document_id, count(n.chunk_index) AS total_chunks, coalesce(sum(token_count), 0)::BIGINT AS total_tokens, coalesce(sum(char_count), 0)::BIGINT AS total_chars,
 CASE WHEN count(n.chunk_index) = 0 THEN 0 ELSE (sum(token_count) // count(n.chunk_index)) END::BIGINT AS avg_tokens, CASE WHEN count(n.chunk_index) = 0 THEN 0 ELSE (sum(char_count) // count(n.chunk_index)) END::BIGINT AS avg_chars FROM catalog c LEFT JOIN named n ON n.document_id = c.id GROUP BY 1"""))
 def chunk_stats(spark, sf):
-    n = S.chunks(spark, sf).groupBy("document_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("t"), F.sum("char_count").alias("c"))
-    j = S.catalog(spark, sf).select(F.col("id").alias("document_id")).join(n, "document_id", "left").na.fill(0, ["n", "t", "c"])
-    avg = lambda x: F.when(F.col("n") > 0, F.expr(f"{x} div n")).otherwise(0).cast("long")
-    return j.select("document_id", F.col("n").alias("total_chunks"), F.col("t").alias("total_tokens"), F.col("c").alias("total_chars"), avg("t").alias("avg_tokens"), avg("c").alias("avg_chars"))
+    n = S.chunk_sizes(spark, sf)  # a document's chunks come from one row, so its sums need no shuffle
+    return answers.averaged(n.select("document_id", long(F.col("n_chunks")).alias("total_chunks"), F.col("n_tokens").alias("total_tokens"), F.col("n_chars").alias("total_chars")))
 
 
 @query(O.with_chunks("SELECT document_id, (chunk_index // 30)::INTEGER AS batch, count(*) AS n_chunks FROM named GROUP BY 1, 2"))
 def chunk_batches(spark, sf):
-    return S.chunks(spark, sf).groupBy("document_id", F.expr(f"cast(chunk_index div {S.CHUNK_BATCH} as int)").alias("batch")).agg(F.count("*").alias("n_chunks"))
+    return S.chunk_keys(spark, sf).groupBy("document_id", F.expr(f"cast(chunk_index div {S.CHUNK_BATCH} as int)").alias("batch")).agg(F.count("*").alias("n_chunks"))
 
 
 @query(O.with_chunks("SELECT document_id, chunk_index, n.document_id::VARCHAR AS m_document_id, c.user_id AS m_user_id, c.file_name AS m_file_name, chunk_index::VARCHAR AS m_index, chunk_title AS m_title, token_count::VARCHAR AS m_tokens, char_count::VARCHAR AS m_chars FROM named n JOIN catalog c ON c.id = n.document_id"))
 def metadata_map(spark, sf):
-    c = S.catalog(spark, sf).select(F.col("id").alias("document_id"), "user_id", "file_name")
-    j = S.chunks(spark, sf).join(c, "document_id")
+    j = chunking.chunk_rows(S.cleaned(spark, sf), carried=("user_id", "file_name"))
     m = S.metadata(F.col("document_id"), F.col("user_id"), F.col("file_name"), F.col("chunk_index"), F.col("chunk_title"), F.col("chunk_text"))
     at = lambda k, name: F.col("m")[k].alias(name)
     return j.select("document_id", "chunk_index", m.alias("m")).select("document_id", "chunk_index", at("documentId", "m_document_id"), at("userId", "m_user_id"), at("fileName", "m_file_name"), at("chunkIndex", "m_index"), at("chunkTitle", "m_title"), at("tokenCount", "m_tokens"), at("charCount", "m_chars"))
@@ -257,8 +295,8 @@ def _queries(spark, sf) -> DataFrame:
 
 def _hits(spark, sf, threshold: float = 0.2) -> DataFrame:
     """The batch search's hits with content and metadata."""
-    v = S.vectors(spark, sf)
-    return search.top_k_batch(v, _queries(spark, sf), 5, threshold).join(v.drop("embedding"), "id")
+    hits = search.top_k_batch(S.embeddings(spark, sf), _queries(spark, sf), 5, threshold)
+    return hits.join(S.vectors(spark, sf).drop("embedding"), "id")
 
 
 def _one(spark, sf) -> DataFrame:
@@ -271,12 +309,12 @@ _result_sql = "coalesce(try_cast(m_document_id AS BIGINT), 0) AS document_id, 0
 
 @query(_one_sql + "SELECT id, score FROM s WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 5")
 def vector_topk(spark, sf):
-    return search.top_k(S.vectors(spark, sf), _one(spark, sf), 5, 0.5).select("id", "score")
+    return search.top_k(S.embeddings(spark, sf), _one(spark, sf), 5, 0.5).select("id", "score")
 
 
 @query(_one_sql + "SELECT id, score FROM s WHERE score >= 0.2 ORDER BY score DESC, id LIMIT 5")
 def vector_topk_low_threshold(spark, sf):
-    return search.top_k(S.vectors(spark, sf), _one(spark, sf), 5, 0.2).select("id", "score")
+    return search.top_k(S.embeddings(spark, sf), _one(spark, sf), 5, 0.2).select("id", "score")
 
 
 @query(_one_sql + "SELECT id, score FROM s WHERE score >= -1 AND m_user_id = 'src1' ORDER BY score DESC, id LIMIT 5")
@@ -291,7 +329,7 @@ def vector_in_document(spark, sf):
 
 @query(f"WITH {O.SEARCH.format(t=0.2)} SELECT query_id, id, score, rank::INTEGER AS rank FROM hits")
 def vector_topk_batch(spark, sf):
-    return search.top_k_batch(S.vectors(spark, sf), _queries(spark, sf), 5, 0.2)
+    return search.top_k_batch(S.embeddings(spark, sf), _queries(spark, sf), 5, 0.2)
 
 
 @query(f"WITH {O.SEARCH.format(t=0.2)} SELECT query_id, rank::INTEGER AS rank, {_result_sql} FROM hits")
@@ -302,7 +340,7 @@ def search_result_projection(spark, sf):
 @query(f"WITH {O.SEARCH.format(t=0.2)} SELECT query_id, count(*) AS total_results, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids FROM hits GROUP BY 1")
 def search_response(spark, sf):
     ids = F.array_sort(F.collect_list(F.struct("rank", "id")))  # at most five
-    return search.top_k_batch(S.vectors(spark, sf), _queries(spark, sf), 5, 0.2).groupBy("query_id").agg(F.count("*").alias("total_results"), F.array_join(F.transform(ids, lambda x: x["id"].cast("string")), ",").alias("ids"))
+    return search.top_k_batch(S.embeddings(spark, sf), _queries(spark, sf), 5, 0.2).groupBy("query_id").agg(F.count("*").alias("total_results"), F.array_join(F.transform(ids, lambda x: x["id"].cast("string")), ",").alias("ids"))
 
 
 @query(f"WITH {O.SEARCH.format(t=0.2)}, h AS (SELECT *, coalesce(m_file_name, 'unknown') AS name FROM hits) SELECT query_id, rank::INTEGER AS rank, coalesce(m_document_id, 'unknown') AS document_id, name || ' > ' || {O.TOPIC.format(name='name')} AS title, id::VARCHAR AS chunk_id, content, score FROM h")
@@ -323,17 +361,18 @@ def rag_prompt(spark, sf):
     return answers.context(_hits(spark, sf)).select("query_id", answers.prompt(F.concat(F.lit("question "), "query_id"), F.col("context")).alias("prompt"))
 
 
-@query()
+@query(_context_sql + ", f AS (SELECT query_id, string_split(context, chr(10) || chr(10))[1] AS first FROM ctx) SELECT query_id, regexp_replace(first, '^\\[[^\\n]*\\]\\n', '') AS summary, regexp_extract(first, '^\\[([^\\n]*)\\]', 1) AS source FROM f")
 def rag_answer(spark, sf):
-    """Context, stand-in answer, and the answer parsed again."""
-    a = answers.context(_hits(spark, sf)).select("query_id", answers.extractive_answer(F.col("context")).alias("answer"))
-    return a.select("query_id", "answer", answers.parsed(F.col("answer"))["summary"].alias("summary"))
+    """Prompt, stand-in answer, and the answer parsed again."""
+    p = answers.context(_hits(spark, sf)).select("query_id", answers.prompt(F.concat(F.lit("question "), "query_id"), F.col("context")).alias("prompt"))
+    a = answers.answered(p).select("query_id", answers.parsed(F.col("answer")).alias("a"))
+    return a.select("query_id", "a.summary", F.get("a.sources", F.lit(0)).alias("source"))
 
 
 @query(O.with_chunks(f", {O.SEARCH.format(t=0.99)} SELECT q.query_id, CASE WHEN NOT EXISTS (SELECT 1 FROM processed WHERE status = 'COMPLETED') THEN '{answers.NO_DOCUMENTS}' WHEN q.query_id NOT IN (SELECT query_id FROM hits WHERE id <> query_id) THEN '{answers.NO_HITS}' END AS reply FROM queries q"))
 def rag_guard(spark, sf):
-    hits = search.top_k_batch(S.vectors(spark, sf), _queries(spark, sf), 5, 0.99).filter("id != query_id")
-    return answers.guard(S.processed(spark, sf).filter("status = 'COMPLETED'"), hits, _queries(spark, sf))
+    hits = search.top_k_batch(S.embeddings(spark, sf), _queries(spark, sf), 5, 0.99).filter("id != query_id")
+    return answers.guard(S.processed(spark, sf).filter("status = 'COMPLETED'").limit(1), hits, _queries(spark, sf))
 
 
 @query(f"WITH {O.SEARCH.format(t=0.2)} SELECT query_id, rank::INTEGER AS rank, '[' || coalesce(m_file_name, 'Document') || ']' || chr(10) || coalesce(content, '') AS result FROM hits")
@@ -406,7 +445,7 @@ _stream_sql = "WITH t AS (SELECT user_id AS stream_id, ts, event_id, CASE event_
 
 @query(_stream_sql + " SELECT stream_id, CASE WHEN instr(w, '{') > 0 THEN w[instr(w, '{'):] ELSE '' END AS answer FROM a")
 def token_stream_prefix_strip(spark, sf):
-    return answers.from_first_brace(S.token_stream(spark, sf))
+    return answers.from_first_brace(S.token_stream(spark, sf), F.date_trunc("hour", F.col("seq.ts")))
 
 
 # --- changes
@@ -430,20 +469,23 @@ def delete_conversation(spark, sf):
 @query(O.with_chunks(f", {O.CONVERSATIONS}, {O.MESSAGES} SELECT 'chunks' AS kind, document_id AS parent_id, count(*) AS n FROM named WHERE document_id % 3 = 0 GROUP BY 2 UNION ALL SELECT 'messages', conversation_id, count(*) FROM messages WHERE conversation_id % 50 = 7 AND conversation_id % 2 = 1 GROUP BY 2"))
 def orphans(spark, sf):
     """What the deletes leave behind: chunks of deleted documents and messages of deleted conversations."""
-    docs = S.catalog(spark, sf).filter("id % 3 != 0").select(F.col("id").alias("parent_id"))
-    chunks = S.chunks(spark, sf).select(F.lit("chunks").alias("kind"), F.col("document_id").alias("parent_id"))
+    docs = S.catalog(spark, sf).filter("id % 3 != 0").select("id")
+    without = S.catalog(spark, sf).select("id", "text").join(docs, "id", "left_anti")  # before any text is chunked
+    chunks = S.chunk_keys(spark, sf, without).select(F.lit("chunks").alias("kind"), F.col("document_id").alias("parent_id"))
     convs = S.conversations(spark, sf).filter("NOT (user_id = '7' AND id % 2 = 1)").select(F.col("id").alias("parent_id"))
     messages = S.messages(spark, sf).select(F.lit("messages").alias("kind"), F.col("conversation_id").alias("parent_id"))
-    left = chunks.join(docs, "parent_id", "left_anti").unionByName(messages.join(convs, "parent_id", "left_anti"))
+    left = chunks.unionByName(messages.join(convs, "parent_id", "left_anti"))
     return left.groupBy("kind", "parent_id").agg(F.count("*").alias("n"))
 
 
 @query(O.with_chunks("SELECT document_id, chunk_index, CASE WHEN document_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM named"))
 def reindex_replace(spark, sf):
     """Chunk rows after half of the documents were processed again: old rows out, new ones in."""
-    old = S.chunks(spark, sf).select("document_id", "chunk_index", F.lit("old").alias("version"))
-    new = S.chunks(spark, sf).filter("document_id % 2 = 0").select("document_id", "chunk_index", F.lit("new").alias("version"))
-    return events.replaced(old, new, "document_id")
+    store = Store(spark)
+    c = S.catalog(spark, sf).select("id", "user_id", "file_name", "text")
+    store.load(c.withColumn("user_id", F.lit("old")))
+    store.load(c.filter("id % 2 = 0").withColumn("user_id", F.lit("new")))
+    return store.chunks().select("document_id", "chunk_index", F.col("user_id").alias("version"))
 
 
 @query(f"WITH {O.CONVERSATIONS} SELECT id, user_id, CASE WHEN id % 4 = 0 THEN 'Renamed ' || id ELSE title END AS title FROM convs")
@@ -471,7 +513,213 @@ def authority_strings(spark, sf):
     return S.table(spark, sf, "customer").select("c_custkey", X.authorities(role, roles).alias("authorities"))
 
 
-@query()
+@query(ORACLE_SQL["upload_event_ingest"])
 def upload_stream(spark, sf):
     """The upload events as a stream of files, through the same steps as ``upload_event_ingest``."""
     return events.ingest_stream(S.upload_envelopes(spark, sf))
+
+
+# --- the store
+
+_event_docs_sql = "SELECT event_id FROM events WHERE event_type IN ('view', 'click', 'purchase')"
+
+
+def _texts(spark, sf) -> DataFrame:
+    return S.spread(S.catalog(spark, sf).select("id", "user_id", "file_name", "text"))
+
+
+@query(O.with_chunks("SELECT n.*, (chunk_index // 30)::INTEGER AS batch, c.user_id, c.file_name FROM named n JOIN catalog c ON c.id = n.document_id"))
+def store_load(spark, sf):
+    """All documents loaded into a new store, and its chunk table."""
+    store = Store(spark)
+    store.load(_texts(spark, sf))
+    return store.chunks()
+
+
+@query(O.with_chunks("SELECT id AS document_id, 1::BIGINT AS load, status, chunk_count, error_message FROM processed WHERE id % 2 = 0 UNION ALL SELECT id, 2, 'PENDING', 0, NULL FROM processed WHERE id % 2 = 1"))
+def store_status(spark, sf):
+    """Statuses after half of the documents were loaded and the others registered."""
+    store = Store(spark)
+    store.load(_texts(spark, sf).filter("id % 2 = 0"))
+    store.register(_texts(spark, sf).filter("id % 2 = 1"))
+    return store.status()
+
+
+@query("SELECT doc_id AS document_id, 'PROCESSING' AS status FROM documents WHERE doc_id % 10 = 3")
+def documents_processing(spark, sf):
+    """What is being processed, by a log in which a tenth of the documents has no outcome yet."""
+    d = S.catalog(spark, sf).select(F.col("id").alias("document_id"))
+    steps = F.when(F.col("document_id") % 10 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(3)))
+    log = d.select("document_id", F.lit(1).cast("long").alias("load"), F.explode(steps).alias("step"))
+    log = log.withColumn("status", F.element_at(F.array(*map(F.lit, ("PENDING", "PROCESSING", "COMPLETED", "FAILED"))), F.col("step") + 1))
+    log = log.withColumn("chunk_count", F.lit(0)).withColumn("error_message", F.lit(None).cast("string"))
+    return current(log).filter("status = 'PROCESSING'").select("document_id", "status")
+
+
+@query(O.with_chunks(f"SELECT document_id, chunk_index, chunk_text FROM named WHERE document_id IN ({_event_docs_sql})"))
+def upload_stream_etl(spark, sf):
+    """Upload events as a stream that sets off the processing of the documents they announce."""
+    return events.etl_stream(S.upload_envelopes(spark, sf), _texts(spark, sf), Store(spark)).chunks().select("document_id", "chunk_index", "chunk_text")
+
+
+@query("SELECT event_id AS id, doc_id IS NOT NULL AS found, CASE WHEN doc_id IS NULL THEN 'Document not found: ' || event_id END AS error FROM events LEFT JOIN documents ON doc_id = event_id WHERE event_type IN ('view', 'click', 'purchase')")
+def event_documents(spark, sf):
+    """The documents that events announce; a missing one is an error of its own."""
+    found, gone = events.resolved(events.documents_of(S.upload_envelopes(spark, sf)), S.catalog(spark, sf))
+    return found.select("id", F.lit(True).alias("found"), F.lit(None).cast("string").alias("error")).unionByName(gone.select(F.col("document_id").alias("id"), F.lit(False).alias("found"), F.col("error_message").alias("error")))
+
+
+_embedded_sql = """
+{x}d AS (SELECT k, ('0x' || h)::INTEGER % 64 AS d, count(*) AS c FROM (SELECT {key} AS k, md5(unnest(list_filter(string_split(replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10), ' '), ' '), lambda w: w <> '')))[1:2] AS h FROM {table}) GROUP BY 1, 2),
+{x}n AS (SELECT k, sum(c * c) AS n FROM {x}d GROUP BY 1)"""
+
+
+@query(O.with_chunks(f", {_embedded_sql.format(x='c', key="document_id || '-' || chunk_index", text='chunk_text', table='named')}, {_embedded_sql.format(x='q', key='item_id', text='text', table='benchmark')}, dots AS (SELECT q.k AS query_id, c.k AS id, sum(q.c * c.c) AS dot FROM qd q JOIN cd c ON q.d = c.d GROUP BY 1, 2), scores AS (SELECT query_id, id, round(dot / sqrt(qn.n::DOUBLE * cn.n::DOUBLE), 6) AS score FROM dots JOIN qn ON qn.k = query_id JOIN cn ON cn.k = id) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM scores WHERE score >= 0.2 QUALIFY rank <= 5"))
+def search_text(spark, sf):
+    """Texts asked of the chunks in a store: both go through the embedder."""
+    store = Store(spark)
+    store.load(_texts(spark, sf))
+    asked = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.top_k_text(store.vectors(), asked, store.embed, 5, 0.2)
+
+
+# --- finders and errors
+
+
+@query(O.with_chunks("SELECT id, file_name, created_at, chunk_count FROM processed WHERE status = 'COMPLETED' AND user_id = 'src1'"))
+def documents_completed_by_user(spark, sf):
+    own = S.with_status(S.spread(S.catalog(spark, sf).filter("user_id = 'src1'")))
+    return own.filter("status = 'COMPLETED'").select("id", "file_name", "created_at", "chunk_count").orderBy(F.desc("created_at"), "id")
+
+
+@query(f"WITH {O.CATALOG} SELECT id, user_id, file_name FROM catalog WHERE id = 7 AND user_id = (SELECT user_id FROM catalog WHERE id = 7)")
+def document_by_id_and_user(spark, sf):
+    c = S.catalog(spark, sf).filter("id = 7")
+    owner = c.select(F.col("user_id").alias("asking"))
+    return c.join(F.broadcast(owner), c["user_id"] == F.col("asking")).select("id", "user_id", "file_name")
+
+
+@query(f"WITH {O.CONVERSATIONS} SELECT id, user_id, chat_id, title FROM convs WHERE chat_id = 'chat-7' AND user_id = '7'")
+def conversation_by_chat_and_user(spark, sf):
+    return S.conversations(spark, sf).filter("chat_id = 'chat-7' AND user_id = '7'").select("id", "user_id", "chat_id", "title")
+
+
+@query(O.with_chunks("SELECT c.id AS document_id, n.chunk_text, CASE WHEN n.document_id IS NULL THEN 'Chunk not found: index=1' END AS error FROM catalog c LEFT JOIN named n ON n.document_id = c.id AND n.chunk_index = 1"))
+def chunk_lookup(spark, sf):
+    """The chunk with an index, or an error of its own for each document without it."""
+    d = S.cleaned(spark, sf).select("document_id", "clean")
+    rows = chunking.chunk_rows(d, outcome=True).filter("chunk_index = 1 OR (chunk_index IS NULL AND token_count <= 1)")
+    return rows.select("document_id", "chunk_text", F.when(F.col("chunk_index").isNull(), "Chunk not found: index=1").alias("error"))
+
+
+@query(f"WITH {O.CATALOG} SELECT id, user_id = 'src1' AS deleted, CASE WHEN user_id <> 'src1' THEN 'Unauthorized' END AS error FROM catalog WHERE id % 3 = 0")
+def delete_checked(spark, sf):
+    """A user asks to delete documents; those of others are errors."""
+    own = F.coalesce(F.col("user_id") == "src1", F.lit(False))
+    return S.catalog(spark, sf).filter("id % 3 = 0").select("id", own.alias("deleted"), F.when(~own, "Unauthorized").alias("error"))
+
+
+@query("SELECT count(*) AS n, sum(length(text))::BIGINT AS total_chars FROM documents")
+def extracted_chars(spark, sf):
+    return S.table(spark, sf, "documents").agg(F.count("*").alias("n"), F.sum(long(X.utf16_length(F.col("text")))).alias("total_chars"))
+
+
+@query("""SELECT doc_id, '{"name":"doc_' || doc_id || '"' || CASE WHEN doc_id % 3 <> 0 THEN ',"code":' || doc_id % 3 ELSE '' END || CASE WHEN doc_id % 2 = 1 THEN ',"message":"m"' ELSE '' END || '}' AS response FROM documents""")
+def api_response(spark, sf):
+    """A response as JSON without what is null, empty or zero."""
+    k = F.col("doc_id")
+    code, message = (k % 3).cast("int"), F.when(k % 4 == 0, "").when(k % 2 == 1, "m")
+    return S.table(spark, sf, "documents").select("doc_id", answers.response(name=F.concat(F.lit("doc_"), "doc_id"), code=code, message=message).alias("response"))
+
+
+@query("SELECT doc_id, 'doc_' || source || '_' AS prefix, '.txt' AS extension, true AS valid FROM documents")
+def storage_keys(spark, sf):
+    """The names of stored uploads, without the part that is new each time."""
+    d = S.table(spark, sf, "documents").select("doc_id", X.storage_key(F.col("source"), F.lit(".txt")).alias("k"))
+    uuid = r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+    return d.select("doc_id", F.regexp_extract("k", rf"\A(doc_.*_){uuid}\.txt\z", 1).alias("prefix"), X.extension(F.col("k")).alias("extension"), F.col("k").rlike(rf"_{uuid}\.txt\z").alias("valid"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'SYSTEM' ELSE source END AS created_by, CASE WHEN doc_id % 3 = 0 THEN 'SYSTEM' ELSE source END AS updated_by, true AS recent FROM documents")
+def audit_columns(spark, sf):
+    d = S.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("user"))
+    a = answers.audited(d, F.col("user"))
+    return a.select("doc_id", "created_by", "updated_by", (F.abs(F.unix_seconds("created_at") - F.unix_seconds(F.current_timestamp())) < 3600).alias("recent"))
+
+
+# --- files
+
+
+@query("SELECT doc_id, octet_length(encode(text)) + 1 AS size, text || chr(10) AS text FROM documents")
+def file_texts(spark, sf):
+    """Each document as a file, found by its location and read whole."""
+    base = shared.new_path(spark, "files")
+    d = S.table(spark, sf, "documents").select("doc_id", "text")
+    d.repartition("doc_id").write.partitionBy("doc_id").text(base)
+    where = S.location(F.lit(" "), F.lit(base))
+    place = spark.range(1).select(where.alias("at")).first()["at"]
+    return S.files(spark, place).select(F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), "size", "text")
+
+
+@query(r"""WITH p AS (SELECT page_id, list_transform(string_split(replace(replace(html, '<', chr(1) || '<'), '>', '>' || chr(1)), chr(1)), lambda x: CASE WHEN starts_with(x, '<') THEN '' ELSE x END) AS parts FROM pages)
+SELECT page_id, array_to_string(list_transform(list_filter(parts, lambda x: regexp_matches(x, '\S')), lambda x: x || chr(10) || chr(10)), '') AS text, array_to_string(parts, '') AS joined FROM p""")
+def extracted_parts(spark, sf):
+    """The parts that an extractor gives (here what is between tags), joined with blank lines and without."""
+    cut = F.split(F.replace(F.replace(F.col("html"), F.lit("<"), F.lit("\x01<")), F.lit(">"), F.lit(">\x01")), "\x01", -1)
+    parts = F.transform(cut, lambda x: F.when(x.startswith("<"), F.lit("")).otherwise(x))
+    d = S.table(spark, sf, "pages").select("page_id", parts.alias("parts"))
+    return d.select("page_id", S.join_parts(F.col("parts")).alias("text"), S.join_parts(F.col("parts"), blank_line=False).alias("joined"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_type = 'error' THEN '/data/' || event_id ELSE 'https://files.example/' || event_id END AS location FROM events")
+def document_locations(spark, sf):
+    e = S.table(spark, sf, "events")
+    url = F.when(F.col("event_type") != "error", F.concat(F.lit("https://files.example/"), "event_id")).otherwise(F.when(F.col("event_id") % 2 == 0, F.lit("  ")))
+    return e.select(F.col("event_id").alias("id"), S.location(url, F.concat(F.lit("/data/"), "event_id")).alias("location"))
+
+
+# --- messages
+
+
+@query(_stream_sql + " SELECT stream_id, CASE WHEN instr(w, '{') > 0 THEN w[instr(w, '{'):] ELSE '' END AS answer FROM a WHERE instr(w, '{') > 0")
+def token_stream_live(spark, sf):
+    """The tokens as a stream with one flag of state for each answer, put together again."""
+    t = S.token_stream(spark, sf)
+    seq = F.concat(F.date_format("seq.ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("seq.event_id").cast("string"), 19, "0"))
+    return answers.from_first_brace(events.strip_prefix_live(t.select("stream_id", seq.alias("seq"), "token")))
+
+
+@query(_stream_sql + f""", l AS (SELECT user_id AS stream_id, arg_max(event_type, (ts, event_id)) = 'error' AS failed, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS ms FROM events GROUP BY 1),
+c AS (SELECT stream_id, CASE WHEN failed THEN '{answers.AGENT_ERROR}' WHEN instr(w, '{{') > 0 THEN w[instr(w, '{{'):] ELSE '' END AS content, CASE WHEN NOT failed THEN ms END AS response_time_ms FROM l LEFT JOIN a USING (stream_id))
+SELECT stream_id, 'assistant' AS role, content, ceil(length(content) / 3.8::DOUBLE)::INTEGER AS tokens_used, response_time_ms FROM c""")
+def answers_on_completion(spark, sf):
+    """The messages that are kept when a stream of tokens ends, and what is kept of one that fails."""
+    t = S.token_stream(spark, sf)
+    e = S.table(spark, sf, "events").groupBy(F.col("user_id").alias("stream_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"), F.min("ts").alias("asked_at"), F.max("ts").alias("answered_at"))
+    whole = answers.from_first_brace(t, F.date_trunc("hour", F.col("seq.ts")))
+    a = e.join(whole, "stream_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    return answers.completed(a, F.col("last") == "error")
+
+
+@query(f"WITH {O.CONVERSATIONS}, {O.MESSAGES} SELECT conversation_id, id, role, content FROM messages UNION ALL SELECT conversation_id, max(id) + 1, 'user', 'one more' FROM messages GROUP BY 1 UNION ALL SELECT conversation_id, max(id) + 2, 'assistant', 'reply' FROM messages GROUP BY 1")
+def messages_inserted(spark, sf):
+    """The message log after a question and an answer were added to each conversation."""
+    m = S.messages(spark, sf).select("conversation_id", "id", "role", "content")
+    log = Log(spark, m.schema)
+    log.insert(m)
+    turn = F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("user").alias("role"), F.lit("one more").alias("content")), F.struct(F.lit(2).alias("seq"), F.lit("assistant").alias("role"), F.lit("reply").alias("content"))))
+    new = m.select("conversation_id").distinct().select("conversation_id", turn.alias("t")).select("conversation_id", "t.*")
+    log.insert(next_ids(log.rows(), new).select(*m.columns))
+    return log.rows()
+
+
+@query(f"WITH {O.CONVERSATIONS} SELECT id, user_id, title FROM convs UNION ALL SELECT 1000000 + c_custkey, c_custkey::VARCHAR, CASE WHEN c_custkey % 2 = 0 THEN 'Asked ' || c_custkey ELSE 'New Conversation' END FROM customer")
+def conversation_created(spark, sf):
+    """The conversations after each customer opened one, some without a title."""
+    c = S.conversations(spark, sf).select("id", "user_id", "title")
+    log = Log(spark, c.schema)
+    log.insert(c)
+    k = F.col("c_custkey")
+    new = S.table(spark, sf, "customer").select((k + 1000000).alias("id"), k.cast("string").alias("user_id"), F.when(k % 2 == 0, F.concat(F.lit("Asked "), k)).alias("title"))
+    log.insert(with_titles(new))
+    return log.rows()

@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its files give fewer tasks than that (a file of one row group is one task), for
+    steps whose work on a row is large next to moving it; as it is where there are tasks enough."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def files(spark: SparkSession, path: str, extract=None) -> DataFrame:
     """Rows (path, size, text) of whole files. Text files are read as they are; for other formats give
     ``extract``, a function from bytes to a list of text parts, of which the blank ones are left out."""
@@ -66,32 +73,51 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, file_name, user_id, raw, clean), the text reconstructed."""
-    c = catalog(spark, sf_dir)
+    c = spread(catalog(spark, sf_dir))
     return c.select(F.col("id").alias("document_id"), "file_name", "user_id", F.col("text").alias("raw"), X.reconstruct(F.col("text")).alias("clean"))
 
 
-def long_enough(clean: Column) -> Column:
-    """A document with fewer than 40 tokens' length isn't processed."""
-    return X.utf16_length(clean) >= 152
+def chunks(spark: SparkSession, sf_dir: str, where: str | Column = "true") -> DataFrame:
+    """(document_id, chunk_index, chunk_title, chunk_text, token_count, char_count) of all processed documents, or of those with
+    ``where`` on the catalog's id and user, which is tested before any text is cleaned."""
+    c = spread(catalog(spark, sf_dir).filter(where))
+    return chunking.chunk_rows(c.select(F.col("id").alias("document_id"), X.reconstruct(F.col("text")).alias("clean")))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(document_id, chunk_index, chunk_title, chunk_text, token_count, char_count) of all processed documents."""
-    rows = chunking.chunk_rows(cleaned(spark, sf_dir).filter(long_enough(F.col("clean"))))
-    return rows.select("*", X.tokens_by_ratio(F.col("chunk_text")).alias("token_count"), X.utf16_length(F.col("chunk_text")).alias("char_count"))
+def chunk_keys(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """(document_id, chunk_index), of the catalog rows ``docs`` or of all."""
+    c = spread(catalog(spark, sf_dir) if docs is None else docs)
+    return chunking.chunk_keys(c.select(F.col("id").alias("document_id"), X.reconstruct(F.col("text")).alias("clean")))
 
 
-def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog with status, chunk_count and error_message; no document fails the job."""
-    clean = cleaned(spark, sf_dir).select("document_id", "raw", "clean")
-    n = chunks(spark, sf_dir).groupBy("document_id").agg(F.count("*").cast("int").alias("n"))
-    c = catalog(spark, sf_dir).drop("text").join(clean, F.col("id") == F.col("document_id")).drop("document_id").join(n.withColumnRenamed("document_id", "id"), "id", "left")
-    error = (
-        F.when(X.blank(F.col("raw")), "Extracted text is empty")
-        .when(~long_enough(F.col("clean")), F.concat(F.lit("Text too short after cleaning: "), X.utf16_length(F.col("clean")), F.lit(" chars")))
-        .when(F.col("n").isNull(), "No chunks produced after chunking")
+def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, n_units, n_chunks, n_tokens, n_chars) of all documents."""
+    return chunking.chunk_sizes(cleaned(spark, sf_dir))
+
+
+def error_of(raw_blank: Column, n_units: Column, n_chunks: Column) -> Column:
+    """Why a document could not be processed, null if it was."""
+    return (
+        F.when(raw_blank, "Extracted text is empty")
+        .when(n_units < chunking.SHORTEST, F.concat(F.lit("Text too short after cleaning: "), n_units, F.lit(" chars")))
+        .when(n_chunks == 0, "No chunks produced after chunking")
     )
-    return c.select("id", "user_id", "file_name", "file_size", "document_type", "created_at", F.when(error.isNull(), "COMPLETED").otherwise("FAILED").alias("status"), F.coalesce("n", F.lit(0)).alias("chunk_count"), error.alias("error_message"))
+
+
+def with_status(docs: DataFrame, key: str = "id") -> DataFrame:
+    """Catalog rows with a raw ``text``: without it, and with status, chunk_count and error_message; no document fails the job.
+
+    One pass: each text is cleaned and chunked once, and only counts come back."""
+    own = tuple(c for c in docs.columns if c not in (key, "text"))
+    d = docs.select(key, *own, X.blank(F.col("text")).alias("_blank"), X.reconstruct(F.col("text")).alias("clean"))
+    n = chunking.chunk_sizes(d, key, "clean", (*own, "_blank"))
+    error = error_of(F.col("_blank"), F.col("n_units"), F.col("n_chunks"))
+    return n.select(key, *own, F.when(error.isNull(), "COMPLETED").otherwise("FAILED").alias("status"), F.col("n_chunks").alias("chunk_count"), error.alias("error_message"))
+
+
+def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with status, chunk_count and error_message."""
+    return with_status(spread(catalog(spark, sf_dir)))
 
 
 def metadata(document_id: Column, user_id: Column, file_name: Column, index: Column, title: Column, text: Column) -> Column:
@@ -102,6 +128,11 @@ def metadata(document_id: Column, user_id: Column, file_name: Column, index: Col
     )
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding): what a search without a filter has to read."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, content, metadata, embedding): each vector with the document of its number, if there is one."""
     v = table(spark, sf_dir, "embeddings")

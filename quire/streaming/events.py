@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.sources import shared
+from quire.sources.store import Store
 from quire.sources.tables import SYNC, UPLOAD
 
 # What is taken from uploads.
@@ -55,20 +55,89 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+CATALOG = "file_id string, user_id string, file_name string, file_size int, file_url string, document_type string, status string, chunk_count int"
+
+
 def ingest(events: DataFrame, path: str, checkpoint: str):
     """Starts the upload stream: catalog rows are appended under ``path``. What is there now, then ends."""
     return documents_of(events).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
 
 
+def arriving(rows: DataFrame, name: str, kind: str = "text") -> tuple[DataFrame, str]:
+    """``rows`` as files of the shared folder, read as a stream; and the folder, for sinks and checkpoints."""
+    spark = rows.sparkSession
+    base = shared.new_path(spark, name)
+    rows.write.format(kind).save(f"{base}/in")
+    return spark.readStream.schema(rows.schema).format(kind).load(f"{base}/in"), base
+
+
 def ingest_stream(envelopes: DataFrame) -> DataFrame:
     """Writes events as text files in the shared folder, streams them in, and gives what arrived."""
-    spark = envelopes.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-")
-    base = f"{base.rstrip('/')}/quire-events-{uuid.uuid4().hex}"
-    envelopes.select("value").write.text(f"{base}/in")
-    q = ingest(spark.readStream.schema("value string").text(f"{base}/in"), f"{base}/out", f"{base}/checkpoint")
-    q.awaitTermination()
-    return spark.read.schema("file_id string, user_id string, file_name string, file_size int, file_url string, document_type string, status string, chunk_count int").parquet(f"{base}/out")
+    stream, base = arriving(envelopes.select("value"), "events")
+    ingest(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return envelopes.sparkSession.read.schema(CATALOG).parquet(f"{base}/out")
+
+
+def resolved(documents: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Catalog rows of events with the raw texts (id, text) they point to: rows to load (id, user_id, file_name, text), and
+    errors (document_id, error_message) for those whose document isn't there."""
+    d = documents.withColumn("id", F.expr("try_cast(file_id AS bigint)")).filter("id IS NOT NULL")
+    j = d.select("id", "user_id", "file_name").dropDuplicates(["id"]).join(texts.select("id", F.struct("text").alias("t")), "id", "left")
+    gone = j.filter("t IS NULL").select(F.col("id").alias("document_id"), F.concat(F.lit("Document not found: "), "id").alias("error_message"))
+    return j.filter("t IS NOT NULL").select("id", "user_id", "file_name", "t.text"), gone
+
+
+def etl(store: Store, texts: DataFrame) -> Callable[[DataFrame, int], None]:
+    """What a micro-batch of events sets off: their documents are looked up, cleaned, chunked, embedded and written.
+
+    The batch's number is the load's, so that a batch which is run again replaces what it wrote."""
+
+    def batch(events: DataFrame, number: int) -> None:
+        found, gone = resolved(documents_of(events), texts)
+        store.load(found, number + 1)
+        store.fail(gone, number + 1)
+
+    return batch
+
+
+class Subscription:
+    """A stream's life: ``start`` begins it or goes on from its checkpoint, ``stop`` ends it. Where it fails, ``run`` starts it
+    again, ``most`` times at most, and then raises."""
+
+    def __init__(self, stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True, most: int = 3):
+        self.stream, self.each, self.checkpoint, self.available_now, self.most, self.query = stream, each, checkpoint, available_now, most, None
+
+    def start(self) -> Subscription:
+        w = self.stream.writeStream.foreachBatch(self.each).option("checkpointLocation", self.checkpoint)
+        self.query = (w.trigger(availableNow=True) if self.available_now else w).start()
+        return self
+
+    def stop(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+
+    def run(self) -> None:
+        for again in range(self.most + 1):
+            try:
+                return self.start().query.awaitTermination()
+            except Exception:
+                if again == self.most:
+                    raise
+
+
+def etl_stream(envelopes: DataFrame, texts: DataFrame, store: Store) -> Store:
+    """Streams events in and loads the documents they announce."""
+    stream, base = arriving(envelopes.select("value"), "events")
+    Subscription(stream, etl(store, texts), f"{base}/checkpoint").run()
+    return store
+
+
+def strip_prefix_live(tokens: DataFrame) -> DataFrame:
+    """Tokens (stream_id, seq, token) through ``strip_prefix_stream``: written, streamed in, and what came out."""
+    stream, base = arriving(tokens, "tokens", "parquet")
+    out = strip_prefix_stream(stream)
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return tokens.sparkSession.read.schema(out.schema).parquet(f"{base}/out")
 
 
 def strip_prefix_stream(tokens: DataFrame) -> DataFrame:
@@ -94,6 +163,6 @@ def strip_prefix_stream(tokens: DataFrame) -> DataFrame:
                 begun, token = True, token[at:]
             out.append((key[0], seq, token))
         state.update((begun,))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "token"])
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "token"])  # of a stream that has not begun, no rows
 
-    return tokens.groupBy("stream_id").applyInPandasWithState(each, "stream_id long, seq long, token string", "begun boolean", "append", GroupStateTimeout.NoTimeout)
+    return tokens.groupBy("stream_id").applyInPandasWithState(each, tokens.select("stream_id", "seq", "token").schema, "begun boolean", "append", GroupStateTimeout.NoTimeout)
