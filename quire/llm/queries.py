@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import chat_format, decontaminate, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, surrogates, token_tables, warc
+from quire.sources.tables import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

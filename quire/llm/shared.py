@@ -1,60 +1,5 @@
-"""Tables and files in the folder that the driver and all executors share.
+"""The folder that the driver and all executors share, as the engine has it."""
 
-``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset, as in
-local tests, a temporary folder of this machine is taken instead.
-"""
+from quire.sources.shared import delete, drop, exists, file_system, new_path, root, scratch, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
-
-def root(spark: SparkSession) -> str:
-    """The shared folder's URI."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{root(spark)}/quire-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(_nullable(df.schema)).parquet(path)
-    out._quire_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes a table that ``written`` made. Nothing may read it any more."""
-    path = getattr(df, "_quire_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-
-
-def file_system(uri: str):
-    """(file system, path) of a URI for use on an executor: file, hdfs, s3, gs and whatever else Arrow opens."""
-    from pyarrow import fs
-
-    if "://" not in uri:
-        uri = "file://" + uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
+__all__ = ["delete", "drop", "exists", "file_system", "new_path", "root", "scratch", "written"]

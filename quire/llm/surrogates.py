@@ -1,17 +1,26 @@
 """Personal data replaced by surrogates.
 
-Entities are found by patterns and named by kind and normal form, so that differently written
-mentions of one entity are one. A surrogate is drawn from a keyed SHA-256 stream of that name: the same entity
-gets the same surrogate everywhere, without a table of secrets. It keeps the mention's format: digits for
-digits, letters for letters in the same case and script, given names of the same gender.
+Entities are found by patterns and named by kind and normal form, so that differently written mentions of one entity are one.
+Names are found behind titles first; then all mentions of a document's names are taken, with and without title. A surrogate is
+drawn from a keyed SHA-256 stream of the entity's name: the same entity gets the same surrogate everywhere, without a table of
+secrets. It keeps the mention's kind and format: digits for digits, letters for letters in the same case and script, given names of
+the same gender and with the letter that their initial gets, valid check digits for cards and IBANs, possible numbers for SSNs, private
+addresses in their private range.
 
 Distinctness is checked over the whole corpus: a surrogate that equals another entity's, or an entity that
 occurs itself, is drawn again with the next attempt number. Only these few exceptions have to be joined to the
 documents; all other surrogates are worked out where they are needed. All steps are built-in functions.
+
+Texts are scanned once: a trace of an entity decides whether the patterns are tried at all, and what they find is written with the text
+between. Every repetition in a pattern is bounded or possessive, so very long texts and words need no deep stack.
+Not found are names that have a title nowhere in their document, street addresses, dates of birth and
+numbers of kinds not listed here.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,74 +28,146 @@ from quire.llm import shared
 
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Госпожа"
-_TITLE = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.? "
-_NAME = r"(?:\p{Lu}\p{Ll}{1,24}|\p{Lu}{2,25})(?![\p{L}])"
+NEUTRAL = "Dr|Dra|Prof|Professor|Doctor|Doctora|Docteur|Doktor|Д-р|Доктор|Профессор"
+_TITLE = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
+#: One word of a name: O'Brien, McDonald, Jean-Luc, SMITH.
+_WORD = r"(?:(?:\p{Lu}['’])?(?:\p{Lu}\p{Ll}{1,24}){1,2}(?:-\p{Lu}\p{Ll}{1,24}){0,2}|\p{Lu}{2,25})(?!\p{L})"
+_TITLED = rf"{_TITLE}(?:(?:(?:\p{{Lu}}\. ?|{_WORD} |(?:von|van|de|der|den|la|le|du|di|da|del|dos) )){{0,4}}){_WORD}"
+_LABEL = r"(?i:token|secret|password|passwd|api[_-]?key)"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=\")(?<=(?i:token|secret|password|api[_-]?key) ?[=:] ?\")[A-Za-z0-9+/=_\-]{8,}(?=\")",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9\-])",
+    "secret": rf"(?<=\")(?<={_LABEL} ?[=:] ?\")[A-Za-z0-9+/=_\-]{{8,}}+(?=\")|(?<=[=: ])(?<={_LABEL} ?[=:] ?)(?=[^\s\"',;\d]{{0,200}}+\d)[^\s\"',;]{{6,}}+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
-    "card": r"(?<![\d.])(?:\d{4}[ \-]?){3}\d{4}(?!\.?\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ \-]?(?:\(\d{1,4}\)[ \-]?)?\d{2,4}(?:[ \-]\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{1,4}:[A-Fa-f:]{0,30}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{2,4}(?::[0-9A-Fa-f]{1,4}){0,5}:(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "card": r"(?<![\d.])(?:(?:\d{4}[ \-]?){3}\d{4}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?!\.?\d)",
+    "phone": r"(?<![\d+])\+\d{1,3}[ \-]?(?:\(\d{1,4}\)[ \-]?)?\d{2,4}(?:[ \-](?!\d{4}-\d\d-\d\d)\d{2,4}){1,4}(?!\d|[:/]\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
-    "name": rf"(?<= )(?=\p{{Lu}})(?:(?<={_TITLE})|(?<={_TITLE}\p{{L}}{{2,25}} )){_NAME}",
 }
 #: What a text with an entity holds at least; most texts don't, and are seen through fast.
-TRACE = r"[0-9@\"]|(?:M(?:rs?|s|iss|me|onsieur|adame)|Herr|Frau|Señora?|Sra?|Г-н|Г-жа|Господин|Госпожа)\.? \p{Lu}"
+TRACE = rf"@[A-Za-z0-9\-]{{1,64}}+\.|\d[\d ().\-]{{5}}|[A-Z]{{2}}\d\d ?[A-Z0-9]{{4}}|{_LABEL} ?[=:]|[0-9A-Fa-f]:[0-9A-Fa-f:]"
+TITLE_TRACE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-KINDS = (*[k for k in PATTERNS if k != "name"], "given_m", "given_f", "surname")
+GIVEN = ("given_m", "given_f", "given_n")
+NAMES = (*GIVEN, "surname", "initial")
+KINDS = (*PATTERNS, *NAMES)
+ROUNDS = 12
 _SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу")}
-_ENDS = {"given_m": ("n", "н"), "given_f": ("na", "на"), "surname": ("ler", "лер")}
+_ENDS = {"given_m": ("n", "н"), "given_f": ("na", "на"), "given_n": ("is", "ис"), "surname": ("ler", "лер")}
+_LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя"}
+#: First numbers of public addresses.
+_PUBLIC = [i for i in range(1, 224) if i not in (10, 127, 169, 172, 192)]
+_MENTIONS = "array<struct<m:string,kind:string,norm:string>>"
 _MAP = "array<struct<kind:string,norm:string,s:string>>"
 
 
-def mentions(text: str) -> Column:
-    """array<struct<m, kind, norm>> of a text column's entities, in order. Kinds go by the mention and what stands around it."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    ms, gaps = F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), F.split(t, ANY, -1)
+def _bind(x: Column, f) -> Column:
+    """``f`` of ``x``, which is worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _names(t: Column) -> Column:
+    """array<struct<w, lower, kind>>: the words of the names behind the titles of a text."""
+
+    def words(m: Column) -> Column:
+        kind = F.when(m.rlike(rf"\A(?:{MALE})\.? "), "given_m").when(m.rlike(rf"\A(?:{FEMALE})\.? "), "given_f").otherwise("given_n")
+        parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(m, rf"\A{_TITLE}", ""), r"\. ?", ". "), " "), lambda w: w.rlike(rf"\A{_WORD}\z") & ~w.rlike(rf"\A(?:{MALE}|{FEMALE}|{NEUTRAL})\z"))
+        return F.transform(parts, lambda w, i: F.struct(w.alias("w"), F.lower(w).alias("lower"), F.when(i == F.size(parts) - 1, "surname").otherwise(kind).alias("kind")))
+
+    none = F.expr("cast(array() as array<struct<w:string,lower:string,kind:string>>)")
+    return F.when(t.rlike(TITLE_TRACE), F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(t, F.lit(_TITLED), F.lit(0)), words)))).otherwise(none)
+
+
+def _pattern(names: Column) -> Column:
+    """What to look for in a text with these names: every entity, the names' words and initials before them."""
+    own = F.array_distinct(F.flatten(F.transform(names, lambda n: F.array(n["w"], F.upper(n["w"])))))
+    longest_first = F.array_join(F.transform(F.array_sort(F.transform(own, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"]), "|")
+    with_names = F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), longest_first, F.lit(r")(?!\p{L})|(?<!\p{L})\p{Lu}\.(?= ?(?:(?:\p{Lu}\. ?)?(?:"), longest_first, F.lit(r")(?!\p{L})))"))
+    return F.when(F.size(names) == 0, F.lit(ANY)).otherwise(with_names)
 
-    def one(m: Column, i: Column, at: Column) -> Column:
-        before, after = F.get(at["gaps"], i), F.get(at["gaps"], i + 1)
-        following = F.coalesce(F.get(at["ms"], i + 1), F.lit(""))
-        titled = F.coalesce(before, F.lit("")).rlike(rf"{_TITLE}\z")
-        given = titled & (after == " ") & following.rlike(rf"\A{_NAME}\z")
+
+def found(text: Column) -> Column:
+    """struct(e: array of (m, kind, norm), gaps: the pieces of text around them) of a text; null for one without entities."""
+    t = F.coalesce(text, F.lit(""))
+
+    def one(m: Column, before: Column, names: Column) -> Column:
+        low = F.lower(m)
+        own = F.array_min(F.transform(F.filter(names, lambda n: n["lower"] == low), lambda n: n["kind"]))  # a given name before a surname
         kind = (
-            F.when(m.contains("@"), "email")
-            .when(F.coalesce(before, F.lit("")).rlike('[=:] ?"\\z'), "secret")
-            .when(m.rlike(r"\A[\d.]+\z") & m.contains("."), "ip")
-            .when(m.rlike(r"\A(?:\d{4}[ \-]?){3}\d{4}\z"), "card")
+            F.when(own.isNotNull(), own)
+            .when(m.rlike(r"\A\p{Lu}\.\z"), "initial")
+            .when(m.rlike(r"\A[^@]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\z"), "email")
+            .when(F.coalesce(before, F.lit("")).rlike(rf'{_LABEL} ?[=:] ?"?\z'), "secret")
+            .when(m.contains(":"), "ipv6")
+            .when(m.contains("."), "ip")
+            .when(m.rlike(r"\A(?:\d[ \-]?){15,16}\z") & ~m.rlike(r"\A\+"), "card")
             .when(m.rlike(r"\A\d{3}-\d{2}-\d{4}\z"), "ssn")
             .when(m.rlike(r"\A[+(\d]"), "phone")
-            .when(m.rlike(r"\A[A-Z]{2}\d{2}"), "iban")
-            .when(given & before.rlike(rf"(?<![\p{{L}}])(?:{MALE})\.? \z"), "given_m")
-            .when(given, "given_f")
-            .otherwise("surname")
+            .otherwise("iban")
         )
-        norm = F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(m, r"\D", "")).when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(F.lower(m))
+        norm = F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(m, r"\D", "")).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "secret", m).otherwise(low)
         return F.struct(m.alias("m"), kind.alias("kind"), norm.alias("norm"))
 
-    bound = F.struct(ms.alias("ms"), gaps.alias("gaps"))
-    found = F.get(F.transform(F.array(bound), lambda at: F.transform(at["ms"], lambda m, i: one(m, i, at))), F.lit(0))
-    return F.when(t.rlike(TRACE), found).otherwise(F.expr("cast(array() as array<struct<m:string,kind:string,norm:string>>)"))
+    def cut(x: Column) -> Column:
+        pieces = F.struct(F.regexp_extract_all(t, x["p"], F.lit(0)).alias("ms"), F.split(t, x["p"], -1).alias("gaps"), x["names"].alias("names"))
+        return _bind(pieces, lambda y: F.struct(F.transform(y["ms"], lambda m, i: one(m, F.get(y["gaps"], i), y["names"])).alias("e"), y["gaps"].alias("gaps")))
+
+    all_of = _bind(_names(t), lambda names: _bind(F.struct(_pattern(names).alias("p"), names.alias("names")), cut))
+    traced = F.when(t.rlike(TRACE) | t.rlike(TITLE_TRACE), all_of)
+    return F.when(F.size(traced["e"]) > 0, traced)
+
+
+def _digits(s: Column) -> Column:
+    return F.transform(F.split(s, "(?!\\A)(?!\\z)"), lambda c: F.ascii(c) - 48)
+
+
+def luhn(s: Column) -> Column:
+    """The sum whose last digit is 0 for a valid card number (a string of digits)."""
+    two = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+    return F.aggregate(F.transform(F.reverse(_digits(s)), lambda d, i: F.when(i % 2 == 1, two(d)).otherwise(d)), F.lit(0), lambda a, d: a + d)
+
+
+def mod97(s: Column) -> Column:
+    """The remainder by 97 of a string of digits and capitals, a letter as 10 to 35."""
+    codes = F.transform(F.split(s, "(?!\\A)(?!\\z)"), lambda c: F.ascii(c))
+    return F.aggregate(codes, F.lit(0), lambda a, c: F.when(c > 57, (a * 100 + c - 55) % 97).otherwise((a * 10 + c - 48) % 97))
+
+
+def _rotated(key: str, script: str) -> tuple[str, str]:
+    letters = _LETTERS[script]
+    n = int(hashlib.sha256(f"{key}\x1finitial\x1f{script}".encode()).hexdigest(), 16) % (len(letters) - 1) + 1
+    return letters, letters[n:] + letters[:n]
+
+
+def rotated(c: Column, key: str) -> Column:
+    """An initial's surrogate: another letter of the alphabet, by a key-dependent rotation."""
+    for script in _LETTERS:
+        a, b = _rotated(key, script)
+        c = F.translate(c, a + a.upper(), b + b.upper())
+    return c
 
 
 def draw(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
-    """The surrogate's normal form: as long as ``norm`` but for addresses of hosts and names."""
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(norm) / 16).cast("int")), lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string"), b.cast("string")), 256)), "")
+    """The surrogate's normal form: as long as ``norm`` but for addresses and names."""
+    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(norm) / 16).cast("int") + 1), lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string"), b.cast("string")), 256)), "")
 
     def built(x: Column) -> Column:
         byte = lambda i: F.conv(F.substring(x["h"], i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        number = lambda i: F.conv(F.substring(x["h"], F.lit(8 * i + 1), F.lit(8)), 16, 10).cast("long")
         norm, kind = x["n"], x["k"]
         pick = lambda letters, n: F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
         last = F.instr(F.reverse(norm), ".")
-        hexadecimal = norm.rlike(r"\A[0-9a-f]+\z")
+        hexadecimal = (kind == "ipv6") | (kind == "secret") & norm.rlike(r"\A[0-9a-f]+\z")
 
         def char(c: Column, i: Column) -> Column:
-            kept = ((kind == "email") & ((i >= F.length(norm) - last) | ~c.rlike("[a-z0-9]"))) | ((kind == "phone") & (i == 0)) | (kind.isin("card") & (i == 0)) | ((kind == "iban") & (i < 2))
+            kept = (
+                ((kind == "email") & ((i >= F.length(norm) - last) | ~c.rlike("[a-z0-9]"))) | ((kind == "phone") & (i == 0)) | ((kind == "card") & ((i == 0) | ((i == 1) & norm.startswith("3"))))
+                | ((kind == "iban") & (i < 4)) | ((kind == "ipv6") & (i < F.instr(norm, ":")))
+            )
             return (
                 F.when(kept, c)
-                .when((kind == "secret") & hexadecimal, pick("0123456789abcdef", byte(i)))
+                .when(hexadecimal & c.rlike("[0-9a-f]"), pick("0123456789abcdef", byte(i)))
                 .when(c.rlike("[0-9]"), pick("0123456789", byte(i)))
                 .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", byte(i)))
                 .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", byte(i)))
@@ -94,41 +175,80 @@ def draw(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
             )
 
         chars = F.array_join(F.transform(F.split(norm, "(?!\\A)(?!\\z)"), char), "")
-        ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (byte(i) % 254 + 1).cast("string")), ".")
+
+        def card(s: Column) -> Column:
+            body = F.substring(s, F.lit(1), F.length(s) - 1)
+            check = F.pmod(-luhn(F.concat(body, F.lit("0"))), F.lit(10))
+            return F.when(luhn(norm) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(s)
+
+        def iban(s: Column) -> Column:
+            country, body = F.substring(s, F.lit(1), F.lit(2)), F.substring(s, F.lit(5), F.length(s))
+            check = F.lpad((98 - mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+            return F.concat(country, check, body)
+
+        area = number(0) % 897 + 1
+        ssn = F.concat(F.lpad((area + (area >= 666).cast("int")).cast("string"), 3, "0"), F.lpad((number(1) % 99 + 1).cast("string"), 2, "0"), F.lpad((number(2) % 9999 + 1).cast("string"), 4, "0"))
+        old = F.split(norm, r"\.")
+        fresh = [F.element_at(F.array(*map(F.lit, _PUBLIC)), (number(0) % len(_PUBLIC) + 1).cast("int")).cast("string"), *[(number(i) % 254 + 1).cast("string") for i in (1, 2, 3)]]
+        own = F.when(norm.rlike(r"\A(?:10|127)\."), 1).when(norm.rlike(r"\A(?:192\.168|169\.254|172\.(?:1[6-9]|2\d|3[01]))\."), 2).otherwise(0)  # private ranges stay
+        ip = F.concat_ws(".", *[F.when(F.lit(i) < own, F.get(old, F.lit(i))).otherwise(f) for i, f in enumerate(fresh)])
 
         def name(script: str, place: int) -> Column:
             onset, vowel = _SYLLABLES[script]
-            body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1) + byte(F.lit(12)) % 2), lambda i: F.concat(pick(onset, byte(i * 2)), pick(vowel, byte(i * 2 + 1)))), "")
-            end = F.when(kind == "given_m", _ENDS["given_m"][place]).when(kind == "given_f", _ENDS["given_f"][place]).otherwise(_ENDS["surname"][place])
-            return F.concat(body, pick(onset, byte(F.lit(8))), pick(vowel, byte(F.lit(9))), end)
+            plain, turned = _rotated(key, script)
+
+            def part(p: Column, at: Column) -> Column:
+                """One part of a hyphenated name: its initial's letter, then syllables."""
+                n = F.lit(1) + byte(at + 12) % 2 + F.floor(x["a"] / 3).cast("int")  # longer where shorter ones are taken
+                body = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(pick(onset, byte(at + (i * 2) % 24)), pick(vowel, byte(at + (i * 2 + 1) % 24)))), "")
+                apostrophe = F.regexp_extract(p, r"\A\p{L}(['’])", 1)
+                first = F.translate(F.substring(p, 1, 1), plain, turned)
+                led = F.when(apostrophe != "", F.concat(first, apostrophe, pick(onset, byte(at + 8)))).otherwise(first)
+                return F.concat(led, pick(vowel, byte(at)), body, pick(onset, byte(at + 10)), pick(vowel, byte(at + 9)))
+
+            end = F.coalesce(*[F.when(kind == k, e[place]) for k, e in _ENDS.items()])
+            return F.concat(F.array_join(F.transform(F.split(norm, "-"), lambda p, i: part(p, i * 7 % 20)), "-"), end)
 
         names = F.when(norm.rlike(r"\p{IsCyrillic}"), name("cyrillic", 1)).otherwise(name("latin", 0))
-        return F.when(kind == "ip", ip).when(kind.isin("given_m", "given_f", "surname"), names).otherwise(chars)
+        return (
+            F.when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "initial", rotated(norm, key)).when(kind.isin(*NAMES), names)
+            .when(kind == "card", _bind(chars, card)).when(kind == "iban", _bind(chars, iban)).otherwise(chars)
+        )
 
-    bound = F.array(F.struct(stream.alias("h"), norm.alias("n"), kind.alias("k")))
-    return F.get(F.transform(bound, built), F.lit(0))
+    return _bind(F.struct(stream.alias("h"), norm.alias("n"), kind.alias("k"), attempt.cast("int").alias("a")), built)
 
 
-def dressed(m: Column, s: Column) -> Column:
-    """The surrogate ``s`` in the format of the mention ``m``: its separators and case."""
-    digits_only = m.rlike(r"\A[+(\d][\d ()+\-]*\z")
-    place = lambda i: F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), r"\D", ""))
-    spaced = F.array_join(F.transform(F.split(m, "(?!\\A)(?!\\z)"), lambda c, i: F.when(c.rlike(r"\d"), F.substring(s, place(i), F.lit(1))).otherwise(c)), "")
-    upper = (m == F.upper(m)) & (m != F.lower(m))
-    first = (F.substring(m, 1, 1) == F.upper(F.substring(m, 1, 1))) & m.rlike(r"\A\p{L}+\z")
-    iban = F.array_join(F.transform(F.split(m, "(?!\\A)(?!\\z)"), lambda c, i: F.when(c != " ", F.substring(s, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), " ", "")), F.lit(1))).otherwise(c)), "")
-    return F.when(digits_only & ~m.contains("."), spaced).when(m.rlike(r"\A[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){3,8}\z"), iban).when(upper, F.upper(s)).when(first, F.initcap(s)).otherwise(s)
+def placeholder(kind: Column, norm: Column, key: str) -> Column:
+    """What an entity gets whose format has no free surrogate left: its kind and a keyed hash."""
+    return F.concat(F.lit("["), kind, F.lit("-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("placeholder"), kind, norm), 256), 1, 20), F.lit("]"))
 
 
-def entities(found: DataFrame) -> DataFrame:
-    """Distinct (kind, norm) of rows with an array ``e`` of mentions; combined before the shuffle."""
-    return found.filter(F.size("e") > 0).select(F.explode("e").alias("x")).select("x.kind", "x.norm").distinct()
+def dressed(m: Column, kind: Column, s: Column) -> Column:
+    """The surrogate ``s`` in the format of the mention ``m``: its separators and case."""
+    chars = F.split(m, "(?!\\A)(?!\\z)")
 
+    def spread(is_part: str, skipped: str) -> Column:
+        place = lambda i: F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), skipped, ""))
+        return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(is_part), F.substring(s, place(i), F.lit(1))).otherwise(c)), "")
 
-def exceptions(known: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
+    upper = (m == F.upper(m)) & (m != F.lower(m))
+    capital = F.array_join(F.transform(F.split(s, "(?<=[-'’])"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
+    return (
+        F.when(s.startswith("["), s)
+        .when(kind.isin("card", "phone", "ssn"), spread(r"\d", r"\D"))
+        .when(kind == "iban", spread("[^ ]", " "))
+        .when(kind == "secret", s)
+        .when(upper, F.upper(s))
+        .when(kind.isin(*NAMES), capital)
+        .otherwise(s)
+    )
+
+
+def exceptions(known: DataFrame, key: str, most_rounds: int = ROUNDS) -> DataFrame:
     """Rows (kind, norm, s) of the entities whose first draw is taken, with a surrogate that no entity has or gets.
 
-    known: a written table of distinct (kind, norm).
+    known: a written table of distinct (kind, norm). Those that have none after ``most_rounds`` draws, as where a format has
+    hardly more values than there are entities, get a ``placeholder``.
     """
     first = shared.written(known.select("kind", "norm", draw(F.col("kind"), F.col("norm"), key, F.lit(0)).alias("s")), "draws")
     own = known.select("kind", F.col("norm").alias("s"))
@@ -149,42 +269,42 @@ def exceptions(known: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
         good, again = split(cand, taken)
         taken.append(good)
         out = out.unionByName(good.select("kind", "norm", "s"))
-    raise ValueError("too few surrogates for some kind and format")
+    return out.unionByName(again.select("kind", "norm", placeholder(F.col("kind"), F.col("norm"), key).alias("s")))
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text", out: str = "surrogate") -> DataFrame:
     """``docs`` with ``text_col`` replaced and a struct ``out``: n_entities and one count per kind.
 
-    A null text stays null, a text without entities as it is. Repeated rows are treated alike. A column
-    of ``docs`` named ``out`` is replaced.
+    A null text stays null; an empty one, and any without entities, as it is, however long. Repeated rows are treated alike. Other
+    columns of any name come back as they are, but one named ``out``, which is replaced. An empty table gives an empty one.
     """
     cols = [c for c in docs.columns if c != out]
-    found = docs.select(mentions(text_col).alias("e"))
-    known = shared.written(entities(found), "entities")
+    # rows are packed, so that no column of theirs can clash with what is added
+    d = shared.written(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), found(F.col(f"`{text_col}`")).alias("f")), "found")
+    each = d.filter("f IS NOT NULL").select(F.explode("f.e").alias("x")).select("x.kind", "x.norm").filter("kind != 'initial'")
+    known = shared.written(each.distinct(), "entities")
     odd = shared.written(exceptions(known, key), "exceptions")
-    d = docs.select(*[F.col(f"`{c}`") for c in cols]).withColumn("_e", mentions(text_col))
     if odd.limit(1).count():
-        d = d.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-        used = d.filter(F.size("_e") > 0).select("_h", F.explode("_e").alias("x")).select("_h", "x.kind", "x.norm").distinct().join(odd, ["kind", "norm"])
-        per = used.groupBy("_h").agg(F.collect_set(F.struct("kind", "norm", "s")).alias("_o"))
-        d = d.join(per, "_h", "left").drop("_h").withColumn("_o", F.coalesce("_o", F.expr(f"cast(array() as {_MAP})")))
+        d = d.withColumn("h", F.xxhash64(F.col("r")[text_col]))
+        used = d.filter("f IS NOT NULL").select("h", F.explode("f.e").alias("x")).select("h", "x.kind", "x.norm").distinct().join(odd, ["kind", "norm"])
+        per = used.groupBy("h").agg(F.collect_set(F.struct("kind", "norm", "s")).alias("o"))  # of one text
+        d = d.join(per, "h", "left").withColumn("o", F.coalesce("o", F.expr(f"cast(array() as {_MAP})")))
     else:
-        d = d.withColumn("_o", F.expr(f"cast(array() as {_MAP})"))
-    t = F.col(text_col)
+        d = d.withColumn("o", F.expr(f"cast(array() as {_MAP})"))
 
     def sub(x: Column) -> Column:
-        other = F.get(F.filter("_o", lambda o: (o["kind"] == x["kind"]) & (o["norm"] == x["norm"])), F.lit(0))["s"]
-        return dressed(x["m"], F.coalesce(other, draw(x["kind"], x["norm"], key, F.lit(0))))
+        other = F.get(F.filter("o", lambda o: (o["kind"] == x["kind"]) & (o["norm"] == x["norm"])), F.lit(0))["s"]
+        return _bind(F.coalesce(other, draw(x["kind"], x["norm"], key, F.lit(0))), lambda s: dressed(x["m"], x["kind"], s))
 
-    gaps = F.split(t, ANY, -1)
-    subs = F.transform("_e", sub)
-    joined = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), F.concat(subs, F.array(F.lit(""))).alias("s")), lambda z: F.concat(z["g"], z["s"])), "")
-    n = lambda k: F.size(F.filter("_e", lambda x: x["kind"].isin(*k))).cast("long")
-    counts = F.struct(F.size("_e").cast("long").alias("n_entities"), *[n([k]).alias(f"n_{k}") for k in PATTERNS if k != "name"], n(["given_m", "given_f", "surname"]).alias("n_name"))
-    d = d.withColumn(text_col, F.when(F.size("_e") == 0, t).otherwise(joined))
-    return d.select(*[F.col(f"`{c}`") for c in cols], counts.alias(out))
+    e = F.coalesce(F.col("f.e"), F.expr(f"cast(array() as {_MENTIONS})"))
+    subs = F.concat(F.transform("f.e", sub), F.array(F.lit("")))
+    joined = F.array_join(F.transform(F.arrays_zip(F.col("f.gaps").alias("g"), subs.alias("s")), lambda z: F.concat(z["g"], z["s"])), "")
+    n = lambda k: F.size(F.filter(e, lambda x: x["kind"].isin(*k))).cast("long")
+    counts = F.struct(F.size(e).cast("long").alias("n_entities"), *[n([k]).alias(f"n_{k}") for k in PATTERNS], n(list(NAMES)).alias("n_name"))
+    text = F.when(F.col("f").isNull(), F.col("r")[text_col]).otherwise(joined)
+    return d.select(*[text.alias(c) if c == text_col else F.col("r")[c].alias(c) for c in cols], counts.alias(out))
 
 
 def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_entities, counts per kind, and the text with surrogates."""
+    """Per row: doc_id, n_entities, counts per kind, and the text with surrogates; nulls, empty, long and repeated texts as in ``replace``."""
     return replace(docs.select(id_col, text_col), key, text_col).select(id_col, "surrogate.*", F.col(text_col).alias("text"))
