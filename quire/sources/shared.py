@@ -60,8 +60,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
+#: Rows of a table of narrow rows that are worth a file of their own.
+ROWS_A_FILE = 250_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: cuts the lineage and survives lost executors.
+
+    rows: how many narrow rows there are at most, where that is known; a few rows then don't make a file for each shuffle partition."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(_nullable(df.schema)).parquet(path)
