@@ -30,29 +30,29 @@ from quire.llm import shared
 from quire.llm.components import components
 from quire.llm.shingles import set_id, sets
 
-LEAF, FANOUT = 16, 8
-TASK_SHINGLES, BUCKET_SHINGLES, BROADCAST_ROWS = 8_000_000, 16_000_000, 500_000
+LEAF, FANOUT, CHUNK = 16, 8, 256
+#: Shingles of the sets in a task, of a bucket, of a shuffle partition of buckets, and of what a task deals out at once.
+TASK_SHINGLES, BUCKET_SHINGLES, PARTITION_SHINGLES, FLUSH_SHINGLES = 4_000_000, 1 << 20, 1 << 22, 1 << 20
+BROADCAST_ROWS, SEEN, MAP_BITS, CACHE_BYTES = 500_000, 200_000, 1 << 14, 1 << 24
 
 
 def prefix_length(size: int, num: int) -> int:
     return size - -(-num * size // 100) + 1
 
 
-def linked(x: np.ndarray, y: np.ndarray, num: int) -> bool:
-    both = len(x) + len(y)
-    common = both - len(np.unique(np.concatenate([x, y])))
-    return 100 * common >= num * (both - common)
-
-
 class Tree:
-    """A signature tree over sets; ``links`` joins its sets by a dual traversal of the tree with itself."""
+    """A signature tree over sets. ``links`` and ``pairs`` join its sets by a dual traversal of the tree with itself.
+
+    Sets are in the order of their least hash, which similar sets share. A bitmap has about twice as many bits as most sets
+    have shingles; of larger sets it holds less, which their slack makes up for.
+    """
 
     def __init__(self, sets: list[np.ndarray], num: int):
         self.num = num
         order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
         self.order, self.sets = order, [sets[i] for i in order]
         n = np.array([len(s) for s in self.sets])
-        bits = 1 << int(min(1 << 15, max(64, 2 * n.max())) - 1).bit_length()
+        bits = 1 << int(min(MAP_BITS, max(64, 2 * np.quantile(n, 0.9))) - 1).bit_length()
         maps = np.zeros((len(n), bits // 64), np.uint64)
         for row, s in zip(maps, self.sets):
             flags = np.zeros(bits, np.uint8)
@@ -60,15 +60,17 @@ class Tree:
             row[:] = np.packbits(flags, bitorder="little").view(np.uint64)
         slack = n - np.bitwise_count(maps).sum(1)
         self.levels = [(maps, n, n, slack)]
-        self.fan = []
+        self.each = [1]  # sets below a node, by level
         while len(self.levels[-1][1]) > 1:
             m, lo, hi, sl = self.levels[-1]
-            fan = LEAF if not self.fan else FANOUT
+            fan = LEAF if len(self.levels) == 1 else FANOUT
             at = np.arange(0, len(lo), fan)
-            self.fan.append(fan)
+            self.each.append(self.each[-1] * fan)
             self.levels.append((np.bitwise_or.reduceat(m, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(sl, at)))
         self.root = list(range(len(n)))
-        self.compared = 0
+        self.met = 0  # pairs of lowest nodes with sets that were compared exactly
+        self._labels: np.ndarray | None = None
+        self._words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def find(self, x: int) -> int:
         root = self.root
@@ -77,104 +79,124 @@ class Tree:
             x = root[x]
         return x
 
-    def span(self, level: int, i: int) -> range:
-        """The sets below a node."""
-        each = 1
-        for f in self.fan[:level]:
-            each *= f
-        return range(i * each, min((i + 1) * each, len(self.sets)))
+    def union(self, x: np.ndarray, y: np.ndarray) -> None:
+        for p, q in zip(x.tolist(), y.tolist()):
+            p, q = self.find(p), self.find(q)
+            if p != q:
+                self.root[max(p, q)] = min(p, q)
+                self._labels = None
+
+    def span(self, i: int) -> range:
+        """The sets below a lowest node."""
+        return range(i * LEAF, min((i + 1) * LEAF, len(self.sets)))
 
-    def connected(self, level: int, i: int, j: int) -> bool:
-        first = self.find(self.span(level, i)[0])
-        return all(self.find(x) == first for k in {i, j} for x in self.span(level, k))
+    def connected(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of which pairs of nodes all sets are in one component already."""
+        if self._labels is None:
+            self._labels = np.array([self.find(k) for k in range(len(self.sets))])
+        at = np.arange(0, len(self._labels), self.each[level])
+        lo, hi = np.minimum.reduceat(self._labels, at), np.maximum.reduceat(self._labels, at)
+        return (lo[x] == hi[x]) & (lo[y] == hi[y]) & (lo[x] == lo[y])
 
     def possible(self, level: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Of which pairs of nodes sets could link, by size range and greatest possible overlap."""
         m, lo, hi, slack = self.levels[level]
         num = self.num
         fits = (100 * hi[left] >= num * lo[right]) & (100 * hi[right] >= num * lo[left])
-        most = np.bitwise_count(m[left] & m[right]).sum(1) + np.minimum(slack[left], slack[right])
-        return fits & ((100 + num) * most >= num * (lo[left] + lo[right]))
-
-    def links(self) -> list[int]:
-        """For each set, in the order given, the place of the first set of its component."""
-        todo = [(len(self.levels) - 1, 0, 0)]
+        for at in range(0, len(left), 4096):
+            k = at + np.flatnonzero(fits[at : at + 4096])
+            x, y = left[k], right[k]
+            most = np.bitwise_count(m[x] & m[y]).sum(1) + np.minimum(slack[x], slack[y])
+            fits[k] = (100 + num) * most >= num * (lo[x] + lo[y])
+        return fits
+
+    def _leaf_pairs(self, open_only: bool) -> Iterator[tuple[int, int]]:
+        """The pairs of lowest nodes with sets that could link, near ones first; with ``open_only`` without those whose sets
+        have all been connected by then. Only a chunk of pairs a level is held."""
+        one = np.zeros(1, np.int64)
+        todo = [(len(self.levels) - 1, one, one)]
         while todo:
-            level, i, j = todo.pop()
-            if level == 0:
-                a, b = self.find(i), self.find(j)
-                if a != b:
-                    self.compared += 1
-                    if linked(self.sets[i], self.sets[j], self.num):
-                        self.root[max(a, b)] = min(a, b)
-                continue
-            if self.connected(level, i, j):
+            level, x, y = todo.pop()
+            if open_only:
+                ok = ~self.connected(level, x, y)
+                x, y = x[ok], y[ok]
+            if len(x) > CHUNK:
+                todo.append((level, x[CHUNK:], y[CHUNK:]))
+                x, y = x[:CHUNK], y[:CHUNK]
+            if level == 1:
+                for at in range(0, len(x), 16):
+                    p, q = x[at : at + 16], y[at : at + 16]
+                    if open_only:
+                        ok = ~self.connected(1, p, q)
+                        p, q = p[ok], q[ok]
+                    yield from zip(p.tolist(), q.tolist())
                 continue
-            fan, below = self.fan[level - 1], len(self.levels[level - 1][1])
-            left, right = np.arange(i * fan, min((i + 1) * fan, below)), np.arange(j * fan, min((j + 1) * fan, below))
-            x, y = np.repeat(left, len(right)), np.tile(right, len(left))
-            keep = x < y if level == 1 and i == j else x <= y if i == j else np.ones(len(x), bool)
-            x, y = x[keep], y[keep]
-            ok = self.possible(level - 1, x, y)
-            todo += [(level - 1, p, q) for p, q in zip(x[ok].tolist()[::-1], y[ok].tolist()[::-1])]
-        return self._firsts()
-
-    def _firsts(self) -> list[int]:
+            step, below = np.arange(FANOUT), len(self.levels[level - 1][1])
+            p = np.repeat(x[:, None] * FANOUT + step, FANOUT, 1).ravel()
+            q = np.tile(y[:, None] * FANOUT + step, FANOUT).ravel()
+            ok = (p <= q) & (q < below)
+            p, q = p[ok], q[ok]
+            ok = self.possible(level - 1, p, q)
+            p, q = p[ok], q[ok]
+            if len(p):
+                near = np.argsort(q - p, kind="stable")
+                todo.append((level - 1, p[near], q[near]))
+
+    def _held(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the shingles of a lowest node's sets, which set has which)."""
+        if i not in self._words:
+            if sum(w.nbytes + a.nbytes for w, a in self._words.values()) > CACHE_BYTES:
+                self._words.clear()
+            own = [self.sets[k] for k in self.span(i)]
+            words = np.unique(np.concatenate(own))
+            has = np.zeros((len(own), len(words)), np.uint8)
+            for row, s in zip(has, own):
+                row[np.searchsorted(words, s)] = 1
+            self._words[i] = words, has
+        return self._words[i]
+
+    def _met(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, places, shingles in common) of the links between the sets of two lowest nodes, each once."""
+        n, left, right = self.levels[0][1], self.span(i), self.span(j)
+        x, y = np.repeat(np.array(left), len(right)), np.tile(np.array(right), len(left))
+        ok = x < y
+        ok[ok] = self.possible(0, x[ok], y[ok])
+        if not ok.any():
+            return x[:0], x[:0], x[:0]
+        self.met += 1
+        words, has = self._held(i)
+        s = np.concatenate([self.sets[k] for k in right])
+        at = np.minimum(np.searchsorted(words, s), len(words) - 1)
+        hit = words[at] == s
+        starts = np.r_[0, np.cumsum(n[right.start : right.stop])[:-1]]
+        common = np.add.reduceat(has[:, at] * hit.view(np.uint8), starts, axis=1, dtype=np.int64).ravel()
+        ok &= 100 * common >= self.num * (n[x] + n[y] - common)
+        return x[ok], y[ok], common[ok]
+
+    def links(self) -> list[int]:
+        """For each set, in the order given, the place of the first set of its component. Sets that are connected already aren't
+        compared, so a group of near copies takes about one meeting of nodes a node."""
+        if len(self.sets) > 1:
+            for i, j in self._leaf_pairs(True):
+                x, y, _ = self._met(i, j)
+                self.union(x, y)
+        return self.firsts()
+
+    def firsts(self) -> list[int]:
         out = [0] * len(self.sets)
         for place, original in enumerate(self.order):
             out[original] = self.order[self.find(place)]
         return out
 
-    def _leaf_pairs(self) -> Iterator[tuple[int, int]]:
-        """The pairs of lowest nodes with sets that could link, those of one left node in a row."""
-        x = y = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, 1, -1):
-            fan, below = self.fan[level - 1], len(self.levels[level - 1][1])
-            step = np.arange(fan)
-            kept = []
-            for at in range(0, len(x), 1024):
-                p = np.repeat(x[at : at + 1024, None] * fan + step, fan, 1).ravel()
-                q = np.tile(y[at : at + 1024, None] * fan + step, fan).ravel()
-                ok = (p <= q) & (q < below)
-                p, q = p[ok], q[ok]
-                for k in range(0, len(p), 4096):
-                    ok = self.possible(level - 1, p[k : k + 4096], q[k : k + 4096])
-                    kept.append(np.stack([p[k : k + 4096][ok], q[k : k + 4096][ok]]))
-            x, y = np.concatenate(kept, 1) if kept else (x[:0], y[:0])
-        order = np.lexsort((y, x))
-        yield from zip(x[order].tolist(), y[order].tolist())
-
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Every link once: (places, places, shingles in common), in batches, by the order given. Joins the sets, too."""
-        order, n = np.array(self.order), self.levels[0][1]
-        if len(n) < 2:
+        order = np.array(self.order)
+        if len(order) < 2:
             return
-        now = None
-        for i, j in self._leaf_pairs():
-            left, right = self.span(1, i), self.span(1, j)
-            if i != now:
-                now, own = i, [self.sets[k] for k in left]
-                words = np.unique(np.concatenate(own))
-                a = np.zeros((len(left), len(words)), np.float32)
-                for row, s in zip(a, own):
-                    row[np.searchsorted(words, s)] = 1
-            x, y = np.repeat(np.array(left), len(right)), np.tile(np.array(right), len(left))
-            ok = self.possible(0, x, y) & (x < y)
-            if not ok.any():
-                continue
-            s = np.concatenate([self.sets[k] for k in right])
-            at = np.searchsorted(words, s)
-            hit = words[np.minimum(at, len(words) - 1)] == s
-            b = np.zeros((len(right), len(words)), np.float32)
-            b[np.repeat(np.arange(len(right)), n[right.start : right.stop])[hit], at[hit]] = 1
-            common = (a @ b.T).astype(np.int64).ravel()  # exact up to 2 ** 24
-            ok &= 100 * common >= self.num * (n[x] + n[y] - common)
-            x, y, common = x[ok], y[ok], common[ok]
-            if len({self.find(k) for k in (*left, *right)}) > 1:
-                for p, q in zip(x.tolist(), y.tolist()):
-                    p, q = self.find(p), self.find(q)
-                    self.root[max(p, q)] = min(p, q)
+        for i, j in self._leaf_pairs(False):
+            x, y, common = self._met(i, j)
             if len(x):
+                self.union(x, y)
                 yield order[x], order[y], common
 
 
@@ -188,31 +210,52 @@ def _set_rows(docs: DataFrame, n: int, key: str, text_col: str) -> DataFrame:
     return d.mapInArrow(rows, f"_k {docs.schema[key].dataType.simpleString()}, th long, n long, sid long")
 
 
-def _shared_counts(docs: DataFrame, n: int, buckets: int, text_col: str) -> DataFrame:
-    """Rows (sid, shared): of each set, how many shingles another set has too, never too few.
+def _flushed(found: Iterator[tuple[int, np.ndarray]], most: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(ids, arrays) of items gathered until they have ``most`` numbers."""
+    ids, own, size = [], [], 0
+    for i, s in found:
+        ids.append(i)
+        own.append(s)
+        size += len(s)
+        if size >= most:
+            yield ids, own
+            ids, own, size = [], [], 0
+    if own:
+        yield ids, own
 
-    A bucket gets, packed per batch, each set's id, its number of shingles there and their low 32 bits.
+
+def _dealt(df: DataFrame, buckets: int, shingles: int) -> DataFrame:
+    """Rows (bucket, rows) by bucket; a shuffle partition has several buckets, of a bounded number of shingles together."""
+    return df.repartition(max(12, min(buckets, -(-shingles // PARTITION_SHINGLES), 100_000)), "bucket").sortWithinPartitions("bucket")
+
+
+def _shared_counts(docs: DataFrame, n: int, total: int, text_col: str) -> DataFrame:
+    """Rows (sid, shared): of each set, how many shingles another set has too, never too few. total: shingles of all sets.
+
+    A bucket gets, packed, each set's id, its number of shingles there and their low 32 bits. What is held at once is bounded by
+    shingles, on either side of the shuffle.
     """
+    buckets = max(12, -(-total // BUCKET_SHINGLES))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
-            own, ids = [], []
-            for s in sets(b.column("_text"), n):
-                i = set_id(s)
-                if i is not None and i not in seen:
-                    if len(seen) > 2_000_000:
-                        seen.clear()
-                    seen.add(i)
-                    own.append(s)
-                    ids.append(i)
-            if not own:
-                continue
+
+        def new() -> Iterator[tuple[int, np.ndarray]]:
+            for b in batches:
+                for s in sets(b.column("_text"), n):
+                    i = set_id(s)
+                    if i is not None and i not in seen:
+                        if len(seen) > SEEN:
+                            seen.clear()
+                        seen.add(i)
+                        yield i, s
+
+        for ids, own in _flushed(new(), FLUSH_SHINGLES):
             g, sid = np.concatenate(own), np.array(ids, np.int64)
-            of = np.repeat(np.arange(len(own)), [len(s) for s in own])
-            where = (g >> np.uint64(32)) % np.uint64(buckets)
+            of = np.repeat(np.arange(len(own), dtype=np.int32), [len(s) for s in own])
+            where = ((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
-            g, of, where = (g[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), of[order], where[order].astype(np.int64)
+            g, of, where = g.astype("<u4")[order], of[order], where[order]
             at = np.append(np.flatnonzero(np.r_[True, where[1:] != where[:-1]]), len(where))
             blobs = []
             for p, q in zip(at[:-1], at[1:]):
@@ -221,10 +264,10 @@ def _shared_counts(docs: DataFrame, n: int, buckets: int, text_col: str) -> Data
                 blobs.append(b"".join([len(edge[1:]).to_bytes(4, "little"), sid[x[edge[:-1]]].tobytes(), np.diff(edge).astype("<u4").tobytes(), g[p:q].tobytes()]))
             yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
-    def counted(held: list[bytes]) -> pa.RecordBatch:
+    def counted(held: list) -> pa.RecordBatch:
         sids, counts, grams = [], [], []
         for x in held:
-            m = int.from_bytes(x[:4], "little")
+            m = int.from_bytes(bytes(x[:4]), "little")
             sids.append(np.frombuffer(x, "<i8", m, 4))
             counts.append(np.frombuffer(x, "<u4", m, 4 + 8 * m))
             grams.append(np.frombuffer(x, "<u4", -1, 4 + 12 * m))
@@ -238,12 +281,12 @@ def _shared_counts(docs: DataFrame, n: int, buckets: int, text_col: str) -> Data
         twice = np.zeros(len(s), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        n_shared = np.bincount(np.repeat(np.arange(len(sid)), count)[order[twice]], minlength=len(sid))
+        n_shared = np.bincount(np.repeat(np.arange(len(sid), dtype=np.int32), count)[order[twice]], minlength=len(sid))
         keep = n_shared > 0
         return pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array(n_shared[keep].astype(np.int64))], names=["sid", "shared"])
 
     spread = docs.select(F.col(text_col).alias("_text")).mapInArrow(dealt, "bucket long, rows binary")
-    return spread.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(counted), "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared"))
+    return _dealt(spread, buckets, total).mapInArrow(_by_bucket(counted), "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared"))
 
 
 def _by_bucket(each):
@@ -252,7 +295,8 @@ def _by_bucket(each):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for b in batches:
-            for k, r in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist()):
+            for k, r in zip(b.column("bucket").to_pylist(), b.column("rows")):
+                r = memoryview(r.as_buffer())
                 if k != now and held:
                     yield each(held)
                     held = []
@@ -264,25 +308,24 @@ def _by_bucket(each):
     return run
 
 
-def _candidates(docs: DataFrame, n: int, num: int, buckets: int) -> DataFrame:
-    """Edges (a, b) between set ids of (sid, _text) that connect the candidate groups."""
+def _candidates(docs: DataFrame, n: int, num: int, total: int) -> DataFrame:
+    """Edges (a, b) between set ids of (sid, _text) that connect the candidate groups. total: shingles in all prefixes, about."""
+    buckets = max(12, -(-total // BUCKET_SHINGLES))
     posting = np.dtype([("g", "<u4"), ("sid", "<i8"), ("n", "<u4")])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts, where = [], []
-            for i, s in zip(b.column("sid").to_pylist(), sets(b.column("_text"), n)):
-                if i != set_id(s):  # another text with the same document id
-                    continue
-                head = s[: prefix_length(len(s), num)]
-                row = np.empty(len(head), posting)
-                row["g"], row["sid"], row["n"] = (head & np.uint64(0xFFFFFFFF)).astype(np.uint32), i, len(s)
-                parts.append(row)
-                # the hashes are the smallest of a set, so their high bits don't spread
-                where.append((head % np.uint64(0xFFFFFFFB) % np.uint64(buckets)).astype(np.int64))
-            if not parts:
-                continue
-            rows, w = np.concatenate(parts), np.concatenate(where)
+        def heads() -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+            for b in batches:
+                for i, s in zip(b.column("sid").to_pylist(), sets(b.column("_text"), n)):
+                    if i == set_id(s):  # else another text with the same document id
+                        yield (i, len(s)), s[: prefix_length(len(s), num)]
+
+        for ids, own in _flushed(heads(), FLUSH_SHINGLES // 4):
+            size, g = [len(x) for x in own], np.concatenate(own)
+            rows = np.empty(len(g), posting)
+            rows["g"], rows["sid"], rows["n"] = (g & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.repeat(np.array([i for i, _ in ids], np.int64), size), np.repeat([k for _, k in ids], size)
+            # the hashes are the smallest of a set, so their high bits don't spread
+            w = (g % np.uint64(0xFFFFFFFB) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(w, kind="stable")
             rows, w = rows[order], w[order]
             at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
@@ -309,7 +352,7 @@ def _candidates(docs: DataFrame, n: int, num: int, buckets: int) -> DataFrame:
         e = [(x, find(x)) for x in list(root) if find(x) != x]
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], names=["a", "b"])
 
-    return docs.select("sid", "_text").mapInArrow(prefixes, "bucket long, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(edges), "a long, b long")
+    return _dealt(docs.select("sid", "_text").mapInArrow(prefixes, "bucket long, rows binary"), buckets, 4 * total).mapInArrow(_by_bucket(edges), "a long, b long")
 
 
 def _within(rows: DataFrame, n: int, num: int) -> DataFrame:
@@ -383,7 +426,7 @@ def _all_within(rows: DataFrame, n: int, num: int, each: bool) -> DataFrame:
                 if out:
                     yield batch(*map(np.concatenate, zip(*out)))
                 if not each:
-                    yield batch(ids, ids[tree._firsts()], total)
+                    yield batch(ids, ids[tree.firsts()], total)
             held.clear()
             blocks.clear()
 
@@ -399,40 +442,39 @@ def _all_within(rows: DataFrame, n: int, num: int, each: bool) -> DataFrame:
     return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(trees, ", ".join(f"{x} long" for x in names))
 
 
-def _joined(ids: DataFrame, reps: DataFrame, links: DataFrame, split: bool) -> DataFrame:
+def _joined(ids: DataFrame, reps: DataFrame, links: DataFrame, split: bool, n: int) -> DataFrame:
     """(sid, least) of each set, least the smallest key of its component. links: edges (a, b) to the first of a component in a
-    task; split: a component may have come from several tasks."""
+    task; split: a component may have come from several tasks; n: sets that can link."""
     if split:
-        links = shared.written(components(links).select(F.col("node").alias("a"), F.col("root").alias("b")), "links")
+        links = shared.written(components(links).select(F.col("node").alias("a"), F.col("root").alias("b")), "links", rows=n)
     joined = links.select(F.col("a").alias("sid"), F.col("b").alias("root")).union(links.select(F.col("b").alias("sid"), F.col("b").alias("root"))).distinct()
-    joined = shared.written(joined.join(reps, "sid").select("sid", "root", "rep"), "joined")
-    least = shared.written(joined.groupBy("root").agg(F.min("rep").alias("least")), "least")
-    found = shared.written(joined.join(least, "root").select("sid", "least"), "found")
-    return shared.written(reps.join(found, "sid", "left").select("sid", F.coalesce("least", "rep").alias("least")), "of-set")
+    joined = shared.written(joined.join(reps, "sid").select("sid", "root", "rep"), "joined", rows=n)
+    least = joined.groupBy("root").agg(F.min("rep").alias("least"))
+    return shared.written(joined.join(least, "root").select("sid", "least"), "found", rows=n)
 
 
-def _grouped(docs: DataFrame, n: int, num: int, key: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+def _grouped(docs: DataFrame, n: int, num: int, key: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, bool, int]:
     """(rows of ``docs`` with their sets' ids, sets with their smallest keys, the texts of the candidate groups by task, whether
-    a group has several tasks)."""
+    a group has several tasks, how many sets can link)."""
     ids = shared.written(_set_rows(docs, n, key, text_col), "sets")
     reps = shared.written(ids.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("_k").alias("rep"), F.first("n").alias("n")), "reps")
-    total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(12, -(-total // BUCKET_SHINGLES))
-    active = _shared_counts(docs, n, buckets, text_col).join(reps, "sid").filter(f"100 * shared >= {num} * n")
-    active = shared.written(active.select("sid", F.col("rep").alias("_k"), F.col("n").alias("_n")), "active")
-    few = active.count() <= BROADCAST_ROWS
+    total, n_sets = reps.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    active = _shared_counts(docs, n, total, text_col).join(reps, "sid").filter(f"100 * shared >= {num} * n")
+    active = shared.written(active.select("sid", F.col("rep").alias("_k"), F.col("n").alias("_n")), "active", rows=n_sets)
+    n_active, prefixes = active.agg(F.count("*"), F.coalesce(F.sum(F.expr(f"_n * {100 - num} div 100 + 1")), F.lit(0))).first()
     d = docs.select(F.col(key).alias("_dk"), F.col(text_col).alias("_text"))
-    a = F.broadcast(active) if few else active
+    a = F.broadcast(active) if n_active <= BROADCAST_ROWS else active
     texts = shared.written(d.join(a, d["_dk"].eqNullSafe(a["_k"])).select("sid", "_n", "_text"), "active-texts")
-    groups = shared.written(components(_candidates(texts, n, num, max(12, total * (100 - num) // 100 // BUCKET_SHINGLES))), "groups")
+    groups = shared.written(components(_candidates(texts, n, num, prefixes), rows=prefixes), "groups", rows=n_active)
     sized = groups.join(active, groups["node"] == active["sid"]).groupBy(F.col("root").alias("comp")).agg(F.expr(f"cast(ceil(sum(_n) / {TASK_SHINGLES}) as int)").alias("blocks"))
-    sized = shared.written(sized, "group-sizes")
-    cut = shared.written(groups.join(sized, groups["root"] == sized["comp"]).select("node", "comp", "blocks"), "tasks")
+    cut = shared.written(groups.join(sized, groups["root"] == sized["comp"]).select("node", "comp", "blocks"), "tasks", rows=n_active)
+    split = bool(cut.filter("blocks > 1").limit(1).count())
     cut = cut.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     cut = cut.withColumn("other", F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x != own))")))
     cut = cut.select("node", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    cut = F.broadcast(cut) if n_active <= BROADCAST_ROWS and not split else cut
     rows = texts.join(cut, texts["sid"] == cut["node"]).select("comp", "i", "j", "own", "sid", "_text")
-    return ids, reps, rows, bool(sized.filter("blocks > 1").limit(1).count())
+    return ids, reps, rows, split, n_active
 
 
 def classes(docs: DataFrame, n: int = 5, num: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -443,8 +485,10 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, key: str = "doc_id", tex
     key. Rows with equal ids are rows of their own. Keys that are null don't count for the smallest
     unless there are no others.
     """
-    ids, reps, rows, split = _grouped(docs, n, num, key, text_col)
-    of_set = _joined(ids, reps, shared.written(_within(rows, n, num), "links"), split)
+    ids, reps, rows, split, n_active = _grouped(docs, n, num, key, text_col)
+    of_set = _joined(ids, reps, shared.written(_within(rows, n, num), "links"), split, n_active)
+    of_set = F.broadcast(of_set) if n_active <= BROADCAST_ROWS else of_set
+    of_set = reps.join(of_set, "sid", "left").select("sid", F.coalesce("least", "rep").alias("least"))
     return ids.join(of_set, "sid", "left").select(F.col("_k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "_k").alias("component_id"), F.col("th").alias("text_hash"))
 
 
@@ -454,9 +498,10 @@ def links(docs: DataFrame, n: int = 4, num: int = 85, key: str = "doc_id", text_
     n_equal is how many other rows have an equal set, n_links how many different sets the row's set links to, each
     counted once, whether or not they are connected otherwise. A row without words has set_id null and 0 of both.
     """
-    ids, reps, rows, split = _grouped(docs, n, num, key, text_col)
+    ids, reps, rows, split, n_active = _grouped(docs, n, num, key, text_col)
     found = shared.written(_all_within(rows, n, num, False), "links")
-    of_set = _joined(ids, reps, found.filter("a != b").select("a", "b"), split)
+    of_set = _joined(ids, reps, found.filter("a != b").select("a", "b"), split, n_active)
+    of_set = reps.join(of_set, "sid", "left").select("sid", F.coalesce("least", "rep").alias("least"))
     equal = ids.filter("sid IS NOT NULL").groupBy("sid").agg((F.count("*") - 1).alias("n_equal"))
     counted = found.groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("n_links"))
     per = shared.written(of_set.join(equal, "sid").join(counted, "sid", "left"), "per-set")
@@ -469,27 +514,32 @@ def links(docs: DataFrame, n: int = 4, num: int = 85, key: str = "doc_id", text_
 def pairs(docs: DataFrame, n: int = 4, num: int = 85, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (a, b, set_a, set_b, common): every link between two different sets once, by the smallest keys and the ids of
     the sets, with their shingles in common. ``links`` has the set_id of each row. As many rows as there are links."""
-    _, reps, rows, _ = _grouped(docs, n, num, key, text_col)
+    _, reps, rows, *_ = _grouped(docs, n, num, key, text_col)
     p = _all_within(rows, n, num, True).select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"), "common")
     x, y = (reps.select(F.col("sid").alias(f"set_{c}"), F.col("rep").alias(c)) for c in "ab")
     return p.join(x, "set_a").join(y, "set_b").select("a", "b", "set_a", "set_b", "common")
 
 
 def report(docs: DataFrame, n: int = 4, num: int = 85, **kw) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, as in ``classes``. A null or empty text has no shingles and its own id;
+    repeated rows are in one component; other columns are not looked at; an empty table gives no rows."""
     return classes(docs, n, num, **kw).drop("text_hash")
 
 
 def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that with the class's smallest id, of several with this id one.
-    Rows without words stay."""
-    own = [F.col(key).alias("_k"), F.col("component_id").alias("_c"), F.col("text_hash").alias("_th")]
-    c = shared.written(classes(docs, n, num, key, text_col).filter("n_shingles > 0").select(*own), "classes")
-    gone = c.filter(~F.col("_k").eqNullSafe(F.col("_c"))).select("_k", "_th").distinct()
-    d = docs.withColumn("_dth", F.xxhash64(text_col))
-    left = d.join(gone, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_dth") == F.col("_th")), "left_anti")
-    first = c.filter(F.col("_k").eqNullSafe(F.col("_c"))).groupBy("_k").agg(F.count("*").alias("rows"), F.min("_th").alias("_least")).filter("rows > 1")
+
+    Rows without words (null and empty texts) stay, all of them. Rows are packed, so columns may have any names. A very long
+    text is a set like others. An empty table gives an empty one.
+    """
+    c = classes(docs, n, num, key, text_col).filter("n_shingles > 0")
+    c = shared.written(c.select(F.col(f"`{key}`").alias("k"), F.col("component_id").alias("c"), F.col("text_hash").alias("th")), "classes")
+    gone = c.filter(~F.col("k").eqNullSafe(F.col("c"))).select("k", "th").distinct()
+    cols = [F.col(f"`{x}`") for x in docs.columns]
+    d = docs.select(F.struct(*cols).alias("r"), F.col(f"`{key}`").alias("dk"), F.xxhash64(f"`{text_col}`").alias("dth"))
+    left = d.join(gone, d["dk"].eqNullSafe(gone["k"]) & (d["dth"] == gone["th"]), "left_anti")
+    first = c.filter(F.col("k").eqNullSafe(F.col("c"))).groupBy("k").agg(F.count("*").alias("n"), F.min("th").alias("least")).filter("n > 1")
     if first.limit(1).count():  # ids that repeat: one row of each stays
-        left = left.join(first, F.col(key).eqNullSafe(F.col("_k")), "left").filter(F.col("rows").isNull() | (F.col("_dth") == F.col("_least")))
-        again = F.when(F.col("rows").isNull(), F.monotonically_increasing_id())
-        left = left.withColumn("_once", again).dropDuplicates([key, "_dth", "_once"]).drop("_once", "_k", "rows", "_least")
-    return left.drop("_dth")
+        left = left.join(first, left["dk"].eqNullSafe(first["k"]), "left").filter("n IS NULL OR dth = least")
+        left = left.withColumn("once", F.when(F.col("n").isNull(), F.monotonically_increasing_id())).dropDuplicates(["dk", "dth", "once"])
+    return left.select("r.*")

@@ -70,10 +70,27 @@ def test_deduplicate(spark):
 
 
 def test_tree_compares_few(spark):
-    """A group of near copies takes about one comparison a set."""
-    sets = list(shingles.sets(pa.array(family(300, 200, 3)), 4))
+    """Of a group of near copies about one pair of lowest nodes a node meets; unlike sets don't meet at all."""
+    sets = list(shingles.sets(pa.array(family(1600, 200, 3)), 4))
     tree = jaccard_join.Tree(sets, 85)
-    assert len(set(tree.links())) == 1 and tree.compared < 900
+    assert len(set(tree.links())) == 1 and tree.met < 300  # of 5,050
+    unlike = jaccard_join.Tree(list(shingles.sets(pa.array([" ".join(f"{i} {k}" for k in range(100)) for i in range(1600)]), 4)), 85)
+    assert len(set(unlike.links())) == 1600 and unlike.met == 0
+
+
+def test_sizes_far_apart(spark):
+    """Bitmaps don't grow with the largest set, and links between sets larger than they are found."""
+    base = [f"w{i}" for i in range(60_000)]
+    texts = [" ".join(base), " ".join(base[:-2000]), " ".join(base[:-20_000])] + [f"short text number {i} of many" for i in range(500)]
+    tree = jaccard_join.Tree(list(shingles.sets(pa.array(texts), 4)), 85)
+    assert tree.levels[0][0].shape[1] <= 2 and tree.links()[:3] in ([0, 0, 2], [1, 1, 2])
+
+
+def test_clashing_names(spark):
+    t = "the same words in a row here"
+    d = spark.createDataFrame([(1, t, 1, 2, 3, 4, 5), (2, t, 6, 7, 8, 9, 10), (1, t, 1, 2, 3, 4, 5), (3, None, 1, 1, 1, 1, 1)], "doc_id long, text string, rows int, _k int, _once int, k int, r int")
+    got = sorted(map(tuple, jaccard_join.deduplicate(d, 2, 80).collect()))
+    assert got == [(1, t, 1, 2, 3, 4, 5), (3, None, 1, 1, 1, 1, 1)]
 
 
 def test_words_cross_no_text_or_piece(monkeypatch):
