@@ -1,15 +1,15 @@
 """Benchmark decontamination by a broadcast set of benchmark n-grams.
 
-The windows of the benchmark are few next to the corpus: their hashes go to every executor as
-a set inside the plan, after a count shows that they are at most ``max_set``. Beyond that, every
-window of the corpus is hashed and joined by a shuffle instead.
+A document is scanned in three steps, all by built-in functions:
 
-The scan of a document has three steps, all built-in functions on one row, with no shuffle of texts:
+1. A window of n words holds exactly one anchor of k words (k <= 6) that starts at a multiple of n - k + 1. Only these anchors of
+   a document are hashed, and looked up in the set of the benchmark's anchors: 64-bit hashes in a hash table that is sent to all
+   executors, if a count shows that they are at most ``max_set``. Of a larger benchmark the anchors' hashes are joined by a shuffle,
+   and nothing else changes: no text and no window is shuffled for the search.
+2. Around each anchor found, the windows that contain it are cut out of the documents that have one.
+3. These are joined to the benchmark's windows by hash, length and the words themselves.
 
-1. A window of n words holds exactly one k-word anchor (k <= 3) that starts at a multiple of
-   n - k + 1. Only these anchors are looked up.
-2. Around each anchor found, the windows that contain it are hashed and looked up.
-3. The windows found are joined to the benchmark's by hash, length and the words themselves.
+Steps 2 and 3 look at each text once, however many documents have it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before A-Z are lower-cased.
 RAW_WORD, NOT_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-ANCHOR = 3
+ANCHOR = 6
+#: Rows up to which a table is sent to all executors (about 40 bytes a row): anchors, and texts with hits.
+MAX_SET, MAX_TEXTS = 2_000_000, 50_000
 
 
 def words(text: Column) -> Column:
@@ -49,84 +51,82 @@ def windows(benchmark: DataFrame, n: int = 10, item_col: str = "item_id", text_c
     )
 
 
-def _in(column: str, hashes: list[int]) -> str:
-    return f"{column} IN ({','.join(f'bigint({x})' if x == -(2**63) else f'{x}L' for x in hashes)})" if hashes else "false"
+def _anchor(n: int) -> tuple[int, int]:
+    """(words of an anchor in a window of ``n`` words, distance between a document's anchors)."""
+    k = min(ANCHOR, n)
+    return k, n - k + 1
 
 
-_HIT = "array<struct<start:int,len:int,h:bigint,win:string>>"
-
-
-def _found(lengths: dict[int, tuple[list[int], list[int]]]) -> Column:
-    """The windows of array ``w`` that are in the set. lengths: window length -> hashes of anchors, of windows."""
-    parts = [f"cast(array() as {_HIT})"]
-    for n, (anchors, hashes) in sorted(lengths.items()):
-        k = min(ANCHOR, n)
-        step = n - k + 1
-        gram = f"slice(w, s + 1, {n})"
-        at = f"filter(sequence(0, size(w) - {k}, {step}), p -> {_in(f'xxhash64(slice(w, p + 1, {k}))', anchors)})"
-        near = f"filter(sequence(greatest(p - {step - 1}, 0), p), s -> s + {n} <= size(w) AND {_in(f'xxhash64({gram})', hashes)})"
-        hit = f"struct(s AS start, {n} AS len, xxhash64({gram}) AS h, array_join({gram}, ' ') AS win)"
-        parts.append(f"if(size(w) < {n}, cast(array() as {_HIT}), transform(array_distinct(flatten(transform({at}, p -> {near}))), s -> {hit}))")
+def _anchors(lengths: list[int]) -> Column:
+    """array<struct<len, p, h>> of array ``w``: the document's anchors for each length of windows, and first the number of words
+    with a length of 0."""
+    parts = ["array(struct(0 AS len, 0 AS p, cast(size(w) AS bigint) AS h))"]
+    for n in lengths:
+        k, step = _anchor(n)
+        parts.append(f"if(size(w) < {n}, cast(array() AS array<struct<len:int,p:int,h:bigint>>), transform(sequence(0, size(w) - {k}, {step}), p -> struct({n} AS len, p, xxhash64(slice(w, p + 1, {k}), {n}) AS h)))")
     return F.expr(f"concat({', '.join(parts)})")
 
 
-def _all(lengths: list[int]) -> Column:
-    """All windows of array ``w``, for a benchmark too large for a set in the plan."""
-    parts = [f"cast(array() as {_HIT})"]
+def _near(lengths: list[int]) -> Column:
+    """array<struct<start, len, h, win>> of array ``w``: the windows that contain the anchors ``ps`` (len, p)."""
+    parts = []
     for n in lengths:
-        gram = f"slice(w, s + 1, {n})"
-        parts.append(f"if(size(w) < {n}, cast(array() as {_HIT}), transform(sequence(0, size(w) - {n}), s -> struct(s AS start, {n} AS len, xxhash64({gram}) AS h, array_join({gram}, ' ') AS win)))")
+        _, step = _anchor(n)
+        starts = f"array_distinct(flatten(transform(filter(ps, x -> x.len = {n}), x -> filter(sequence(greatest(x.p - {step - 1}, 0), x.p), s -> s + {n} <= size(w)))))"
+        parts.append(f"transform({starts}, s -> struct(s AS start, {n} AS len, xxhash64(slice(w, s + 1, {n})) AS h, array_join(slice(w, s + 1, {n}), ' ') AS win))")
     return F.expr(f"concat({', '.join(parts)})")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text_col: str = "text", max_set: int = 50_000) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text_col: str = "text", max_set: int = MAX_SET) -> DataFrame:
     """Rows (key, text_hash, n_words, n_hit, items, positions) for every row of ``docs``.
 
     ``items`` is the sorted array of item ids (as strings) with a window in the text, ``positions``
-    the sorted word positions inside any of them. A null or empty text has no words and no hits;
-    a repeated row gets the same answer each time.
+    the sorted word positions inside any of them. A null or empty text has no words and no hits; a very long one is one row of
+    anchors; a repeated row gets the same answer each time; empty tables give no rows or no hits. Other columns are not looked at.
     """
-    spark = docs.sparkSession
     win = shared.written(windows(benchmark, n), "windows")
-    base = docs.select(F.col(key).alias("_k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"), words(F.col(text_col)).alias("w"))
-    grams = win.select("len", "h", "win").distinct()
-    known = grams.limit(max_set + 1).collect()  # bounded
-    if len(known) <= max_set:
-        k = f"least({ANCHOR}, len)"
-        own = grams.select("len", F.explode(F.expr(f"transform(sequence(0, len - {k}), s -> xxhash64(slice(split(win, ' '), s + 1, {k})))")).alias("a"))
-        lengths: dict[int, tuple[list[int], list[int]]] = {r["len"]: ([], []) for r in known}
-        for r in known:
-            lengths[r["len"]][1].append(r["h"])
-        for r in own.distinct().collect():
-            lengths[r["len"]][0].append(r["a"])
-        base = base.select("_k", "_th", F.size("w").cast("long").alias("n_words"), _found(lengths).alias("found"))
+    lengths = [r[0] for r in win.select("len").distinct().collect()]  # at most n
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    d = docs.select(F.col(f"`{key}`").alias("k"), F.xxhash64(text).alias("th"), words(text).alias("w"))
+    none = docs.sparkSession.createDataFrame([], "th long, n_hit long, items array<string>, positions array<int>")
+    if not lengths:
+        b, per_text = d.select("k", "th", F.size("w").cast("long").alias("n_words")), none
     else:
-        lens = [r[0] for r in win.select("len").distinct().collect()]  # at most n
-        base = base.select("_k", "_th", F.size("w").cast("long").alias("n_words"), _all(lens).alias("found"))
-    base = shared.written(base, "hits")
-    at = base.filter(F.size("found") > 0).select("_k", "_th", "n_words", F.explode("found").alias("f")).select("_k", "_th", "n_words", "f.*").distinct()
-    items = win.groupBy("len", "h", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    if len(known) <= max_set:
-        items = F.broadcast(items)
-    per_doc = (
-        at.join(items, ["len", "h", "win"])
-        .groupBy("_k", "_th", "n_words")
-        .agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(start, start + len - 1)"))))).alias("positions"),
-        )
-    )
-    b, p = base.alias("b"), per_doc.alias("p")
-    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("_k", "_th", "n_words")]
-    none = lambda c, kind: F.coalesce(F.col(f"p.{c}"), F.expr(f"cast(array() as array<{kind}>)"))
-    return b.join(p, same[0] & same[1] & same[2], "left").select(
-        F.col("b._k").alias(key), F.col("b._th").alias("text_hash"), F.col("b.n_words").alias("n_words"),
-        F.size(none("positions", "int")).cast("long").alias("n_hit"), none("items", "string").alias("items"), none("positions", "int").alias("positions"),
+        own = f"transform(sequence(0, len - least({ANCHOR}, len)), s -> xxhash64(slice(split(win, ' '), s + 1, least({ANCHOR}, len)), len))"
+        grams = shared.written(win.select("len", "win").distinct().select(F.explode(F.expr(own)).alias("h")).distinct(), "anchors")
+        scanned = d.select("k", "th", F.explode(_anchors(lengths)).alias("a")).select("k", "th", "a.*")
+        if grams.count() <= max_set:
+            found = scanned.join(F.broadcast(grams.withColumn("hit", F.lit(True))), "h", "left").filter("hit OR len = 0").select("k", "th", "len", "p", F.when(F.col("len") == 0, F.col("h")).alias("n_words"))
+        else:
+            at = scanned.filter("len > 0").select("th", "len", "p", "h").join(grams, "h")
+            found = scanned.filter("len = 0").select("k", "th", "len", "p", F.col("h").alias("n_words")).unionByName(at.select("th", "len", "p"), allowMissingColumns=True)
+        found = shared.written(found, "found")
+        b = found.filter("len = 0").select("k", "th", "n_words")
+        per_text = _verified(d, found.filter("len > 0"), win, lengths)
+    j = b.join(F.broadcast(per_text) if _few(per_text) else per_text, "th", "left")
+    empty = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as array<{kind}>)"))
+    return j.select(
+        F.col("k").alias(key), F.col("th").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), empty("items", "string").alias("items"), empty("positions", "int").alias("positions"),
     )
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(MAX_TEXTS + 1).count() <= MAX_TEXTS
+
+
+def _verified(d: DataFrame, found: DataFrame, win: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows (th, n_hit, items, positions) of the texts in which the anchors ``found`` (th, len, p) are parts of windows."""
+    per = shared.written(found.groupBy("th").agg(F.collect_set(F.struct("len", "p")).alias("ps")), "anchors-of")  # of one text
+    near = d.join(F.broadcast(per) if _few(per) else per, "th").select("th", F.explode(_near(lengths)).alias("f")).select("th", "f.*")
+    items = win.groupBy("len", "h", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    at = near.distinct().join(items, ["len", "h", "win"])
+    positions = F.flatten(F.collect_set(F.expr("sequence(start, start + len - 1)")))
+    out = at.groupBy("th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.array_sort(F.array_distinct(positions)).alias("positions"))
+    return shared.written(out.select("th", F.size("positions").cast("long").alias("n_hit"), "items", "positions"), "hits")
+
+
 def report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; nulls, empty, long and repeated rows as in ``hits``."""
     h = hits(docs, benchmark, **kw)
     return h.select(
         kw.get("key", "doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -137,18 +137,22 @@ def report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", key: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` without contaminated rows (mode "documents") or without the words hit (mode "spans").
 
-    Columns stay as they are; rows with a null or empty text stay. In mode "spans", a word goes
+    Columns of any name stay as they are; rows with a null or empty text stay, and of repeated rows all or none. In mode "spans", a word goes
     with the separators that follow it.
     """
-    h = hits(docs, benchmark, key=key, text_col=text_col, **kw).filter("n_hit > 0").select(F.col(key).alias("_k"), F.col("text_hash").alias("_th"), F.col("positions").alias("_p")).distinct()
-    d = docs.withColumn("_dth", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_dth") == F.col("_th"))
-    if mode == "documents":
-        return d.join(h, same, "left_anti").drop("_dth")
-    if mode != "spans":
+    if mode not in ("documents", "spans"):
         raise ValueError(f"no such mode: {mode}")
-    t = F.col(text_col)
+    h = hits(docs, benchmark, key=key, text_col=text_col, **kw).filter("n_hit > 0").select(F.col(f"`{key}`").alias("hk"), F.col("text_hash").alias("hth"), F.col("positions").alias("ps"))
+    h = shared.written(h.groupBy("hk", "hth").agg(F.first("ps").alias("ps")), "contaminated")
+    h = F.broadcast(h) if _few(h) else h
+    # rows are packed, so that no column of theirs can clash with what is added
+    t = F.col(f"`{text_col}`")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(f"`{key}`").alias("dk"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("dth"))
+    same = F.col("dk").eqNullSafe(F.col("hk")) & (F.col("dth") == F.col("hth"))
+    if mode == "documents":
+        return d.join(h, same, "left_anti").select("r.*")
+    t = F.col("r")[text_col]
     lead = F.regexp_extract(t, f"^{NOT_WORD}*", 0)
     pieces = F.regexp_extract_all(t, F.lit(RAW_WORD + NOT_WORD + "*"), F.lit(0))
-    cut = F.concat(lead, F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("_p", i)), ""))
-    return d.join(h, same, "left").withColumn(text_col, F.when(F.col("_p").isNull(), t).otherwise(cut)).drop("_dth", "_k", "_th", "_p")
+    cut = F.concat(lead, F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("ps", i)), ""))
+    return d.join(h, same, "left").select(*[F.when(F.col("ps").isNull(), t).otherwise(cut).alias(c) if c == text_col else F.col("r")[c].alias(c) for c in docs.columns])
