@@ -250,26 +250,31 @@ def exceptions(known: DataFrame, key: str, most_rounds: int = ROUNDS) -> DataFra
     known: a written table of distinct (kind, norm). Those that have none after ``most_rounds`` draws, as where a format has
     hardly more values than there are entities, get a ``placeholder``.
     """
-    first = shared.written(known.select("kind", "norm", draw(F.col("kind"), F.col("norm"), key, F.lit(0)).alias("s")), "draws")
+    n = known.count()
     own = known.select("kind", F.col("norm").alias("s"))
+    taken: list[DataFrame] = []  # (kind, norm, s, ok) of each round
 
-    def split(cand: DataFrame, taken: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-        free = cand.join(own, ["kind", "s"], "left_anti")
+    def drawn(entities: DataFrame, attempt: int) -> DataFrame:
+        cand = entities.select("kind", "norm", draw(F.col("kind"), F.col("norm"), key, F.lit(attempt)).alias("s"))
+        used = own
         for t in taken:
-            free = free.join(t.select("kind", "s"), ["kind", "s"], "left_anti")
-        good = shared.written(free.groupBy("kind", "s").agg(F.min("norm").alias("norm")), "good")
-        return good, shared.written(cand.select("kind", "norm").join(good.select("kind", "norm"), ["kind", "norm"], "left_anti"), "again")
-
-    good, again = split(first, [])
-    taken, out = [good], again.select("kind", "norm", F.lit("").alias("s")).limit(0)
-    for attempt in range(1, most_rounds):
-        if not again.limit(1).count():
-            return out
-        cand = shared.written(again.select("kind", "norm", draw(F.col("kind"), F.col("norm"), key, F.lit(attempt)).alias("s")), "draws")
-        good, again = split(cand, taken)
-        taken.append(good)
-        out = out.unionByName(good.select("kind", "norm", "s"))
-    return out.unionByName(again.select("kind", "norm", placeholder(F.col("kind"), F.col("norm"), key).alias("s")))
+            used = used.unionByName(t.filter("ok").select("kind", "s"))
+        free = cand.join(used.distinct().withColumn("used", F.lit(True)), ["kind", "s"], "left")
+        first = free.filter("used IS NULL").groupBy("kind", "s").agg(F.min("norm").alias("first"))
+        j = free.join(first, ["kind", "s"], "left").select("kind", "norm", "s", F.col("norm").eqNullSafe(F.col("first")).alias("ok"))
+        return shared.written(j, "draws", rows=n)
+
+    for attempt in range(most_rounds):
+        left = taken[-1].filter("NOT ok") if taken else known
+        if not left.limit(1).count():
+            break
+        taken.append(drawn(left, attempt))
+    out = known.select("kind", "norm", F.lit("").alias("s")).limit(0)
+    for t in taken[1:]:
+        out = out.unionByName(t.filter("ok").select("kind", "norm", "s"))
+    if not taken:
+        return out
+    return out.unionByName(taken[-1].filter("NOT ok").select("kind", "norm", placeholder(F.col("kind"), F.col("norm"), key).alias("s")))
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text", out: str = "surrogate") -> DataFrame:
@@ -282,9 +287,11 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", out: str = "surro
     # rows are packed, so that no column of theirs can clash with what is added
     d = shared.written(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), found(F.col(f"`{text_col}`")).alias("f")), "found")
     each = d.filter("f IS NOT NULL").select(F.explode("f.e").alias("x")).select("x.kind", "x.norm").filter("kind != 'initial'")
-    known = shared.written(each.distinct(), "entities")
-    odd = shared.written(exceptions(known, key), "exceptions")
+    n = d.agg(F.coalesce(F.sum(F.size("f.e")), F.lit(0))).first()[0]
+    known = shared.written(each.distinct(), "entities", rows=n)
+    odd = exceptions(known, key)
     if odd.limit(1).count():
+        odd = shared.written(odd, "exceptions", rows=n)
         d = d.withColumn("h", F.xxhash64(F.col("r")[text_col]))
         used = d.filter("f IS NOT NULL").select("h", F.explode("f.e").alias("x")).select("h", "x.kind", "x.norm").distinct().join(odd, ["kind", "norm"])
         per = used.groupBy("h").agg(F.collect_set(F.struct("kind", "norm", "s")).alias("o"))  # of one text
