@@ -32,8 +32,8 @@ from quire.llm.shingles import set_id, sets
 
 LEAF, FANOUT, CHUNK = 16, 8, 256
 #: Shingles of the sets in a task, of a bucket, of a shuffle partition of buckets, and of what a task deals out at once.
-TASK_SHINGLES, BUCKET_SHINGLES, PARTITION_SHINGLES, FLUSH_SHINGLES = 4_000_000, 1 << 20, 1 << 22, 1 << 20
-BROADCAST_ROWS, SEEN, MAP_BITS, CACHE_BYTES = 500_000, 200_000, 1 << 14, 1 << 24
+TASK_SHINGLES, BUCKET_SHINGLES, PARTITION_SHINGLES, FLUSH_SHINGLES = 4_000_000, 1 << 22, 1 << 24, 1 << 20
+BROADCAST_ROWS, SEEN, SUMS, MAP_BITS, CACHE_BYTES = 500_000, 200_000, 1 << 20, 1 << 14, 1 << 24
 
 
 def prefix_length(size: int, num: int) -> int:
@@ -264,7 +264,7 @@ def _shared_counts(docs: DataFrame, n: int, total: int, text_col: str) -> DataFr
                 blobs.append(b"".join([len(edge[1:]).to_bytes(4, "little"), sid[x[edge[:-1]]].tobytes(), np.diff(edge).astype("<u4").tobytes(), g[p:q].tobytes()]))
             yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
-    def counted(held: list) -> pa.RecordBatch:
+    def counted(held: list) -> tuple[np.ndarray, np.ndarray]:
         sids, counts, grams = [], [], []
         for x in held:
             m = int.from_bytes(bytes(x[:4]), "little")
@@ -282,17 +282,37 @@ def _shared_counts(docs: DataFrame, n: int, total: int, text_col: str) -> DataFr
         twice[1:] |= same
         twice[:-1] |= same
         n_shared = np.bincount(np.repeat(np.arange(len(sid), dtype=np.int32), count)[order[twice]], minlength=len(sid))
-        keep = n_shared > 0
-        return pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array(n_shared[keep].astype(np.int64))], names=["sid", "shared"])
+        return sid[n_shared > 0], n_shared[n_shared > 0]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a set and task, not one a bucket, as long as there are few enough."""
+        sids, counts, size = [], [], 0
+
+        def sums() -> tuple[np.ndarray, np.ndarray]:
+            sid, of = np.unique(np.concatenate(sids), return_inverse=True)
+            return sid, np.bincount(of, np.concatenate(counts)).astype(np.int64)
+
+        for sid, n_shared in _by_bucket(counted)(batches):
+            sids.append(sid)
+            counts.append(n_shared)
+            size += len(sid)
+            if size > SUMS:
+                sid, n_shared = sums()
+                if 2 * len(sid) > SUMS:
+                    yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(n_shared)], names=["sid", "shared"])
+                    sid, n_shared = sid[:0], n_shared[:0]
+                sids, counts, size = [sid], [n_shared], len(sid)
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums()], names=["sid", "shared"])
 
     spread = docs.select(F.col(text_col).alias("_text")).mapInArrow(dealt, "bucket long, rows binary")
-    return _dealt(spread, buckets, total).mapInArrow(_by_bucket(counted), "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared"))
+    return _dealt(spread, buckets, total).mapInArrow(summed, "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared"))
 
 
 def _by_bucket(each):
-    """Gathers a sorted partition's rows by bucket; ``each`` makes a batch of the packed rows of one."""
+    """Gathers a sorted partition's rows by bucket; gives what ``each`` makes of the packed rows of one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator:
         held, now = [], None
         for b in batches:
             for k, r in zip(b.column("bucket").to_pylist(), b.column("rows")):
@@ -352,7 +372,7 @@ def _candidates(docs: DataFrame, n: int, num: int, total: int) -> DataFrame:
         e = [(x, find(x)) for x in list(root) if find(x) != x]
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], names=["a", "b"])
 
-    return _dealt(docs.select("sid", "_text").mapInArrow(prefixes, "bucket long, rows binary"), buckets, 4 * total).mapInArrow(_by_bucket(edges), "a long, b long")
+    return _dealt(docs.select("sid", "_text").mapInArrow(prefixes, "bucket long, rows binary"), buckets, total).mapInArrow(_by_bucket(edges), "a long, b long")
 
 
 def _within(rows: DataFrame, n: int, num: int) -> DataFrame:
@@ -457,7 +477,7 @@ def _grouped(docs: DataFrame, n: int, num: int, key: str, text_col: str) -> tupl
     """(rows of ``docs`` with their sets' ids, sets with their smallest keys, the texts of the candidate groups by task, whether
     a group has several tasks, how many sets can link)."""
     ids = shared.written(_set_rows(docs, n, key, text_col), "sets")
-    reps = shared.written(ids.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("_k").alias("rep"), F.first("n").alias("n")), "reps")
+    reps = shared.written(ids.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("_k").alias("rep"), F.first("n").alias("n")), "reps", rows=ids.count())
     total, n_sets = reps.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     active = _shared_counts(docs, n, total, text_col).join(reps, "sid").filter(f"100 * shared >= {num} * n")
     active = shared.written(active.select("sid", F.col("rep").alias("_k"), F.col("n").alias("_n")), "active", rows=n_sets)
