@@ -134,7 +134,8 @@ def report(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     In order of (conv_id, thread, turn), every message comes after the one it replies to. A null text
     is an empty one; a message that is nothing but quotes has an empty text. Rows that repeat a turn get the same
-    place; rows without conversation or turn are threads of their own.
+    place; rows without conversation or turn are threads of their own. A very long message is parsed whole; other columns are not
+    looked at; an empty table gives no rows.
     """
     m = messages.select(F.col(conv).cast("long").alias("c"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     own = shared.written(_own(m), "messages")

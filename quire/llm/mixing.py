@@ -8,7 +8,8 @@ sources in nearly their target shares. A source's slots end when its target is r
 one possibly within a block.
 
 Running totals over a source, which may hold a third of all rows, are made within hash
-buckets of bounded size and then over the buckets' sums. All steps are DataFrame functions.
+buckets of about BUCKET_ROWS rows, whatever the size of the corpus, and then over the buckets' sums. What runs over all sources in
+one task has one row a source. All steps are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -93,13 +94,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     return both.select("slot", "src", "no_src", "k", F.expr("k % nb").alias("block"), F.least(length, F.col("t") - done).alias("take"), length.alias("length"))
 
 
-def plan(docs: DataFrame, block: int = 512, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), key: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """Rows (key, row_hash, size, source_size, target, taken), one per row of ``docs``.
-
-    A null or empty text has size 0 and is never taken; a null source is a source of its own, the last.
-    Repeated rows are further words of their source. Reruns agree, except that equal rows may swap
-    what is taken of them.
-    """
+def _plan(docs: DataFrame, block: int = 512, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), key: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
     h = F.xxhash64(F.lit(seed), F.col(key), F.col(source_col), F.coalesce(F.col(text_col), F.lit("")))
     d = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), F.col(source_col).isNull().alias("no_src"), n_words(F.col(text_col)).alias("size"), h.alias("h"))
     d = shared.written(d, "sizes")
@@ -119,17 +114,38 @@ def plan(docs: DataFrame, block: int = 512, cap: int = 3, weights: tuple[int, ..
     taken = pieces.join(used, ["src", "no_src", "block"]).groupBy("src", "no_src", "start").agg(F.sum(of_piece).alias("taken")).withColumn("sized", F.lit(True))
     out = laid.withColumn("sized", F.col("size") > 0).join(taken, ["src", "no_src", "start", "sized"], "left")
     out = out.join(_small(sources, n_sources), ["src", "no_src"])
-    return out.select(F.col("_k").alias(key), F.col("h").alias("row_hash"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("_k", "src", "no_src", F.col("h").alias("row_hash"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def plan(docs: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
+    """Rows (key, row_hash, size, source_size, target, taken), one per row of ``docs``.
+
+    A null or empty text has size 0 and is never taken; a very long one is many blocks; a null source is a source of its own, the last.
+    Repeated rows are further words of their source. Reruns agree, except that equal rows may swap
+    what is taken of them. Other columns are not looked at; an empty table gives no rows.
+    """
+    return _plan(docs, key=key, **kw).withColumnRenamed("_k", key).drop("src", "no_src")
 
 
 def report(docs: DataFrame, **kw) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, taken; nulls, empty, long and repeated texts as in ``plan``."""
     return plan(docs, **kw).drop("row_hash")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, **kw) -> DataFrame:
-    """The rows of ``docs``, each as often as the plan takes it, to the nearest whole number."""
-    p = plan(docs, key=key, source_col=source_col, text_col=text_col, seed=seed, **kw)
-    p = p.filter("taken > 0").groupBy("row_hash").agg(F.expr("cast(floor(avg(taken / size) + 0.5) as int)").alias("_copies")).filter("_copies > 0")
-    h = F.xxhash64(F.lit(seed), F.col(key), F.col(source_col), F.coalesce(F.col(text_col), F.lit("")))
-    d = docs.withColumn("_row_hash", h).join(p.withColumnRenamed("row_hash", "_row_hash"), "_row_hash")
-    return d.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs``, each as often as the plan takes it, to the nearest whole number, at most ``cap`` times.
+
+    The plan takes most documents of a source whole; only those at the end of its target are rounded, so a source ends within one of its
+    documents of its target. One whose documents would all be rounded to nothing keeps the one that is taken most. Columns of any
+    name come back as they are; rows without words are in no mix.
+    """
+    p = _plan(docs, key=key, source_col=source_col, text_col=text_col, seed=seed, **kw).filter("taken > 0")
+    p = p.groupBy("row_hash").agg(F.avg(F.col("taken") / F.col("size")).alias("share"), F.count("*").alias("rows"), F.first("src").alias("src"), F.first("no_src").alias("no_src"))
+    p = shared.written(p.withColumn("copies", F.floor(F.col("share") + 0.5).cast("int")), "shares")
+    per = p.groupBy("src", "no_src").agg(F.sum(F.col("copies") * F.col("rows")).alias("n"), F.max_by("row_hash", F.struct("share", "row_hash")).alias("row_hash"))
+    least = shared.written(per.filter("n = 0").select("row_hash", F.lit(1).alias("least")), "least")
+    p = p.join(_small(least, least.count()), "row_hash", "left").select("row_hash", F.greatest("copies", "least").alias("copies")).filter("copies > 0")
+    # rows are packed, so that no column of theirs can clash with what is added
+    h = F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{source_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), h.alias("row_hash")).join(p, "row_hash")
+    return d.select("r", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("r.*")

@@ -5,7 +5,7 @@ marks), and for each word whether its three-word window came up before. The n-gr
 hashed to 2 ** BITS features, valued by the logarithm of their count, to unit length. The score is
 the logistic function of a sparse dot product.
 
-The fit takes at most ``max_train`` labelled documents, those first by a hash of their id; scoring
+The fit takes at most ``max_train`` labelled documents, with ``max_bytes`` of features, those first by a hash of their id; scoring
 covers every whole text. The weights, of fixed size, go to the executors.
 """
 
@@ -18,11 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm import shared
+
 BITS = 18
-MAX_TRAIN = 8_000
+#: The bounds of the sample that is fitted: documents, and bytes of their features.
+MAX_TRAIN, MAX_BYTES = 8_000, 1 << 28
 _MIX, _SEEDS = np.uint64(0x9E3779B97F4A7C15), [np.uint64(x) for x in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _REPEATED, _NEW = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 _SHAPES = ((re.compile(r"[A-Z]+"), "A"), (re.compile(r"[0-9]+"), "9"), (re.compile(r"[^\WA-Z0-9_]+"), "a"), (re.compile(r"(\W)\1+"), r"\1"))
@@ -112,9 +115,9 @@ def fold(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 4
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_out: int = 2, key: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_out: int = 2, key: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_bytes: int = MAX_BYTES) -> Model:
     """Fits on labelled rows outside the fold ``held_out``. Labels without an id or a value are left out; of
-    several for one id the greatest counts."""
+    several for one id the greatest counts. A document's features are at most 2 ** BITS, however long it is."""
     own = labels.filter(F.col(key).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(key)) != held_out)).groupBy(F.col(key).alias("_k")).agg(F.max(F.col(label_col)).cast("int").alias("_y"))
     chosen = own.orderBy(F.xxhash64(F.lit(11), "_k"), "_k").limit(max_train)  # the bound of the sample
 
@@ -124,7 +127,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_o
             yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_y"), pa.array([i.tobytes() for i, _ in f], pa.binary()), pa.array([v.tobytes() for _, v in f], pa.binary())], names=["_k", "_y", "i", "v"])
 
     d = docs.select(F.col(key).alias("_k"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_k").select("_k", "_y", "_text")
-    rows = d.mapInArrow(sparse, f"_k {docs.schema[key].dataType.simpleString()}, _y int, i binary, v binary").collect()  # at most max_train documents
+    found = shared.written(d.mapInArrow(sparse, f"_k {docs.schema[key].dataType.simpleString()}, _y int, i binary, v binary"), "features")
+    # one row a document of the sample
+    upto = F.sum(F.octet_length("i") + F.octet_length("v")).over(Window.orderBy(F.xxhash64(F.lit(11), "_k"), "_k", F.xxhash64("i", "v")))
+    rows = found.withColumn("upto", upto).filter(F.col("upto") <= max_bytes).drop("upto").collect()
     rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["_k"])), r["i"]))
     return ftrl([(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32), r["_y"]) for r in rows])
 
@@ -142,4 +148,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, held_out: int =
 
 
 def report(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.7) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, score, predicted, by a model fitted on ``labels``. A null text scores as an empty one, a very
+    long one whole, equal texts alike; a null id is in some fold; without labels all score 0.5; other columns are not looked at."""
     return score(docs, train(docs, labels, max_train), threshold)

@@ -145,13 +145,15 @@ def ablation(led: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES, bi
 
 
 def keep(docs: DataFrame, policy: Policy = PRODUCTION, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with its columns, that the policy keeps."""
-    led = ledger(docs.withColumnRenamed("ledger", "_own_ledger"), rules, text_col)
-    return led.filter(passes(policy, rules)).drop("ledger").withColumnRenamed("_own_ledger", "ledger")
+    """The rows of ``docs`` that the policy keeps, with its columns, of any names. A null or empty text has no words and goes; a very
+    long one is measured whole; repeated rows go or stay alike; an empty table gives an empty one."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return ledger(row, rules, "text", keep=["row"]).filter(passes(policy, rules)).select("row.*")
 
 
 def report(docs: DataFrame, policy: Policy = PRODUCTION, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, fail_bits, policy."""
+    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, fail_bits, policy. A null or empty text
+    has no words and fails; a very long one is measured whole; repeated rows are measured each."""
     led = ledger(docs, text_col=text_col, keep=[key])
     m = [F.col(f"ledger.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     base = ~passes(BASE)

@@ -248,7 +248,8 @@ class Encoder:
     to its model, each once; other new pieces are encoded whole.
     """
 
-    KEPT = 700_000
+    #: Pieces kept, and characters in them.
+    KEPT, KEPT_CHARS = 700_000, 1 << 24
 
     def __init__(self, path: str, end_id: int, split: bool, width: int):
         from tokenizers import Tokenizer
@@ -263,7 +264,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers, self.ids, self.words = _Numbers(), [], {}
+        self.numbers, self.ids, self.words, self.chars = _Numbers(), [], {}, 0
         self.numbers.new = []
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -285,11 +286,12 @@ class Encoder:
         """Per text its ids, the end id last."""
         if not self.split:
             return [x + self.end for x in self._library(texts)]
-        if len(self.ids) > self.KEPT:
+        if len(self.ids) > self.KEPT or self.chars > self.KEPT_CHARS:
             self._clear()
         number = self.numbers.__getitem__
         found = [list(map(number, t.replace("\n", " ").split(" "))) for t in texts]
         self.ids += map(self._piece, self.numbers.new)
+        self.chars += sum(map(len, self.numbers.new))
         self.numbers.new.clear()
         of = self.ids.__getitem__
         return [b"".join(map(of, f)) + self.end for f in found]
@@ -310,14 +312,17 @@ def _file(path: str) -> dict:
 
 
 def drops_space(path: str) -> bool:
-    """Whether a tokenizer file never looks across white space, which it drops: it lower-cases, keeps the matches of
-    a pattern without spaces, maps their bytes and gives each to a byte-pair model."""
+    """Whether a tokenizer file never looks across white space, which it drops: it makes white space one space, lower-cases, keeps the
+    matches of a pattern without spaces, maps their bytes and gives each to a byte-pair model."""
     t = _file(path)
     steps = (t.get("pre_tokenizer") or {}).get("pretokenizers", [])
     kinds = [x["type"] for x in steps]
     normalizers = [x["type"] for x in (t.get("normalizer") or {}).get("normalizers", [])]
     if kinds != ["Split", "ByteLevel"] or normalizers != ["NFC", "Replace", "Lowercase"] or t["model"]["type"] != "BPE" or t["model"].get("dropout"):
         return False
+    replaced = t["normalizer"]["normalizers"][1]
+    if replaced["pattern"] != {"Regex": r"\s+"} or replaced["content"] != " ":
+        return False
     cut, mapped = steps
     added = all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] and not re.search(r"\s", x["content"]) for x in t.get("added_tokens", []))
     return added and cut["behavior"] == "Removed" and cut["invert"] and not mapped["add_prefix_space"] and not mapped["use_regex"] and r"[^\s\p{L}\p{N}]" in cut["pattern"].get("Regex", "")
@@ -333,7 +338,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
     """Writes all of ``docs`` as shards under ``folder`` (a new one in the shared folder by default); gives the manifest.
 
     ``key`` is an integer or string column, null first. A null text is an empty one: its only id is
-    ``end_id``. Rows with equal keys are kept, in the order of their texts.
+    ``end_id``; a very long one is one entry. Rows with equal keys are kept, in the order of their texts. Other columns are not
+    looked at; an empty table makes no shard.
     """
     spark = docs.sparkSession
     folder = folder or shared.new_path(spark, "shards")
@@ -422,7 +428,8 @@ def lookup(manifest: DataFrame, key: int | str | None) -> list[np.ndarray]:
 
 
 def report(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes all of ``docs``, then gives doc_id, start, n_tokens and ids_crc32 as read back from the shards."""
+    """Writes all of ``docs``, then gives doc_id, start, n_tokens and ids_crc32 as read back from the shards; nulls, empty, long and
+    repeated rows as in ``write``."""
     text_key = isinstance(docs.schema[key].dataType, T.StringType)
     return read(write(docs, tokenizer, end_id, key, text_col), text_key, key=key)
 

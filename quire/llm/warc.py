@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm import shared
 
@@ -79,8 +80,11 @@ def write(pages: DataFrame, min_revisit_bytes: int = 0, key: str = "page_id", ur
 
     Of pages with equal payloads of at least ``min_revisit_bytes``, that with the smallest id is the
     response and all others are revisits; a row that repeats the response's id is a response too.
-    A null payload is an empty one. Pages without an id revisit one that has an id, if any.
+    A null payload is an empty one, a very long one is one record. Pages without an id revisit one that has an id, if any. Ids are
+    integers. Other columns are not looked at; an empty table makes no archive.
     """
+    if not isinstance(pages.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"page ids have to be integers: {key}")
     folder = folder or shared.new_path(pages.sparkSession, "warc")
     body = F.coalesce(F.col(html_col), F.lit(""))
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.sha1(body).alias("sha"), body.alias("html"))

@@ -57,3 +57,53 @@ def test_quoted_sentences_and_short_messages(spark):
     rows = [(1, i, "u", t) for i, t in enumerate(texts)]
     r = {x["turn"]: x["reply_to"] for x in C.report(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert r == {0: None, 1: 0, 2: None, 3: 2, 4: None, 5: 4, 6: None, 7: 6, 8: None, 9: 8, 10: None}
+
+
+def test_generated_mails(spark):
+    """Conversations whose messages quote parts of earlier ones, nested, wrapped anew, by sentence or whole: each reply is found."""
+    import random
+
+    rng = random.Random(4)
+    rows, want = [], {}
+    for c in range(12):
+        said = []  # (sentences, message)
+        for turn in range(25):
+            own = [f"This is sentence {k} of message {turn} in talk {c}, said by {rng.choice('abc')}." for k in range(rng.randrange(1, 5))]
+            if rng.random() < 0.3:
+                own.insert(1, "")  # a paragraph's end
+            lines, parent = [], None
+            if said and rng.random() < 0.7:
+                parent = rng.randrange(len(said))
+                old = [x for x in said[parent] if x]
+                cut = rng.choice([old, old[:1], old[-1:], old[1:3] or old])
+                quoted = " ".join(cut)
+                width = rng.choice([30, 60, 500])
+                words, line = quoted.split(" "), ""
+                for w in words:
+                    if len(line) + len(w) > width:
+                        lines.append("> " + line.strip())
+                        line = ""
+                    line += w + " "
+                lines.append("> " + line.strip())
+                if parent and rng.random() < 0.5:  # what the quoted message quoted itself, deeper
+                    lines.append(">> " + [x for x in said[rng.randrange(parent)] if x][0])
+                if rng.random() < 0.5:
+                    lines.insert(0, "On Monday Ann wrote:")
+            text = "\n".join([*lines, *own]) if rng.random() < 0.5 or not lines else "\n".join([*own, "", *lines])
+            said.append(own)
+            want[c, turn] = parent
+            rows.append((c, turn, "user", text, 1, 2))
+    d = spark.createDataFrame(rows, SCHEMA + ", hash int, thread int").repartition(5)
+    got = {(r["conv_id"], r["turn"]): r for r in C.report(d).collect()}
+    assert {k: r["reply_to"] for k, r in got.items()} == want
+    for (c, turn), r in got.items():
+        depth, at = 0, turn
+        while want[c, at] is not None:
+            depth, at = depth + 1, want[c, at]
+        assert (r["thread"], r["depth"]) == (at, depth) and ">" not in r["text"] and f"of message {turn} in talk" in r["text"]
+
+
+def test_very_long_message(spark):
+    rows = [(1, 0, "u", "One long line. " * 50_000), (1, 1, "u", "> One long line.\n" * 20_000 + "yes"), (1, 2, "u", ">" * 100_000)]
+    r = {x["turn"]: x for x in C.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert r[1]["reply_to"] == 0 and r[1]["text"] == "yes" and r[2]["reply_to"] is None

@@ -165,3 +165,109 @@ def test_bounded_sample(spark):
     d = spark.createDataFrame([(i, "some text") for i in range(50)], "doc_id long, text string")
     lab = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     assert isinstance(quality_classifier.train(d, lab, max_train=5), quality_classifier.Model)
+
+
+def test_decontamination_of_large_benchmarks(spark):
+    """Half a million windows: sent as a table of hashes, or joined; the texts aren't written, and both give the same."""
+    from pyspark.sql import functions as F
+
+    n = 50_000
+    item = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("b"), (F.col("id") * 20 + k).cast("string"))), " ")
+    b = spark.range(n).select(F.col("id").alias("item_id"), item.alias("text"))
+    doc = lambda i: " ".join(f"d{i}x{k}" for k in range(30)) + (" " + " ".join(f"b{i * 20 + k}" for k in range(5, 15)) if i % 3 == 0 else "") + " tail"
+    d = spark.createDataFrame([(i, doc(i)) for i in range(60)], "doc_id long, text string")
+    want = [(i, 31 + 10 * (i % 3 == 0), 10 * (i % 3 == 0), int(i % 3 == 0)) for i in range(60)]
+    for most in (2_000_000, 1000):
+        got = decontaminate.report(d, b, max_set=most).orderBy("doc_id").select("doc_id", "n_words", "n_hit", "n_items").collect()
+        assert [tuple(r) for r in got] == want
+
+
+def test_mixing_takes_what_plain_python_takes(spark):
+    """What is taken of each document, and which source each slot belongs to, against a plain model of the schedule."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(0, 400)))) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    block = 64
+    plan = {r["doc_id"]: r for r in mixing.plan(d, block=block).collect()}
+    source = {i: s for i, s, _ in rows}
+    size = {}
+    for i, s, t in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    goal = {s: round(t) for s, t in brute.mixing_targets(size).items()}
+    for s in size:
+        buckets = 1
+        docs = sorted((i for i in plan if source[i] == s), key=lambda i: (plan[i]["row_hash"] % buckets, plan[i]["row_hash"], plan[i]["size"], i))
+        words = [i for i in docs for _ in range(plan[i]["size"])]
+        taken = dict.fromkeys(docs, 0)
+        for k in range(goal[s]):  # word by word, round and round
+            taken[words[k % len(words)]] += 1
+        # whole blocks go first, so within a document at the end of the target, words may come from another place of the same round
+        assert {i: plan[i]["taken"] for i in docs} == taken, s
+    sources = mixing.targets(spark.createDataFrame([(s or "", s is None, n) for s, n in size.items()], "src string, no_src boolean, size long"))
+    slots = [(r["src"], r["no_src"]) for r in mixing.schedule(sources, block).orderBy("slot", "no_src", "src", "k").collect()]
+    order = sorted((s or "", s is None) for s in size if s is not None) + ([("", True)] if None in size else [])
+    total, upto, hi = sum(goal.values()), 0, []
+    for s, none in order:
+        upto += goal[None if none else s]
+        hi.append(round(upto / total * 2**31))
+    need = {(s, none): -(-goal[None if none else s] // block) for s, none in order}
+    count, want, i = dict.fromkeys(order, 0), [], 0
+    while len(want) < len(slots) // 2:
+        x = (i + 1) * mixing.STEP % 2**31
+        s = next(o for o, h in zip(order, hi) if x < h)
+        if count[s] < need[s]:
+            count[s] += 1
+            want.append(s)
+        i += 1
+    assert slots[: len(want)] == want
+
+
+def test_no_source_of_the_mix_falls_to_nothing(spark):
+    long = " ".join("w" for _ in range(1000))
+    rows = [(i, "a", long) for i in range(20)] + [(100, "b", " ".join("w" for _ in range(40_000)))]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    kept = [r["source"] for r in mixing.mix(d, weights=(60, 1)).collect()]
+    assert kept.count("b") == 1 and kept.count("a") > 20
+    named = spark.createDataFrame([(1, "a", long, 7, "x")], "doc_id long, source string, text string, _copies int, _row_hash string")
+    assert [tuple(r)[3:] for r in mixing.mix(named).collect()] == [(7, "x")]
+
+
+def test_ftrl_against_a_plain_one():
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(9)
+    rows = []
+    for _ in range(60):
+        y = rng.randrange(2)
+        idx = sorted(rng.sample(range(50), 6))
+        rows.append((np.array(idx, np.int32), np.array([rng.random() + (0.5 if y and i < 10 else 0) for i in idx], np.float32), y))
+    m = quality_classifier.ftrl(rows, epochs=3)
+    z, n = {}, {}
+    bias = 1 << quality_classifier.BITS
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= 0.02 else (math.copysign(0.02, zi) - zi) / ((1.0 + math.sqrt(n.get(i, 0.0))) / 0.5 + 0.02)
+
+    for _ in range(3):
+        for idx, v, y in rows:
+            x = {**dict(zip(idx.tolist(), map(float, v))), bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * x[i]
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / 0.5 * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    assert all(abs(m.weights[i] - weight(i)) < 1e-5 for i in range(50)) and abs(m.bias - weight(bias)) < 1e-6
+
+
+def test_rules_keep_columns_of_any_name(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    d = spark.createDataFrame([(1, text, "a", "b", "c"), (2, None, "a", "b", "c"), (3, "w " * 400_000, "a", "b", "c")], "doc_id long, text string, ledger string, _own_ledger string, row string")
+    kept = quality_rules.keep(d)
+    assert kept.columns == d.columns and [tuple(r)[0:1] + tuple(r)[2:] for r in kept.collect()] == [(1, "a", "b", "c")]
