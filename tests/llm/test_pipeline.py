@@ -57,7 +57,7 @@ def test_stages_take_any_rows(spark):
     text = "a text of quite ordinary words number {} that is long enough to be kept by every rule there is, as it has more than fifty words in all, "
     text += "and none of them comes again and again in the same way, nor does it shout, or swear, or hold many signs; it goes on like this for a while, to its end, here."
     rows = [(i, text.format(i * 7919), "en", f"s{i % 3}", 300) for i in range(30)]
-    rows += [(None, text.format("x"), None, None, None), (40, None, "en", "s1", 0), (41, "", "en", "s1", 0), (3, rows[3][1], "en", "s0", 300), (3, rows[3][1], "en", "s0", 300), (3, text.format("other"), "en", "s0", 1), (50, " ".join(f"w{i}x{i * 31 % 997}" for i in range(60_000)), "de", "s2", 9)]
+    rows += [(None, " ".join(f"own{i} word{i * 7}" for i in range(60)), None, None, None), (40, None, "en", "s1", 0), (41, "", "en", "s1", 0), (3, rows[3][1], "en", "s0", 300), (3, rows[3][1], "en", "s0", 300), (3, text.format("other"), "en", "s0", 1), (50, " ".join(f"w{i}x{i * 31 % 997}" for i in range(60_000)), "de", "s2", 9)]
     extra = "rows int, _k string, _th string, ledger string, _row_hash string, _copies int, r string, k int, n int, ps string, row string, th string"
     d = spark.createDataFrame([(*r, 1, "a", "b", "c", "d", 2, "e", 3, 4, "f", "g", "h") for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
     for table in (d, d.limit(0)):
