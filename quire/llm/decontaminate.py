@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from quire.llm import shared
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words are runs of letters, digits and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are runs of letters, digits and everything beyond ASCII; between them is this, once A-Z are in lower case.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before A-Z are lower-cased.
 RAW_WORD, NOT_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 ANCHOR = 6
@@ -30,7 +30,8 @@ MAX_SET, MAX_TEXTS = 2_000_000, 50_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words in lower case. Splitting takes a fifth of the time of extracting."""
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN, -1), lambda x: x != "")
 
 
 def windows(benchmark: DataFrame, n: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -58,15 +59,25 @@ def _anchor(n: int) -> tuple[int, int]:
 
 
 def _anchors(lengths: list[int]) -> Column:
-    """array<struct<len, p, h>> of array ``w``: the document's anchors for each length of windows, and first the number of words
-    with a length of 0."""
-    parts = ["array(struct(0 AS len, 0 AS p, cast(size(w) AS bigint) AS h))"]
+    """array<bigint> of array ``w``: first 0, then the hashes of the document's anchors for each length of windows in turn."""
+    parts = ["array(0L)"]
     for n in lengths:
         k, step = _anchor(n)
-        parts.append(f"if(size(w) < {n}, cast(array() AS array<struct<len:int,p:int,h:bigint>>), transform(sequence(0, size(w) - {k}, {step}), p -> struct({n} AS len, p, xxhash64(slice(w, p + 1, {k}), {n}) AS h)))")
+        parts.append(f"if(size(w) < {n}, cast(array() AS array<bigint>), transform(sequence(0, size(w) - {k}, {step}), p -> xxhash64(slice(w, p + 1, {k}), {n})))")
     return F.expr(f"concat({', '.join(parts)})")
 
 
+def _placed(lengths: list[int]) -> Column:
+    """struct<len, p> of the i-th of these in a document of ``n_words`` words; a length of 0 for the first."""
+    i, before, out = F.col("i"), F.lit(1), F.when(F.col("i") == 0, F.struct(F.lit(0).alias("len"), F.lit(0).alias("p")))
+    for n in lengths:
+        k, step = _anchor(n)
+        count = F.when(F.col("n_words") >= n, F.floor((F.col("n_words") - k) / step).cast("int") + 1).otherwise(0)
+        out = out.when(i < before + count, F.struct(F.lit(n).alias("len"), ((i - before) * step).cast("int").alias("p")))
+        before = before + count
+    return out
+
+
 def _near(lengths: list[int]) -> Column:
     """array<struct<start, len, h, win>> of array ``w``: the windows that contain the anchors ``ps`` (len, p)."""
     parts = []
@@ -94,15 +105,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id"
     else:
         own = f"transform(sequence(0, len - least({ANCHOR}, len)), s -> xxhash64(slice(split(win, ' '), s + 1, least({ANCHOR}, len)), len))"
         grams = shared.written(win.select("len", "win").distinct().select(F.explode(F.expr(own)).alias("h")).distinct(), "anchors")
-        scanned = d.select("k", "th", F.explode(_anchors(lengths)).alias("a")).select("k", "th", "a.*")
+        scanned = d.select("k", "th", F.size("w").cast("long").alias("n_words"), F.posexplode(_anchors(lengths)).alias("i", "h"))
+        place = _placed(lengths).alias("at")
         if grams.count() <= max_set:
-            found = scanned.join(F.broadcast(grams.withColumn("hit", F.lit(True))), "h", "left").filter("hit OR len = 0").select("k", "th", "len", "p", F.when(F.col("len") == 0, F.col("h")).alias("n_words"))
+            found = scanned.join(F.broadcast(grams.withColumn("hit", F.lit(True))), "h", "left").filter("hit OR i = 0").select("k", "th", "n_words", place)
         else:
-            at = scanned.filter("len > 0").select("th", "len", "p", "h").join(grams, "h")
-            found = scanned.filter("len = 0").select("k", "th", "len", "p", F.col("h").alias("n_words")).unionByName(at.select("th", "len", "p"), allowMissingColumns=True)
+            at = scanned.filter("i > 0").join(grams, "h").select("th", place)
+            found = scanned.filter("i = 0").select("k", "th", "n_words", place).unionByName(at, allowMissingColumns=True)
+        found = found.select("k", "th", "n_words", "at.*")
         found = shared.written(found, "found")
         b = found.filter("len = 0").select("k", "th", "n_words")
-        per_text = _verified(d, found.filter("len > 0"), win, lengths)
+        per_text = _verified(docs.select(F.xxhash64(text).alias("th"), text.alias("text")), found.filter("len > 0"), win, lengths)
     j = b.join(F.broadcast(per_text) if _few(per_text) else per_text, "th", "left")
     empty = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as array<{kind}>)"))
     return j.select(
@@ -114,12 +127,13 @@ def _few(df: DataFrame) -> bool:
     return df.limit(MAX_TEXTS + 1).count() <= MAX_TEXTS
 
 
-def _verified(d: DataFrame, found: DataFrame, win: DataFrame, lengths: list[int]) -> DataFrame:
-    """Rows (th, n_hit, items, positions) of the texts in which the anchors ``found`` (th, len, p) are parts of windows."""
+def _verified(texts: DataFrame, found: DataFrame, win: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows (th, n_hit, items, positions) of ``texts`` (th, text) in which the anchors ``found`` (th, len, p) are parts of windows."""
     per = shared.written(found.groupBy("th").agg(F.collect_set(F.struct("len", "p")).alias("ps")), "anchors-of")  # of one text
-    near = d.join(F.broadcast(per) if _few(per) else per, "th").select("th", F.explode(_near(lengths)).alias("f")).select("th", "f.*")
+    own = texts.join(F.broadcast(per) if _few(per) else per, "th").select("th", "ps", words(F.col("text")).alias("w"))  # only texts with an anchor
+    near = shared.written(own.select("th", F.explode(_near(lengths)).alias("f")).select("th", "f.*").distinct(), "near")
     items = win.groupBy("len", "h", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    at = near.distinct().join(items, ["len", "h", "win"])
+    at = near.join(items, ["len", "h", "win"])
     positions = F.flatten(F.collect_set(F.expr("sequence(start, start + len - 1)")))
     out = at.groupBy("th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.array_sort(F.array_distinct(positions)).alias("positions"))
     return shared.written(out.select("th", F.size("positions").cast("long").alias("n_hit"), "items", "positions"), "hits")
