@@ -32,8 +32,8 @@ from quire.llm.shingles import set_id, sets
 
 LEAF, FANOUT, CHUNK = 16, 8, 256
 #: Shingles of the sets in a task, of a bucket, of a shuffle partition of buckets, and of what a task deals out at once.
-TASK_SHINGLES, BUCKET_SHINGLES, PARTITION_SHINGLES, FLUSH_SHINGLES = 4_000_000, 1 << 22, 1 << 24, 1 << 20
-BROADCAST_ROWS, SEEN, SUMS, MAP_BITS, CACHE_BYTES = 500_000, 200_000, 1 << 20, 1 << 14, 1 << 24
+TASK_SHINGLES, BUCKET_SHINGLES, PARTITION_SHINGLES, FLUSH_SHINGLES = 4_000_000, 1 << 21, 1 << 24, 1 << 19
+BROADCAST_ROWS, SEEN, SUMS, MAP_BITS, CACHE_BYTES = 500_000, 200_000, 1 << 19, 1 << 14, 1 << 24
 
 
 def prefix_length(size: int, num: int) -> int:

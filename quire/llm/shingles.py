@@ -14,7 +14,7 @@ import xxhash
 
 _A, _M1, _M2 = np.uint64(0xD1342543DE82EF95), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _VALUE = np.array([xxhash.xxh3_64_intdigest(bytes([b]).lower()) for b in range(256)], np.uint64)  # A-Z as a-z
