@@ -22,7 +22,9 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out to all cores where its files give fewer tasks than that (a file of one row group is one task), for
     steps whose work on a row is large next to moving it; as it is where there are tasks enough."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    if len(df._jdf.inputFiles()) >= n or df.select(F.spark_partition_id().alias("p")).distinct().count() >= n:
+        return df
+    return df.repartition(n)
 
 
 def files(spark: SparkSession, path: str, extract=None) -> DataFrame:
