@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat_format, decontaminate, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, surrogates, token_tables, warc
+from quire.llm import chat_format, decontaminate, fill_middle, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, surrogates, token_tables, warc
 from quire.sources.tables import spread
 
 
@@ -58,6 +58,10 @@ def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.report(_table(spark, sf_dir, "documents"), token_tables.public_tokenizer())
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_decontamination": op2_decontamination,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op9_jaccard_links": op9_jaccard_links,
     "op10_token_tables": op10_token_tables,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 _LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -109,4 +114,11 @@ links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id =
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM reach WHERE reach.x = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": _op2, "op3_warc": _op3, "op5_quality_rules": _op5, "op9_jaccard_join": _op9}
+_draw = "('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), {at}, 8))::BIGINT"
+_op11 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, {_draw.format(at=1)} AS h1, {_draw.format(at=9)} AS h2, {_draw.format(at=25)} AS h4 FROM documents),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(list_slice(u, 1, a), '') AS pre, array_to_string(list_slice(u, a + 1, b), '') AS mid, array_to_string(list_slice(u, b + 1, n), '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": _op2, "op3_warc": _op3, "op5_quality_rules": _op5, "op9_jaccard_join": _op9, "op11_fill_middle": _op11}
