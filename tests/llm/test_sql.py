@@ -24,5 +24,6 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.ORACLE_SQL])
 def test_runs_over_the_whole_table(spark, name):
+    n = queries.QUERIES[name](spark, SF).count()
     table = {"op4": "conversations", "op7": "pages"}.get(name.split("_")[0], "documents")
-    assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert n > 0 if name.startswith("op12_") else n == spark.read.parquet(f"{SF}/{table}.parquet").count()
