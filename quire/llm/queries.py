@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat_format, decontaminate, fill_middle, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, spelling, surrogates, token_tables, warc
+from quire.llm import chat_format, decontaminate, fill_middle, html_extract, jaccard_join, licenses, mixing, quality_classifier, quality_rules, spelling, surrogates, token_tables, warc
 from quire.sources.tables import spread
 
 
@@ -66,6 +66,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.report(_table(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_decontamination": op2_decontamination,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_tables": op10_token_tables,
     "op11_fill_middle": op11_fill_middle,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_license_scan": op13_license_scan,
 }
 
 _LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
