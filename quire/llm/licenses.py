@@ -1,7 +1,7 @@
 """Licence scan: a positional index of the rarest words of licence texts.
 
 Of each template the words that are rarest in the corpus are indexed with their places; how rare they are is counted over all
-documents. A file is looked at if it holds one of a template's ``ANCHORS`` rarest words. The places of its indexed words, less their places in a
+documents. A file is looked at if it holds one of a template's ``ANCHORS`` rarest words, or the rarest of a phrase that is found as it stands. The places of its indexed words, less their places in a
 template, give where the template would begin: postings that agree on that are one alignment, and it counts if all words
 of the template's key phrases stand where they have to, enough anchors agree, and what was found weighs enough. Phrases on which nothing may
 differ are templates that are one key phrase.
@@ -100,7 +100,7 @@ def postings(templates: tuple[Template, ...], idf: dict[str, float]) -> list[tup
         rare = sorted(set(w), key=lambda x: (-idf[x], x))
         for i, x in enumerate(w):
             if i in required or x in rare[:INDEXED]:
-                out.append((k, x, i, round(idf[x], 6), x in rare[:ANCHORS], i in required))
+                out.append((k, x, i, round(idf[x], 6), x in rare[: 1 if t.exact else ANCHORS], i in required))
     return out
 
 

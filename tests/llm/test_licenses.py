@@ -38,7 +38,7 @@ def brute(docs):
                 there = [k for k in used if 0 <= s + k < len(w) and w[s + k] == tw[k]]
                 score = min(1.0, round(sum(round(idf[tw[k]], 6) for k in there) / total, 6))
                 anchors = sum(tw[k] in rare[:3] for k in there)
-                if need <= set(there) and score >= 0.6 and anchors >= min(2, sum(x in rare[:3] for x in tw)):
+                if need <= set(there) and score >= 0.6 and (t.exact or anchors >= min(2, sum(x in rare[:3] for x in tw))):
                     labels.add(t.label)
                     best = max(best, score)
                     if t.exact:
