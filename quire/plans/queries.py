@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from quire.functions import chunking
 from quire.functions import text as X
 from quire.operators import answers, embedding, search
+from quire.operators.vector_index import VectorIndex
 from quire.plans import oracle as O
 from quire.sources import shared
 from quire.sources import tables as S
-from quire.sources.store import Log, Store, current, next_ids, with_titles
-from quire.streaming import events
+from quire.sources.store import Log, Store, next_ids, with_titles
+from quire.streaming import events, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -217,22 +218,18 @@ def token_estimates(spark, sf):
 @query(O.with_chunks("SELECT c.id AS document_id, c.file_name, n.chunk_index, 'Chunk #' || n.chunk_index AS title, n.chunk_text, count(n.chunk_index) OVER (PARTITION BY c.id) AS total_chunks, NULL::DOUBLE AS similarity FROM catalog c LEFT JOIN named n ON n.document_id = c.id"))
 def chunk_listing(spark, sf):
     c = S.spread(S.catalog(spark, sf)).select(F.col("id").alias("document_id"), "file_name", X.reconstruct(F.col("text")).alias("clean"))
-    j = chunking.chunk_rows(c, carried=("file_name",), outcome=True)  # a document's outcome row has its number of chunks
-    total = F.max(F.when(F.col("chunk_index").isNull(), long(F.col("token_count")))).over(Window.partitionBy("document_id"))
-    j = j.withColumn("total_chunks", total).filter("chunk_index IS NOT NULL OR total_chunks = 0")
-    total = F.col("total_chunks")
-    return j.select("document_id", "file_name", "chunk_index", F.concat(F.lit("Chunk #"), "chunk_index").alias("title"), "chunk_text", total.alias("total_chunks"), F.lit(None).cast("double").alias("similarity"))
+    j = chunking.chunk_rows(c, carried=("file_name",), outcome=True).filter("chunk_index IS NOT NULL OR n_chunks = 0")  # the worker that made a chunk knows their number
+    return j.select("document_id", "file_name", "chunk_index", F.concat(F.lit("Chunk #"), "chunk_index").alias("title"), "chunk_text", long(F.col("n_chunks")).alias("total_chunks"), F.lit(None).cast("double").alias("similarity"))
 
 
 @query(O.with_chunks("SELECT document_id, chunk_index, chunk_text FROM named WHERE chunk_index = 1"))
 def chunk_by_index(spark, sf):
-    return S.chunks(spark, sf).filter("chunk_index = 1").select("document_id", "chunk_index", "chunk_text")
+    return chunking.chunk_rows(S.cleaned(spark, sf), only=1).select("document_id", "chunk_index", "chunk_text")
 
 
 @query(O.with_chunks("SELECT document_id, string_agg(chunk_text, chr(10) || '--' || chr(10) ORDER BY chunk_index) AS texts FROM named GROUP BY 1"))
 def chunk_texts_ordered(spark, sf):
-    texts = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text")))  # those of one document
-    return S.chunks(spark, sf).groupBy("document_id").agg(F.array_join(F.transform(texts, lambda x: x["chunk_text"]), "\n--\n").alias("texts"))
+    return chunking.chunk_texts(S.cleaned(spark, sf), "\n--\n")  # where they are made, so that no text moves
 
 
 @query(O.with_chunks("""SELECT c.id AS document_id, count(n.chunk_index) AS total_chunks, coalesce(sum(token_count), 0)::BIGINT AS total_tokens, coalesce(sum(char_count), 0)::BIGINT AS total_chars,
@@ -295,8 +292,8 @@ def _queries(spark, sf) -> DataFrame:
 
 def _hits(spark, sf, threshold: float = 0.2) -> DataFrame:
     """The batch search's hits with content and metadata."""
-    hits = search.top_k_batch(S.embeddings(spark, sf), _queries(spark, sf), 5, threshold)
-    return hits.join(S.vectors(spark, sf).drop("embedding"), "id")
+    hits = shared.written(search.top_k_batch(S.embeddings(spark, sf), _queries(spark, sf), 5, threshold), "hits")
+    return hits.join(S.contents(spark, sf, hits.select("id").distinct()), "id")
 
 
 def _one(spark, sf) -> DataFrame:
@@ -332,6 +329,20 @@ def vector_topk_batch(spark, sf):
     return search.top_k_batch(S.embeddings(spark, sf), _queries(spark, sf), 5, 0.2)
 
 
+@query(ORACLE_SQL["vector_topk_batch"])
+def vector_topk_indexed(spark, sf):
+    """The same hits by an index: codes are read, and the vectors whose similarity they leave open."""
+    return VectorIndex.build(S.embeddings(spark, sf)).search(_queries(spark, sf), 5, 0.2)
+
+
+@query()
+def vector_topk_probed(spark, sf):
+    """Nearly the same hits: each query looks at as many cells as a recall of 0.95 took on the index's sample."""
+    index = VectorIndex.build(S.embeddings(spark, sf))
+    probes, keep = index.tuned(0.95)
+    return index.search(_queries(spark, sf), 5, 0.2, probes, keep)
+
+
 @query(f"WITH {O.SEARCH.format(t=0.2)} SELECT query_id, rank::INTEGER AS rank, {_result_sql} FROM hits")
 def search_result_projection(spark, sf):
     return _hits(spark, sf).select("query_id", "rank", *answers.hit_columns())
@@ -372,7 +383,7 @@ def rag_answer(spark, sf):
 @query(O.with_chunks(f", {O.SEARCH.format(t=0.99)} SELECT q.query_id, CASE WHEN NOT EXISTS (SELECT 1 FROM processed WHERE status = 'COMPLETED') THEN '{answers.NO_DOCUMENTS}' WHEN q.query_id NOT IN (SELECT query_id FROM hits WHERE id <> query_id) THEN '{answers.NO_HITS}' END AS reply FROM queries q"))
 def rag_guard(spark, sf):
     hits = search.top_k_batch(S.embeddings(spark, sf), _queries(spark, sf), 5, 0.99).filter("id != query_id")
-    return answers.guard(S.processed(spark, sf).filter("status = 'COMPLETED'").limit(1), hits, _queries(spark, sf))
+    return answers.guard(S.any_completed(spark, sf), hits, _queries(spark, sf))
 
 
 @query(f"WITH {O.SEARCH.format(t=0.2)} SELECT query_id, rank::INTEGER AS rank, '[' || coalesce(m_file_name, 'Document') || ']' || chr(10) || coalesce(content, '') AS result FROM hits")
@@ -547,13 +558,23 @@ def store_status(spark, sf):
 
 @query("SELECT doc_id AS document_id, 'PROCESSING' AS status FROM documents WHERE doc_id % 10 = 3")
 def documents_processing(spark, sf):
-    """What is being processed, by a log in which a tenth of the documents has no outcome yet."""
-    d = S.catalog(spark, sf).select(F.col("id").alias("document_id"))
-    steps = F.when(F.col("document_id") % 10 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(3)))
-    log = d.select("document_id", F.lit(1).cast("long").alias("load"), F.explode(steps).alias("step"))
-    log = log.withColumn("status", F.element_at(F.array(*map(F.lit, ("PENDING", "PROCESSING", "COMPLETED", "FAILED"))), F.col("step") + 1))
-    log = log.withColumn("chunk_count", F.lit(0)).withColumn("error_message", F.lit(None).cast("string"))
-    return current(log).filter("status = 'PROCESSING'").select("document_id", "status")
+    """What is being processed: a store in which all documents wait, and the processing of a tenth has begun and not ended."""
+    store = Store(spark)
+    store.register(S.catalog(spark, sf))
+    store.begin(S.catalog(spark, sf).filter("id % 10 = 3"))
+    return store.status().filter("status = 'PROCESSING'").select("document_id", "status")
+
+
+@query(O.with_chunks("""SELECT c.id AS document_id, count(n.chunk_index) AS total_chunks, coalesce(sum(token_count), 0)::BIGINT AS total_tokens, coalesce(sum(char_count), 0)::BIGINT AS total_chars,
+CASE WHEN count(n.chunk_index) = 0 THEN 0 ELSE (sum(token_count) // count(n.chunk_index)) END::BIGINT AS avg_tokens, CASE WHEN count(n.chunk_index) = 0 THEN 0 ELSE (sum(char_count) // count(n.chunk_index)) END::BIGINT AS avg_chars FROM catalog c LEFT JOIN named n ON n.document_id = c.id WHERE c.id % 3 <> 0 GROUP BY 1"""))
+def store_chunk_stats(spark, sf):
+    """Statistics that loads keep, after half of the documents were processed again and a third deleted. No text is read for them."""
+    store = Store(spark)
+    store.load(_texts(spark, sf).withColumn("text", F.concat("text", F.lit(" More of it."))))
+    store.load(_texts(spark, sf).filter("id % 2 = 0"))
+    store.load(_texts(spark, sf).filter("id % 2 = 1"))
+    store.delete(S.catalog(spark, sf).filter("id % 3 = 0").select(F.col("id").alias("document_id")))
+    return answers.averaged(store.stats())
 
 
 @query(O.with_chunks(f"SELECT document_id, chunk_index, chunk_text FROM named WHERE document_id IN ({_event_docs_sql})"))
@@ -608,7 +629,7 @@ def conversation_by_chat_and_user(spark, sf):
 def chunk_lookup(spark, sf):
     """The chunk with an index, or an error of its own for each document without it."""
     d = S.cleaned(spark, sf).select("document_id", "clean")
-    rows = chunking.chunk_rows(d, outcome=True).filter("chunk_index = 1 OR (chunk_index IS NULL AND token_count <= 1)")
+    rows = chunking.chunk_rows(d, outcome=True).filter("chunk_index = 1 OR (chunk_index IS NULL AND n_chunks <= 1)")
     return rows.select("document_id", "chunk_text", F.when(F.col("chunk_index").isNull(), "Chunk not found: index=1").alias("error"))
 
 
@@ -701,6 +722,37 @@ def answers_on_completion(spark, sf):
     return answers.completed(a, F.col("last") == "error")
 
 
+def _pieces(spark, sf) -> DataFrame:
+    """The tokens of each answer, counted, and behind them whether it ended or failed."""
+    e = S.table(spark, sf, "events")
+    t = S.token_stream(spark, sf).select("stream_id", "seq", "token")
+    n = t.withColumn("n", F.row_number().over(Window.partitionBy("stream_id").orderBy("seq")) - 1)
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    tokens = n.select("stream_id", F.col("n").cast("int").alias("seq"), F.lit("token").alias("kind"), "token", us(F.col("seq.ts")).alias("at_us"))
+    last = e.groupBy(F.col("user_id").alias("stream_id")).agg(F.count("*").cast("int").alias("seq"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"), F.max("ts").alias("ts"))
+    return tokens.unionByName(last.select("stream_id", "seq", F.when(F.col("last") == "error", "error").otherwise("end").alias("kind"), F.lit("").alias("token"), us(F.col("ts")).alias("at_us")))
+
+
+def _streamed(spark, sf) -> Log:
+    """All answers through the stream; its files hold their pieces in no order."""
+    shuffled = _pieces(spark, sf).repartition(4, F.xxhash64("stream_id", "seq"))
+    stream, base = events.arriving(shuffled, "pieces", "parquet", files=2)
+    return live.kept(stream, Log(spark, live.OUT, f"{base}/log"), f"{base}/checkpoint", patience=3600)
+
+
+@query(ORACLE_SQL["answers_on_completion"])
+def answers_completed_live(spark, sf):
+    """The same messages, made where the stream of tokens ends, whatever order these come in."""
+    return answers.completed(live.messages(_streamed(spark, sf)), F.col("failed"))
+
+
+@query(ORACLE_SQL["token_stream_live"])
+def tokens_in_order_live(spark, sf):
+    """The tokens as the stream gives them on, put together by their numbers."""
+    t = _streamed(spark, sf).rows().filter("kind = 'token'").select("stream_id", "seq", F.col("content").alias("token"))
+    return answers.from_first_brace(t)
+
+
 @query(f"WITH {O.CONVERSATIONS}, {O.MESSAGES} SELECT conversation_id, id, role, content FROM messages UNION ALL SELECT conversation_id, max(id) + 1, 'user', 'one more' FROM messages GROUP BY 1 UNION ALL SELECT conversation_id, max(id) + 2, 'assistant', 'reply' FROM messages GROUP BY 1")
 def messages_inserted(spark, sf):
     """The message log after a question and an answer were added to each conversation."""

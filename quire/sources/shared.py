@@ -6,12 +6,14 @@ local tests, a temporary folder of this machine is taken instead.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import closing, contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -60,6 +62,48 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None if there is no such file."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    with closing(fs.open(p)) as f:
+        return bytes(f.readAllBytes()).decode()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file. Who reads it meanwhile may see a part of it."""
+    fs, p = _hadoop(spark, path)
+    with closing(fs.create(p, True)) as f:
+        f.write(bytearray(text.encode()))
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file whole if there is none of that name; says whether it did. Of several writers at once one does."""
+    fs, p = _hadoop(spark, path)
+    own = f"{path}.{uuid.uuid4().hex}"
+    write_text(spark, own, text)
+    source = spark._jvm.org.apache.hadoop.fs.Path(own)
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(source.toUri().getPath(), p.toUri().getPath())  # fails if the name is taken
+            fs.delete(source, False)
+        else:
+            never = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(source, p, never)  # likewise
+        return True
+    except (FileExistsError, Py4JJavaError):
+        fs.delete(source, False)
+        if not fs.exists(p):
+            raise
+        return False
+
+
 #: Rows of a table of narrow rows that are worth a file of their own.
 ROWS_A_FILE = 250_000
 

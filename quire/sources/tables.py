@@ -122,6 +122,14 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_status(spread(catalog(spark, sf_dir)))
 
 
+def any_completed(spark: SparkSession, sf_dir: str, first: int = 64) -> DataFrame:
+    """One processed document that is complete, or none. A few are processed first, the others only if none of them is complete."""
+    c = catalog(spark, sf_dir)
+    done = lambda docs: with_status(docs).filter("status = 'COMPLETED'").limit(1)
+    found = done(c.filter(F.octet_length("text") >= chunking.SHORTEST).limit(first))
+    return found if found.count() else done(spread(c))
+
+
 def metadata(document_id: Column, user_id: Column, file_name: Column, index: Column, title: Column, text: Column) -> Column:
     """The vector store's metadata: seven strings."""
     return F.create_map(
@@ -135,14 +143,31 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, content, metadata, embedding): each vector with the document of its number, if there is one."""
-    v = table(spark, sf_dir, "embeddings")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+def _with_documents(v: DataFrame, d: DataFrame) -> DataFrame:
     title = F.when(F.col("label") % 2 == 0, F.array_join(F.slice(F.split("text", " "), 1, 3), " ")).otherwise("")
     name = F.concat(F.lit("doc_"), F.col("vec_id"), F.lit(".txt"))
     j = v.join(d, v["vec_id"] == d["doc_id"], "left")
-    return j.select(F.col("vec_id").alias("id"), F.col("text").alias("content"), metadata(F.col("doc_id"), F.col("source"), F.when(F.col("doc_id").isNotNull(), name), F.lit(0), title, F.col("text")).alias("metadata"), "embedding")
+    m = metadata(F.col("doc_id"), F.col("source"), F.when(F.col("doc_id").isNotNull(), name), F.lit(0), title, F.col("text"))
+    return j.select(F.col("vec_id").alias("id"), F.col("text").alias("content"), m.alias("metadata"), *[c for c in v.columns if c == "embedding"])
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content, metadata, embedding): each vector with the document of its number, if there is one."""
+    return _with_documents(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+#: Ids up to which a table of them is sent to all executors.
+MAX_IDS = 100_000
+
+
+def contents(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """(id, content, metadata) of the vectors with ``ids`` (id), each once. Texts of other documents aren't moved: ids that are few
+    are sent to where the documents are read, and of many only the rows found by them are joined."""
+    few = ids.count() <= MAX_IDS
+    of = F.broadcast(ids) if few else ids
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label").join(of.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(of.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return _with_documents(v, d)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.sources import shared
 from quire.sources.store import Store
-from quire.sources.tables import SYNC, UPLOAD
+from quire.sources.tables import MAX_IDS, SYNC, UPLOAD
 
 # What is taken from uploads.
 SUPPORTED = (
@@ -63,12 +65,13 @@ def ingest(events: DataFrame, path: str, checkpoint: str):
     return documents_of(events).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
 
 
-def arriving(rows: DataFrame, name: str, kind: str = "text") -> tuple[DataFrame, str]:
-    """``rows`` as files of the shared folder, read as a stream; and the folder, for sinks and checkpoints."""
+def arriving(rows: DataFrame, name: str, kind: str = "text", files: int | None = None) -> tuple[DataFrame, str]:
+    """``rows`` as files of the shared folder, read as a stream, ``files`` of them a micro-batch; and the folder, for sinks and checkpoints."""
     spark = rows.sparkSession
     base = shared.new_path(spark, name)
     rows.write.format(kind).save(f"{base}/in")
-    return spark.readStream.schema(rows.schema).format(kind).load(f"{base}/in"), base
+    reader = spark.readStream.schema(rows.schema).format(kind)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).load(f"{base}/in"), base
 
 
 def ingest_stream(envelopes: DataFrame) -> DataFrame:
@@ -80,32 +83,42 @@ def ingest_stream(envelopes: DataFrame) -> DataFrame:
 
 def resolved(documents: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Catalog rows of events with the raw texts (id, text) they point to: rows to load (id, user_id, file_name, text), and
-    errors (document_id, error_message) for those whose document isn't there."""
+    errors (document_id, error_message) for those whose document isn't there. Of several events of a document one counts."""
     d = documents.withColumn("id", F.expr("try_cast(file_id AS bigint)")).filter("id IS NOT NULL")
     j = d.select("id", "user_id", "file_name").dropDuplicates(["id"]).join(texts.select("id", F.struct("text").alias("t")), "id", "left")
     gone = j.filter("t IS NULL").select(F.col("id").alias("document_id"), F.concat(F.lit("Document not found: "), "id").alias("error_message"))
     return j.filter("t IS NOT NULL").select("id", "user_id", "file_name", "t.text"), gone
 
 
-def etl(store: Store, texts: DataFrame) -> Callable[[DataFrame, int], None]:
+def etl(store: Store, texts: DataFrame, stream: str) -> Callable[[DataFrame, int], None]:
     """What a micro-batch of events sets off: their documents are looked up, cleaned, chunked, embedded and written.
 
-    The batch's number is the load's, so that a batch which is run again replaces what it wrote."""
+    stream: a name that no other stream into this store has, and that stays when it is started again, as its checkpoint's. A micro-batch that
+    is run again after it was loaded adds nothing. The events are read once, and the texts once: by the ids, which are sent
+    to them if they are few."""
 
     def batch(events: DataFrame, number: int) -> None:
-        found, gone = resolved(documents_of(events), texts)
-        store.load(found, number + 1)
-        store.fail(gone, number + 1)
+        e = documents_of(events).withColumn("id", F.expr("try_cast(file_id AS bigint)")).filter("id IS NOT NULL")
+        asked = shared.written(e.select("id", "file_id", "user_id", "file_name").dropDuplicates(["id"]), "asked")
+        n = asked.count()
+        if n:
+            ids = asked.select("id")
+            known = shared.written(texts.select("id", "text").join(F.broadcast(ids) if n <= MAX_IDS else ids, "id", "left_semi"), "found")
+            found, gone = resolved(asked, known)
+            store.load(found, gone, (stream, number), unique=True)
+            shared.drop(known)
+        shared.drop(asked)
 
     return batch
 
 
 class Subscription:
-    """A stream's life: ``start`` begins it or goes on from its checkpoint, ``stop`` ends it. Where it fails, ``run`` starts it
-    again, ``most`` times at most, and then raises."""
+    """A stream's life: ``start`` begins it or goes on from its checkpoint, ``stop`` ends it for good. ``run`` starts it again where it fails: after
+    ``waits`` seconds, of which the last holds on, ``most`` times in a row without any progress (None: for ever), and then raises."""
 
-    def __init__(self, stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True, most: int = 3):
-        self.stream, self.each, self.checkpoint, self.available_now, self.most, self.query = stream, each, checkpoint, available_now, most, None
+    def __init__(self, stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True, most: int | None = 3, waits: tuple[float, ...] = (2.0, 5.0)):
+        self.stream, self.each, self.checkpoint, self.available_now, self.most, self.waits, self.query = stream, each, checkpoint, available_now, most, waits, None
+        self.ended = threading.Event()
 
     def start(self) -> Subscription:
         w = self.stream.writeStream.foreachBatch(self.each).option("checkpointLocation", self.checkpoint)
@@ -113,22 +126,26 @@ class Subscription:
         return self
 
     def stop(self) -> None:
+        self.ended.set()
         if self.query is not None:
             self.query.stop()
 
     def run(self) -> None:
-        for again in range(self.most + 1):
+        failures = 0
+        while not self.ended.is_set():
             try:
                 return self.start().query.awaitTermination()
-            except Exception:
-                if again == self.most:
+            except StreamingQueryException:
+                failures = 1 if self.query.recentProgress else failures + 1
+                if self.most is not None and failures > self.most:
                     raise
+                self.ended.wait(self.waits[min(failures, len(self.waits)) - 1])
 
 
 def etl_stream(envelopes: DataFrame, texts: DataFrame, store: Store) -> Store:
     """Streams events in and loads the documents they announce."""
     stream, base = arriving(envelopes.select("value"), "events")
-    Subscription(stream, etl(store, texts), f"{base}/checkpoint").run()
+    Subscription(stream, etl(store, texts, base), f"{base}/checkpoint").run()
     return store
 
 

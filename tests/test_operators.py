@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.operators import answers, embedding, search
 from quire.sources import shared, tables
-from quire.sources.store import Store
 from quire.streaming import events
 
 
@@ -111,32 +110,6 @@ def test_answer_model(spark):
     assert got[2] is None
 
 
-def test_store(spark):
-    text = "A sentence with enough words to be kept as a chunk of its own. " * 4
-    docs = spark.createDataFrame([(1, "u", "a.txt", text), (2, "u", "b.txt", "short"), (3, "u", "c.txt", None), (1, "u", "a.txt", text)], "id long, user_id string, file_name string, text string")
-    s = Store(spark)
-    assert s.status().count() == 0 and s.chunks().count() == 0 and s.vectors().count() == 0
-    s.register(docs)
-    assert {r["status"] for r in s.status().collect()} == {"PENDING"}
-    s.load(docs)
-    got = {r["document_id"]: (r["status"], r["chunk_count"], r["error_message"]) for r in s.status().collect()}
-    assert got == {1: ("COMPLETED", 1, None), 2: ("FAILED", 0, "Text too short after cleaning: 5 chars"), 3: ("FAILED", 0, "Extracted text is empty")}
-    assert s.chunks().count() == s.vectors().count() == 1
-    n = s.load(docs.filter("id = 1").withColumn("text", F.concat("text", F.lit("new words. "), "text", "text", "text", "text", "text", "text")))
-    m = s.chunks().count()
-    assert m > 1 and s.vectors().count() == m and s.chunks().filter("chunk_text LIKE '%new words%'").count() >= 1
-    s.load(docs.filter("id = 1"), n)  # a load that is run again replaces what it wrote
-    assert s.chunks().count() == 1
-    c = s.compact()
-    assert sorted(map(tuple, c.chunks().collect())) == sorted(map(tuple, s.chunks().collect())) and c.status().count() == 3
-    v = s.vectors().first()
-    assert v["metadata"]["fileName"] == "a.txt" and v["id"] == "1-0" and sum(v["embedding"]) > 10
-    stats = {r["document_id"]: r["total_chunks"] for r in answers.chunk_stats(docs.select(F.col("id").alias("document_id")).distinct(), s.chunks()).collect()}
-    assert stats == {1: 1, 2: 0, 3: 0}
-    s.delete(docs.select(F.col("id").alias("document_id")).filter("document_id = 1"))
-    assert s.chunks().count() == 0 and s.vectors().count() == 0 and s.status().count() == 2
-
-
 def test_subscription_goes_on_after_a_failure(spark, tmp_path):
     seen = []
     spark.createDataFrame([("x",)], "value string").write.text(str(tmp_path / "in"))
@@ -147,12 +120,12 @@ def test_subscription_goes_on_after_a_failure(spark, tmp_path):
             raise ValueError("once")
 
     stream = spark.readStream.schema("value string").text(str(tmp_path / "in"))
-    s = events.Subscription(stream, each, str(tmp_path / "c"))
+    s = events.Subscription(stream, each, str(tmp_path / "c"), waits=(0.1,))
     s.run()
     assert seen == [0, 0]
     s.stop()
     with pytest.raises(Exception, match="once|twice"):
-        events.Subscription(stream, lambda b, n: (_ for _ in ()).throw(ValueError("twice")), str(tmp_path / "d"), most=1).run()
+        events.Subscription(stream, lambda b, n: (_ for _ in ()).throw(ValueError("twice")), str(tmp_path / "d"), most=1, waits=(0.1,)).run()
 
 
 def test_scratch(spark):
