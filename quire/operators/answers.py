@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.functions import text as X
+from quire.operators import models
 
 # Replies, labels and prompt parts that decide results.
 NO_DOCUMENTS = "Hệ thống chưa có tài liệu nội bộ nào được upload."
@@ -20,6 +17,7 @@ AGENT_ERROR = "Đã xảy ra lỗi khi xử lý yêu cầu. Vui lòng thử lạ
 SOURCE_LABEL, PROMPT = ("[Nguồn ", " — ", " > ", "]\n"), ("Thông tin:\n", "\n\nCâu hỏi:\n", "\n\nTrả về JSON duy nhất.\n")
 #: What an answer model is told besides the prompt; replace it as the model needs.
 SYSTEM = "Answer from the information given only. Reply with one JSON object: summary (text), details (list of texts), sources (list of texts)."
+TITLE_PROMPT = "Give a short title for this question, as JSON with a summary:\n"
 ANSWER = "summary string, details array<string>, sources array<string>"
 
 
@@ -70,25 +68,27 @@ def extractive_answer(context: Column) -> Column:
     return F.to_json(F.struct(F.regexp_replace(first, r"\A\[[^\n]*\]\n", "").alias("summary"), F.array().cast("array<string>").alias("details"), F.array(F.regexp_extract(first, r"\A\[([^\n]*)\]", 1)).alias("sources")))
 
 
-def answered(prompts: DataFrame, model: Callable[[list[str]], list[str | None]] | None = None, prompt: str = "prompt") -> DataFrame:
-    """``prompts`` with the column ``answer``: what ``model`` gives for a batch of prompts on the executors, null where it fails.
+def answered(prompts: DataFrame, model: models.Model | None = None, prompt: str = "prompt", **how) -> DataFrame:
+    """``prompts`` with the column ``answer``: what ``model`` replies to each prompt on the executors, null where it fails for it (see ``models.called``).
 
     Without a model, the first block of the prompt's context as JSON, by built-in functions."""
     if model is None:
         return prompts.withColumn("answer", extractive_answer(F.regexp_replace(F.col(prompt), f"\\A{PROMPT[0]}", "")))
-    cols = [c for c in prompts.columns if c != "answer"]
+    return models.called(prompts, prompt, model, "answer", **how).drop("error")
+
+
+def chat(prompt: Column, system: str = SYSTEM) -> Column:
+    """A prompt as the messages that a chat model takes."""
+    of = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(of("system", F.lit(system)), of("user", prompt))
 
-    def replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            asked = b.column(prompt).to_pylist()
-            try:
-                got = list(model(asked))
-            except Exception:  # a model's failure is an answer that is missing, not a failed job
-                got = [None] * len(asked)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*cols, "answer"])
 
-    d = prompts.select(*cols)
-    return d.mapInArrow(replies, T.StructType([*d.schema.fields, T.StructField("answer", T.StringType())]))
+def titled(conversations: DataFrame, model: models.Model, first: str = "first", title: str = "title", **how) -> DataFrame:
+    """``conversations`` with the title that ``model`` makes of the ``first`` message, cleaned; where it fails or gives nothing, the old one stays."""
+    asked = conversations.withColumn("_prompt", F.concat(F.lit(TITLE_PROMPT), F.col(first)))
+    made = X.clean_title(F.col("_title"))
+    got = models.called(asked, "_prompt", model, "_title", **how)
+    return got.withColumn(title, X.not_blank_or(made, F.col(title))).drop("_prompt", "_title", "error")
 
 
 def completed(answers: DataFrame, failed: Column) -> DataFrame:
@@ -144,10 +144,21 @@ def audited(df: DataFrame, user: Column) -> DataFrame:
     return df.select("*", now.alias("created_at"), now.alias("updated_at"), by.alias("created_by"), by.alias("updated_by"))
 
 
-def recent(messages: DataFrame, n: int) -> DataFrame:
-    """The last n messages of every conversation, kept per task first."""
-    w = Window.partitionBy("conversation_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return messages.withColumn("age", F.row_number().over(w)).filter(F.col("age") <= n)
+def recent(messages: DataFrame, n: int, keep_system: bool = False) -> DataFrame:
+    """The last n messages of every conversation, kept per task first.
+
+    keep_system: a conversation's last system message stays whatever comes after it, as one of the n, and earlier ones go; ``age`` still
+    counts the others and the system message by their times."""
+    newest = [F.desc("created_at"), F.desc("id")]
+    whole = Window.partitionBy("conversation_id").orderBy(*newest)
+    if not keep_system:
+        return messages.withColumn("age", F.row_number().over(whole)).filter(F.col("age") <= n)
+    system = F.coalesce(F.col("role") == "system", F.lit(False))
+    of_kind = F.row_number().over(Window.partitionBy("conversation_id", "_system").orderBy(*newest))
+    few = messages.withColumn("_system", system).withColumn("_r", of_kind).filter(F.col("_r") <= n).filter(~F.col("_system") | (F.col("_r") == 1))
+    has = F.max(F.col("_system").cast("int")).over(Window.partitionBy("conversation_id"))
+    kept = few.withColumn("_has", has).filter(F.col("_system") | (F.col("_r") <= n - F.col("_has")))
+    return kept.withColumn("age", F.row_number().over(whole)).drop("_system", "_r", "_has")
 
 
 def summarize(messages: DataFrame, asked: int) -> DataFrame:

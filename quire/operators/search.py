@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,36 @@ def where_metadata(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.filter(F.col("metadata")[key] == value)
 
 
+_PART = re.compile(r"""\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<number>-?[0-9]+(?:\.[0-9]+)?)|(?P<sign>==|!=|<=|>=|<|>|&&|\|\||!|[()\[\],])|(?P<word>[A-Za-z_][A-Za-z0-9_.]*))""")
+_SAID = {"==": "=", "!=": "!=", "&&": "AND", "||": "OR", "!": "NOT", "[": "(", "]": ")", "and": "AND", "or": "OR", "not": "NOT", "in": "IN", "nin": "NOT IN", "true": "'true'", "false": "'false'"}
+
+
+def metadata_filter(expression: str, columns: dict[str, str] | None = None) -> Column:
+    """A filter such as ``userId == 'x' && chunkIndex in ['0', '1'] || !(pages >= 3)`` as a condition on the map ``metadata``.
+
+    Comparisons are of a key with a text, or as numbers with a number, which a value that is none fails. A missing key fails all of them, ``!=`` and
+    ``nin`` too. columns: keys that have a column of their own, which files can be left out by."""
+    parts, at = [], 0
+    expression = expression.rstrip()
+    while at < len(expression):
+        m = _PART.match(expression, at)
+        if m is None:
+            raise ValueError(f"not understood: {expression[at:]!r}")
+        parts.append((m.lastgroup, m[m.lastgroup]))
+        at = m.end()
+    said = []
+    for i, (kind, x) in enumerate(parts):
+        if kind == "text":
+            said.append("'" + re.sub(r"\\(.)", r"\1", x[1:-1], flags=re.DOTALL).replace("\\", "\\\\").replace("'", "\\'") + "'")
+        elif kind == "word" and x.lower() not in _SAID:
+            value = columns[x] if columns and x in columns else f"metadata['{x}']"
+            numeric = next((k == "number" for k, _ in parts[i + 1 :] if k in ("text", "number")), False)
+            said.append(f"try_cast({value} AS double)" if numeric else value)
+        else:
+            said.append(_SAID.get(x.lower(), x))
+    return F.coalesce(F.expr(" ".join(said)), F.lit(False))
+
+
 def top_k(vectors: DataFrame, query: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
     """The k rows most similar to the one row of ``query`` (query_id, embedding), of at least ``threshold``.
 

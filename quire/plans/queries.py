@@ -206,6 +206,21 @@ def chunk_fixed_1200(spark, sf):
     return chunking.fixed_rows(S.spread(S.table(spark, sf, "documents").select("doc_id", "text")), "doc_id")
 
 
+# of the units from at + 2 on, the last space's place, else 1900 on; what stands there goes
+_hard_space = "CASE WHEN contains(t[{at} + 2:{at} + 1901], ' ') THEN {at} + 1901 - instr(reverse(t[{at} + 2:{at} + 1901]), ' ') ELSE {at} + 1900 END"
+_hard_sql = """WITH RECURSIVE walk AS (SELECT doc_id, text AS t, 0 AS n, 0 AS began, CASE WHEN length(text) <= 1900 THEN length(text) ELSE {first} END AS past FROM documents WHERE text <> ''
+UNION ALL SELECT doc_id, t, n + 1, past + 1, CASE WHEN length(t) <= past + 1 + 1900 THEN length(t) ELSE {next} END FROM walk WHERE past + 1 < length(t)),
+cut AS (SELECT doc_id, n, regexp_replace(t[began + 1:past], '^[\\x09-\\x0d\\x1c-\\x20]+|[\\x09-\\x0d\\x1c-\\x20]+$', '', 'g') AS piece FROM walk)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INTEGER AS piece_index, piece FROM cut WHERE piece <> ''"""
+
+
+@query(_hard_sql.replace("{first}", _hard_space.replace("{at}", "0").replace("t[", "text[")).replace("{next}", _hard_space.replace("{at}", "(past + 1)")))
+def sentence_hard_split(spark, sf):
+    """Whole texts as overlong sentences, cut at 1,900 units."""
+    d = S.spread(S.table(spark, sf, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.posexplode(chunking.hard_pieces(F.col("text"))).alias("piece_index", "piece"))
+
+
 @query("SELECT doc_id, ceil(length(text) / 3.8::DOUBLE)::INTEGER AS by_ratio, ceil(length(text) / 4.0::DOUBLE)::INTEGER AS by_quarter, greatest(1, length(text) // 4)::INTEGER AS by_quarter_down, length(text)::INTEGER AS n_units FROM documents")
 def token_estimates(spark, sf):
     t = F.col("text")
@@ -319,6 +334,13 @@ def vector_topk_by_user(spark, sf):
     return search.top_k(search.where_metadata(S.vectors(spark, sf), "userId", "src1"), _one(spark, sf), 5, -1.0).select("id", "score")
 
 
+@query(_one_sql + "SELECT id, score FROM s WHERE score >= -1 AND (m_user_id = 'src1' AND m_document_id NOT IN ('7', '8') OR m_document_id::DOUBLE >= 100) AND NOT m_file_name = 'doc_101.txt' ORDER BY score DESC, id LIMIT 9")
+def vector_topk_filtered(spark, sf):
+    """By a filter in words, as a caller of the search gives it."""
+    f = search.metadata_filter("(userId == 'src1' && documentId nin ['7', '8'] || documentId >= 100) and !(fileName == 'doc_101.txt')")
+    return search.top_k(S.vectors(spark, sf).filter(f), _one(spark, sf), 9, -1.0).select("id", "score")
+
+
 @query(_one_sql + "SELECT id, score FROM s WHERE score >= -1 AND m_document_id = '7' ORDER BY score DESC, id LIMIT 5")
 def vector_in_document(spark, sf):
     return search.top_k(search.where_metadata(S.vectors(spark, sf), "documentId", "7"), _one(spark, sf), 5, -1.0).select("id", "score")
@@ -372,6 +394,13 @@ def rag_prompt(spark, sf):
     return answers.context(_hits(spark, sf)).select("query_id", answers.prompt(F.concat(F.lit("question "), "query_id"), F.col("context")).alias("prompt"))
 
 
+@query(_context_sql + f", p AS (SELECT query_id, 'Thông tin:' || chr(10) || context || chr(10) || chr(10) || 'Câu hỏi:' || chr(10) || 'question ' || query_id || chr(10) || chr(10) || 'Trả về JSON duy nhất.' || chr(10) AS prompt FROM ctx) SELECT query_id, 0 AS place, 'system' AS role, '{answers.SYSTEM}' AS content FROM p UNION ALL SELECT query_id, 1, 'user', prompt FROM p")
+def rag_messages(spark, sf):
+    """The messages that a chat model gets for each question."""
+    p = answers.context(_hits(spark, sf)).select("query_id", answers.prompt(F.concat(F.lit("question "), "query_id"), F.col("context")).alias("prompt"))
+    return p.select("query_id", F.posexplode(answers.chat(F.col("prompt"))).alias("place", "m")).select("query_id", "place", "m.*")
+
+
 @query(_context_sql + ", f AS (SELECT query_id, string_split(context, chr(10) || chr(10))[1] AS first FROM ctx) SELECT query_id, regexp_replace(first, '^\\[[^\\n]*\\]\\n', '') AS summary, regexp_extract(first, '^\\[([^\\n]*)\\]', 1) AS source FROM f")
 def rag_answer(spark, sf):
     """Prompt, stand-in answer, and the answer parsed again."""
@@ -428,6 +457,15 @@ def chat_memory_window(spark, sf):
     return answers.recent(S.messages(spark, sf), 20).select("conversation_id", "id", "role", "age")
 
 
+@query(f"""WITH {O.MESSAGES}, r AS (SELECT conversation_id, id, CASE WHEN id = 0 THEN 'system' ELSE role END AS role, created_at FROM messages),
+k AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, role = 'system' ORDER BY created_at DESC, id DESC) AS n, max((role = 'system')::INTEGER) OVER (PARTITION BY conversation_id) AS has FROM r)
+SELECT conversation_id, id, role, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, id DESC)::INTEGER AS age FROM k WHERE CASE WHEN role = 'system' THEN n = 1 ELSE n <= 4 - has END""")
+def chat_memory_with_system(spark, sf):
+    """Windows of four messages in which the system message, here each conversation's first, outlives all others."""
+    m = S.messages(spark, sf).withColumn("role", F.when(F.col("id") == 0, "system").otherwise(F.col("role")))
+    return answers.recent(m, 4, keep_system=True).select("conversation_id", "id", "role", "age")
+
+
 @query("SELECT conv_id AS conversation_id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) <= 2")
 def conversation_title_needed(spark, sf):
     return S.messages(spark, sf).groupBy("conversation_id").agg(F.count("*").alias("n")).filter("n <= 2")
@@ -530,6 +568,16 @@ def upload_stream(spark, sf):
     return events.ingest_stream(S.upload_envelopes(spark, sf))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'not JSON' WHEN event_type = 'error' THEN 'no address' ELSE 'unsupported type: image/png' END AS reason FROM events WHERE event_id % 13 = 0 OR event_type IN ('signup', 'error')""")
+def upload_dead_letters(spark, sf):
+    """Events that aren't taken, as they came, each with its cause; every thirteenth is cut off."""
+    e = S.upload_envelopes(spark, sf)
+    cut = e.withColumn("value", F.when(F.col("event_id") % 13 == 0, F.expr("left(value, length(value) - 5)")).otherwise(F.col("value")))
+    stream, base = events.arriving(cut, "letters", "parquet")
+    _, bad = events.split(stream, Log(spark, "event_id long, value string, reason string", f"{base}/log"), f"{base}/checkpoint")
+    return bad.select("event_id", "reason")
+
+
 # --- the store
 
 _event_docs_sql = "SELECT event_id FROM events WHERE event_type IN ('view', 'click', 'purchase')"
@@ -722,6 +770,23 @@ def answers_on_completion(spark, sf):
     return answers.completed(a, F.col("last") == "error")
 
 
+def _title_model(prompts: list[str]) -> list[str]:
+    """A stand-in for a title model: the first words; it fails on every third length of a prompt."""
+    if any(len(p) % 3 == 0 for p in prompts):
+        raise ValueError("no title for this")
+    return ['{"summary: ' + " ".join(p.split("\n", 1)[1].split(" ")[:4]) + ', details: none"}' for p in prompts]
+
+
+@query(f"""WITH {O.MESSAGES}, f AS (SELECT conversation_id, content AS first FROM messages QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) = 1),
+t AS (SELECT conversation_id, '{answers.TITLE_PROMPT[:-1]}' || chr(10) || first AS p, regexp_replace(array_to_string(list_slice(string_split(first, ' '), 1, 4), ' '), '[{{}}"\\[\\]]|summary:|details:|sources:', '', 'g') || ',' AS raw FROM f),
+c AS (SELECT conversation_id, p, regexp_replace(regexp_replace(raw, ',$', ''), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS title FROM t)
+SELECT conversation_id, CASE WHEN length(p) % 3 = 0 OR regexp_matches(title, '^\\s*$') THEN 'New Conversation' ELSE title END AS title FROM c""")
+def titles_generated(spark, sf):
+    """Titles by a model from each conversation's first message; where it fails, the default stays."""
+    first = S.messages(spark, sf).groupBy("conversation_id").agg(F.min_by("content", F.struct("created_at", "id")).alias("first"))
+    return answers.titled(first.withColumn("title", F.lit("New Conversation")), _title_model, tries=1).select("conversation_id", "title")
+
+
 def _pieces(spark, sf) -> DataFrame:
     """The tokens of each answer, counted, and behind them whether it ended or failed."""
     e = S.table(spark, sf, "events")

@@ -25,8 +25,11 @@ from quire.sources.manifest import Manifest
 SUMS = "chunk_count int, n_tokens long, n_chars long"
 STATUS = f"document_id long, load long, step int, status string, {SUMS}, error_message string"
 CHUNKS = "document_id long, chunk_index int, chunk_title string, chunk_text string, token_count int, char_count int, batch int, user_id string, file_name string"
-VECTORS = "id string, document_id long, content string, metadata map<string,string>, embedding array<float>"
+VECTORS = "id string, document_id long, user_id string, content string, metadata map<string,string>, embedding array<float>"
 STEPS = ("PENDING", "PROCESSING", "COMPLETED", "FAILED", "DELETED")
+#: Metadata that vectors have as columns too; their files say by Bloom filters which values they hold.
+COLUMNS = {"documentId": "document_id", "userId": "user_id"}
+BLOOM = {f"parquet.bloom.filter.enabled#{c}": "true" for c in COLUMNS.values()} | {f"parquet.bloom.filter.expected.ndv#{c}": "100000" for c in COLUMNS.values()}
 #: Tables of the status log that a reader takes at most, about.
 FOLD = 16
 
@@ -144,7 +147,7 @@ class Store:
         name = self._name(load)
         rows.withColumn("batch", F.expr(f"cast(chunk_index div {tables.CHUNK_BATCH} as int)")).withColumn("load", F.lit(load).cast("long")).write.parquet(f"{self.path}/rows/{name}")
         own = self.spark.read.schema(f"{CHUNKS}, load long, blank boolean, n_units int, n_chunks int, n_tokens long, n_chars long").parquet(f"{self.path}/rows/{name}")
-        self._vectors(own.filter("chunk_index IS NOT NULL")).write.parquet(f"{self.path}/vectors/{name}")
+        self._vectors(own.filter("chunk_index IS NOT NULL")).write.options(**BLOOM).parquet(f"{self.path}/vectors/{name}")
         error = tables.error_of(F.col("blank"), F.col("n_units"), F.col("n_chunks"))
         outcome = own.filter("chunk_index IS NULL").select("document_id", F.when(error.isNull(), "COMPLETED").otherwise("FAILED").alias("status"), F.col("n_chunks").alias("chunk_count"), "n_tokens", "n_chars", error.alias("error_message"))
         status = [self._written_status(outcome, load)]
@@ -158,7 +161,7 @@ class Store:
 
     def _vectors(self, chunks: DataFrame) -> DataFrame:
         m = tables.metadata(F.col("document_id"), F.col("user_id"), F.col("file_name"), F.col("chunk_index"), F.col("chunk_title"), F.col("chunk_text"))
-        own = chunks.select(F.concat_ws("-", "document_id", "chunk_index").alias("id"), "document_id", "load", F.col("chunk_text").alias("content"), m.alias("metadata"))
+        own = chunks.select(F.concat_ws("-", "document_id", "chunk_index").alias("id"), "document_id", "user_id", "load", F.col("chunk_text").alias("content"), m.alias("metadata"))
         return embedding.embedded(own, "content", self.embed)
 
     def _read(self, kind: str, names: list[str], schema: str) -> DataFrame:
@@ -182,7 +185,7 @@ class Store:
         return self._current("rows", f"{CHUNKS}, load long", self.manifest.last()[1]).filter("chunk_index IS NOT NULL").drop("load")
 
     def vectors(self) -> DataFrame:
-        """(id, document_id, content, metadata, embedding) of all documents that are loaded."""
+        """(id, document_id, user_id, content, metadata, embedding) of all documents that are loaded."""
         return self._current("vectors", f"{VECTORS}, load long", self.manifest.last()[1]).drop("load")
 
     def compact(self) -> Store:
@@ -192,7 +195,7 @@ class Store:
             return self
         one = self._name(0)
         self._current("rows", f"{CHUNKS}, load long, n_chunks int", state).write.parquet(f"{self.path}/rows/{one}")
-        self._current("vectors", f"{VECTORS}, load long", state).write.parquet(f"{self.path}/vectors/{one}")
+        self._current("vectors", f"{VECTORS}, load long", state).write.options(**BLOOM).parquet(f"{self.path}/vectors/{one}")
 
         def change(now):
             if set(state["data"]) <= set(now["data"]):  # else another writer has compacted them

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.sources import shared
-from quire.sources.store import Store
+from quire.sources.store import Log, Store
 from quire.sources.tables import MAX_IDS, SYNC, UPLOAD
 
 # What is taken from uploads.
@@ -42,6 +42,26 @@ def documents_of(events: DataFrame) -> DataFrame:
     )
 
 
+def judged(events: DataFrame) -> DataFrame:
+    """``events`` with ``reason``: why one is not taken, null if it is. Works on batches and streams alike."""
+    p = payload(F.col("value"))
+    reason = (
+        F.when(F.col("value").isNull() | F.expr("try_parse_json(value)").isNull(), "not JSON")
+        .when(X.blank(p["url"]), "no address")
+        .when(p["mimeType"].isNull(), "no type")
+        .when(~p["mimeType"].isin(*SUPPORTED), F.concat(F.lit("unsupported type: "), p["mimeType"]))
+    )
+    return events.withColumn("reason", reason)
+
+
+def split(stream: DataFrame, log: Log, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """Runs a stream of events (value, and where it is from) into ``log``, each once; gives catalog rows of the good ones, and the others with
+    their ``reason`` as they came. One pass writes both."""
+    Subscription(judged(stream), lambda rows, number: log.insert(rows, (checkpoint, number)), checkpoint).run()
+    rows = log.rows()
+    return documents_of(rows.filter("reason IS NULL")), rows.filter("reason IS NOT NULL")
+
+
 def index_sync(payloads: DataFrame) -> DataFrame:
     """Vector store rows (id, content, metadata) of sync payloads ``value``: a chunk's own metadata wins."""
     p = payloads.select(F.from_json("value", SYNC).alias("p")).select("p.*", F.explode("p.chunks").alias("c"))

@@ -2,7 +2,8 @@
 
 Pieces (stream_id, seq, kind, token, at_us) may come in any order and in any micro-batch; ``seq`` counts the pieces of a stream from 0, ``kind`` is token, end or
 error, ``at_us`` its time in microseconds. State is kept by stream: pieces wait in a map until their predecessor has come, what came out
-is a list, and timers end waiting: a gap is passed over after ``patience`` seconds, an answer that falls silent has failed after ``silence``.
+is a list, and timers end waiting: a gap is passed over after ``patience`` seconds, an answer that falls silent has failed after ``silence``. Time is
+that of arrival, which goes on as micro-batches come; so no piece is ever late, and a micro-batch that is run again does the same.
 """
 
 from __future__ import annotations
@@ -34,28 +35,32 @@ class Ordered(StatefulProcessor):
         self.head = handle.getValueState("head", "next int, begun boolean, asked_us long, answered_us long")
         self.waiting = handle.getMapState("waiting", "seq int", "kind string, token string")
         self.text = handle.getListState("text", "token string")
-        self.ended = handle.getValueState("ended", "ended boolean", MEMORY * 1000)
+        self.ended = handle.getValueState("ended", "ended boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if self.ended.exists():
             return
         at, begun, asked, answered = self.head.get() if self.head.exists() else (0, False, None, None)
-        came = {}
+        came, now = {}, 0
         for r in rows:
+            now = max(now, r.now_ms)
             if r.seq >= at:  # else it has come before
                 came[r.seq] = (r.kind, r.token)
             asked = r.at_us if asked is None else min(asked, r.at_us)
             answered = r.at_us if answered is None else max(answered, r.at_us)
-        yield from self._on(key, came, (at, begun, asked, answered), timerValues.getCurrentProcessingTimeInMs())
+        yield from self._on(key, came, (at, begun, asked, answered), now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentProcessingTimeInMs()
+        if self.ended.exists():
+            self.ended.clear()
+            return
+        now = expiredTimerInfo.getExpiryTimeInMs()
         at, begun, asked, answered = self.head.get()
         seqs = [k[0] for k in self.waiting.keys()]
         if seqs:  # what is missing has been waited for
             yield from self._on(key, {}, (min(seqs), begun, asked, answered), now)
         else:
-            yield from self._over(key, at, True, asked, answered)
+            yield from self._over(key, at, True, asked, answered, now)
 
     def _on(self, key, came: dict, head: tuple, now: int) -> Iterator[Row]:
         """Gives what is next, as far as it is there; the rest waits."""
@@ -66,7 +71,7 @@ class Ordered(StatefulProcessor):
             kind, token = piece
             if kind != "token":
                 self.text.appendList([(t,) for t in fresh]) if fresh else None
-                yield from self._over(key, at, kind == "error", asked, answered)
+                yield from self._over(key, at, kind == "error", asked, answered, now)
                 return
             if token and not begun and "{" in token:
                 begun, token = True, token[token.index("{") :]
@@ -79,15 +84,17 @@ class Ordered(StatefulProcessor):
         for seq, piece in came.items():
             self.waiting.updateValue((seq,), piece)
         self.head.update((at, begun, asked, answered))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
         waits = self.patience if came or next(iter(self.waiting.keys()), None) is not None else self.silence
-        self.handle.registerTimer(now + max(1, int(1000 * waits)))
+        self._wake(now, waits)
 
-    def _over(self, key, at: int, failed: bool, asked: int, answered: int) -> Iterator[Row]:
-        whole = "".join(t[0] for t in self.text.get()) if self.text.exists() else ""
+    def _wake(self, now: int, seconds: float) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
+        self.handle.registerTimer(now + max(1, int(1000 * seconds)))
+
+    def _over(self, key, at: int, failed: bool, asked: int, answered: int, now: int) -> Iterator[Row]:
+        whole = "".join(t[0] for t in self.text.get()) if self.text.exists() else ""
+        self._wake(now, MEMORY)
         for state in (self.head, self.waiting, self.text):
             state.clear()
         self.ended.update((True,))
@@ -96,7 +103,8 @@ class Ordered(StatefulProcessor):
 
 def ordered(pieces: DataFrame, patience: float = 60.0, silence: float = 600.0) -> DataFrame:
     """A stream of ``PIECES`` as a stream of ``OUT``."""
-    return pieces.groupBy("stream_id").transformWithState(Ordered(patience, silence), OUT, "append", "ProcessingTime")
+    p = pieces.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "0 seconds").withColumn("now_ms", F.unix_millis("arrived"))
+    return p.groupBy("stream_id").transformWithState(Ordered(patience, silence), OUT, "append", "EventTime")
 
 
 @contextmanager
