@@ -8,7 +8,8 @@ Pages with one and the same article count once, so an article that many pages re
 
 Entropy can't tell a teaser or an advert that differs from page to page from an article. So elements that markup names as menus, headers,
 footers, sidebars, notices, adverts, forms and comments go as well. A class or an id alone doesn't drop what holds the page's article or most
-of its text. Inside ``article`` or ``main`` the tree decides on boxes and lists with a class of their own, not on plain paragraphs,
+of its text. After ``UNBALANCED`` tags with an odd number of quotes a page's quotes are no longer looked at, so that an attribute with ``>`` in it ends
+there. Inside ``article`` or ``main`` the tree decides on boxes and lists with a class of their own, not on plain paragraphs,
 headings or words.
 """
 
@@ -41,7 +42,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of class and id that name what is not the article.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond replies disqus share sharing social newsletter subscribe subscription signup login related recommended widget pagination pager".split())
 OUTSIDE_NAMES = NAMES | frozenset("header masthead topbar toolbar search".split())
-DEPTH, MIN_PAGES, LOW = 8, 5, 0.3
+MIN_PAGES, LOW = 5, 0.3
+#: Characters of a path above which its upper part is written as a hash: paths of any depth have a bounded length.
+LONG_PATH = 120
+#: Texts of a branch are a range of the page's; their hash comes from running ones, with this base and modulus.
+_BASE, _MODULUS = 0x9E3779B97F4A7C15, (1 << 61) - 1
 #: What the tree may take out of an article if it has a class.
 BOXES = frozenset("div section ul ol dl table figure p blockquote details address pre".split())
 #: After so many tags with unbalanced quotes the quotes of a page are no longer looked at, which bounds the work on it.
@@ -214,6 +219,12 @@ def _mend(root: Node) -> None:
             n.dropped = False
 
 
+def below(path: str, node: Node) -> str:
+    """The path of a node under ``path``, however deep."""
+    own = f"{path}/{node.key}"
+    return own if len(own) <= LONG_PATH else f"#{xxhash.xxh3_64_hexdigest(path)}/{node.key}"
+
+
 def blocks(root: Node, low: frozenset[str] | None = None) -> list[str]:
     """The texts of the page's blocks that stay: all outside of dropped elements and of the branches ``low``, unless these are all
     that the page has. In ``article`` or ``main``, only boxes with a class are branches.
@@ -245,7 +256,7 @@ def blocks(root: Node, low: frozenset[str] | None = None) -> list[str]:
             flush()
         if node.dropped:
             continue
-        own = f"{path}/{node.key}" if path.count("/") < DEPTH else path
+        own = below(path, node)
         template = bool(low) and own in low and node is not root
         if node.main:
             gone = inside and (gone or template and "." in node.key and node.tag in BOXES)
@@ -273,22 +284,25 @@ def style_nodes(page: str | None) -> tuple[int, list[tuple[str, int, int]]]:
     if not page:
         return 0, []
     seen: dict[str, list] = {}
-
-    def walk(node: Node, path: str, depth: int) -> str:
-        own = f"{path}/{node.key}" if depth <= DEPTH else path
-        kids = [k for k in node.kids if isinstance(k, Node) and k.tag not in ("br", "script", "style")]
-        texts = [k if isinstance(k, str) else walk(k, own, depth + 1) if depth < 100 else "" for k in node.kids]
-        text = "".join(texts)
-        if depth <= DEPTH and node.tag not in VOID and node.tag in BLOCK:
-            style, body = seen.setdefault(own, [[], []])
-            style.append(",".join(dict.fromkeys(k.key for k in kids)))
-            body.append(text)
-        return text
-
-    root = parse(page)
-    walk(root, "", 0)
     h = xxhash.xxh3_64_intdigest
-    return h("\n".join(blocks(root))) >> 1, [(p, h("|".join(s)) >> 1, h(" ".join("\n".join(b).split())) >> 1) for p, (s, b) in seen.items()]
+    root, upto = parse(page), [0]  # running hash of the page's texts
+    todo: list = [(root, "", None)]
+    while todo:
+        node, path, began = todo.pop()
+        if isinstance(node, str):
+            if flat := " ".join(node.split()):
+                upto.append((upto[-1] * _BASE + h(flat)) % _MODULUS)
+        elif began is not None:  # all of the branch has been seen
+            texts = (upto[-1] - upto[began] * pow(_BASE, len(upto) - 1 - began, _MODULUS)) % _MODULUS
+            style, body = seen.setdefault(path, [[], []])
+            style.append(",".join(dict.fromkeys(k.key for k in node.kids if isinstance(k, Node) and k.tag not in ("br", "script", "style"))))
+            body.append(f"{texts:x}")
+        else:
+            own = below(path, node)
+            if node.tag not in VOID and node.tag in BLOCK:
+                todo.append((node, own, len(upto) - 1))
+            todo += [(k, own, None) for k in reversed(node.kids)]
+    return h("\n".join(blocks(root))) >> 1, [(p, h("|".join(s)) >> 1, h("|".join(b)) >> 1) for p, (s, b) in seen.items()]
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -2,6 +2,8 @@ import math
 import random
 import time
 
+import pytest
+
 from quire.llm import html_extract as H
 
 
@@ -141,3 +143,10 @@ def test_work_grows_with_length():
         H.extract(page(40_000))
         assert time.perf_counter() - began < 8, name
     assert H.extract("<p>" + "word " * 2_000_000).count("word") == 2_000_000
+
+
+@pytest.mark.parametrize("wrappers", [1, 8, 40, 3000])
+def test_a_box_at_any_depth_is_template(spark, wrappers):
+    rows = [(i, f"http://h/{i}", f"<body><div>{'<div>' * wrappers}<div class=x>The same box.</div>{'</div>' * wrappers}</div><article><p>Article number {i}.</p></article></body>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in H.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Article number {i}." for i in range(20)}
