@@ -11,8 +11,9 @@ from quire.functions import chunking
 from quire.functions import text as X
 from quire.operators import answers, embedding, search
 from quire.operators.vector_index import VectorIndex
+from quire.plans import files
 from quire.plans import oracle as O
-from quire.sources import shared
+from quire.sources import extract, shared
 from quire.sources import tables as S
 from quire.sources.store import Log, Store, next_ids, with_titles
 from quire.streaming import events, live
@@ -730,6 +731,16 @@ def file_texts(spark, sf):
     return S.files(spark, place).select(F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), "size", "text")
 
 
+@query("SELECT doc_id, list_extract(['txt', 'docx', 'html', 'pdf'], (doc_id % 4 + 1)::INTEGER) AS kind, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS words, NULL::VARCHAR AS error FROM documents")
+def extracted_files(spark, sf):
+    """Documents as files of four kinds, and the words that are read out of them again."""
+    kind = F.element_at(F.array(*map(F.lit, files.MAKERS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    base = files.written(S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), kind.alias("kind"), "text"))
+    t = extract.texts(extract.extracted(spark, base))
+    words = F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " "))
+    return t.select(F.regexp_extract("path", r"([0-9]+)\.[a-z]+\z", 1).cast("long").alias("doc_id"), "kind", words.alias("words"), "error")
+
+
 @query(r"""WITH p AS (SELECT page_id, list_transform(string_split(replace(replace(html, '<', chr(1) || '<'), '>', '>' || chr(1)), chr(1)), lambda x: CASE WHEN starts_with(x, '<') THEN '' ELSE x END) AS parts FROM pages)
 SELECT page_id, array_to_string(list_transform(list_filter(parts, lambda x: regexp_matches(x, '\S')), lambda x: x || chr(10) || chr(10)), '') AS text, array_to_string(parts, '') AS joined FROM p""")
 def extracted_parts(spark, sf):
