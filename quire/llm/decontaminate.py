@@ -132,7 +132,8 @@ def _verified(texts: DataFrame, found: DataFrame, win: DataFrame, lengths: list[
     per = shared.written(found.groupBy("th").agg(F.collect_set(F.struct("len", "p")).alias("ps")), "anchors-of")  # of one text
     own = texts.join(F.broadcast(per) if _few(per) else per, "th").select("th", "ps", words(F.col("text")).alias("w"))  # only texts with an anchor
     near = shared.written(own.select("th", F.explode(_near(lengths)).alias("f")).select("th", "f.*").distinct(), "near")
-    items = win.groupBy("len", "h", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    # written, so that the join can split a window that many texts have
+    items = shared.written(win.groupBy("len", "h", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids")), "items")
     at = near.join(items, ["len", "h", "win"])
     positions = F.flatten(F.collect_set(F.expr("sequence(start, start + len - 1)")))
     out = at.groupBy("th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.array_sort(F.array_distinct(positions)).alias("positions"))
