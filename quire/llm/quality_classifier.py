@@ -12,13 +12,15 @@ covers every whole text. The weights, of fixed size, go to the executors.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import shared
@@ -34,10 +36,10 @@ _hashes: list[tuple[int, int]] = []
 
 
 def shape(word: str) -> str:
-    """Letters as A or a, digits as 9, runs as one; lower-case words longer than a few letters look alike."""
+    """Letters as A or a, digits as 9, runs as one; lower-case words look alike."""
     for pattern, to in _SHAPES:
         word = pattern.sub(to, word)
-    return word[:12]
+    return word
 
 
 def _ids(words: list[bytes]) -> np.ndarray:
@@ -117,7 +119,8 @@ def fold(key: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_out: int = 2, key: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_bytes: int = MAX_BYTES) -> Model:
     """Fits on labelled rows outside the fold ``held_out``. Labels without an id or a value are left out; of
-    several for one id the greatest counts. A document's features are at most 2 ** BITS, however long it is."""
+    several for one id the greatest counts, of several texts the least by a hash of its features. Of the sample, first by a hash of their id, as many
+    documents are taken as have features of ``max_bytes`` together. Without any, all score 0.5. A document's features are at most 2 ** BITS, however long it is."""
     own = labels.filter(F.col(key).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(key)) != held_out)).groupBy(F.col(key).alias("_k")).agg(F.max(F.col(label_col)).cast("int").alias("_y"))
     chosen = own.orderBy(F.xxhash64(F.lit(11), "_k"), "_k").limit(max_train)  # the bound of the sample
 
@@ -128,9 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_o
 
     d = docs.select(F.col(key).alias("_k"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_k").select("_k", "_y", "_text")
     found = shared.written(d.mapInArrow(sparse, f"_k {docs.schema[key].dataType.simpleString()}, _y int, i binary, v binary"), "features")
-    # one row a document of the sample
-    upto = F.sum(F.octet_length("i") + F.octet_length("v")).over(Window.orderBy(F.xxhash64(F.lit(11), "_k"), "_k", F.xxhash64("i", "v")))
-    rows = found.withColumn("upto", upto).filter(F.col("upto") <= max_bytes).drop("upto").collect()
+    once = found.groupBy("_k").agg(F.min(F.struct(F.xxhash64("i", "v").alias("h"), "_y", "i", "v")).alias("r")).select("_k", "r._y", "r.i", "r.v", F.xxhash64(F.lit(11), "_k").alias("at"))
+    # a hash and a length of each document of the sample first, then the features of those that fit
+    sizes = sorted((r["at"], r["n"]) for r in once.select("at", (F.octet_length("i") + F.octet_length("v")).alias("n")).collect())
+    upto = list(accumulate(n for _, n in sizes))
+    fit = bisect_right(upto, max_bytes)
+    rows = once.filter(F.col("at") <= sizes[fit - 1][0]).select("_k", "_y", "i", "v").collect() if fit else []
     rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["_k"])), r["i"]))
     return ftrl([(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32), r["_y"]) for r in rows])
 
