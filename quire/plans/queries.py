@@ -16,7 +16,7 @@ from quire.plans import oracle as O
 from quire.sources import extract, shared
 from quire.sources import tables as S
 from quire.sources.store import Log, Store, next_ids, with_titles
-from quire.streaming import events, live
+from quire.streaming import events, live, source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -569,6 +569,18 @@ def upload_stream(spark, sf):
     return events.ingest_stream(S.upload_envelopes(spark, sf))
 
 
+@query(ORACLE_SQL["upload_event_ingest"])
+def upload_subscription(spark, sf):
+    """The upload events from a log by offsets, over connections that are dropped on the way, by a subscription that is stopped and goes on."""
+    path = source.journal(S.upload_envelopes(spark, sf).withColumnRenamed("event_id", "offset"))
+    log = Log(spark, "offset long, value string, reason string")
+    arriving = source.stream(spark, "quire_dropping_events", lambda: source.Dropping(path, 700), a_task=3000, waits=(0.1,))
+    checkpoint = shared.new_path(spark, "subscription")
+    for _ in range(2):  # the second finds nothing that the first has taken
+        good, _ = events.split(arriving, log, checkpoint)
+    return good
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'not JSON' WHEN event_type = 'error' THEN 'no address' ELSE 'unsupported type: image/png' END AS reason FROM events WHERE event_id % 13 = 0 OR event_type IN ('signup', 'error')""")
 def upload_dead_letters(spark, sf):
     """Events that aren't taken, as they came, each with its cause; every thirteenth is cut off."""
