@@ -67,7 +67,7 @@ NOTICES = (
 ANCHORS, INDEXED, AGREE, LEAST = 3, 12, 2, 0.6
 
 
-def _places(template: Template) -> set[int]:
+def key_places(template: Template) -> set[int]:
     """Where the words of key phrases stand."""
     w = template.text.split(" ")
     out = set()
@@ -96,7 +96,7 @@ def postings(templates: tuple[Template, ...], idf: dict[str, float]) -> list[tup
     """Rows (template, word, place, weight, anchor, required)."""
     out = []
     for k, t in enumerate(templates):
-        w, required = t.text.split(" "), _places(t)
+        w, required = t.text.split(" "), key_places(t)
         rare = sorted(set(w), key=lambda x: (-idf[x], x))
         for i, x in enumerate(w):
             if i in required or x in rare[:INDEXED]:

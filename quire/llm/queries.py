@@ -131,4 +131,18 @@ p AS (SELECT *, array_to_string(list_slice(u, 1, a), '') AS pre, array_to_string
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": _op2, "op3_warc": _op3, "op5_quality_rules": _op5, "op9_jaccard_join": _op9, "op11_fill_middle": _op11}
+_templates = (*licenses.BASE, *licenses.NOTICES)
+_tw = ", ".join(f"({k}, '{t.label}', {t.exact}, {i}, '{w}', {i in licenses.key_places(t)})" for k, t in enumerate(_templates) for i, w in enumerate(t.text.split(" ")))
+_op13 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS.format(t=_LOWER.format(t="coalesce(text, '')"))} AS w FROM documents),
+tw(t, label, exact, q, word, required) AS (VALUES {_tw}),
+tok AS (SELECT r, p, word FROM (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d) WHERE word IN (SELECT word FROM tw)),
+idf AS (SELECT word, round(ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(c, 0))) + 1, 6) AS weight FROM (SELECT DISTINCT word FROM tw) LEFT JOIN (SELECT word, count(DISTINCT r) AS c FROM tok GROUP BY 1) USING (word)),
+rare AS (SELECT t, word, weight, row_number() OVER (PARTITION BY t ORDER BY weight DESC, word) AS k FROM (SELECT DISTINCT t, word FROM tw) JOIN idf USING (word)),
+idx AS (SELECT tw.*, weight::DECIMAL(18, 6) AS weight, k <= CASE WHEN exact THEN 1 ELSE {licenses.ANCHORS} END AS anchor FROM tw JOIN rare USING (t, word) WHERE required OR k <= {licenses.INDEXED}),
+whole AS (SELECT t, sum(required::INTEGER) AS need, least({licenses.AGREE}, sum(anchor::INTEGER)) AS agree, sum(weight) AS total FROM idx GROUP BY 1),
+al AS (SELECT r, t, any_value(label) AS label, any_value(exact) AS exact, p - q AS s, sum(required::INTEGER) AS n_required, sum(anchor::INTEGER) AS n_anchors, sum(weight) AS found FROM tok JOIN idx USING (word) GROUP BY r, t, p - q),
+hit AS (SELECT r, label, exact, s, least(1.0, round(found::DOUBLE / total::DOUBLE, 6)) AS score FROM al JOIN whole USING (t) WHERE n_required = need AND n_anchors >= agree AND round(found::DOUBLE / total::DOUBLE, 6) >= {licenses.LEAST}),
+per AS (SELECT r, count(*) FILTER (exact) AS n_base, min(s) FILTER (exact) AS first_word, max(s) FILTER (exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM hit GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN per USING (r)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": _op2, "op3_warc": _op3, "op5_quality_rules": _op5, "op9_jaccard_join": _op9, "op11_fill_middle": _op11, "op13_license_scan": _op13}
