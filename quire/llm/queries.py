@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import chat_format, decontaminate, fill_middle, html_extract, jaccard_join, licenses, mixing, quality_classifier, quality_rules, spelling, surrogates, token_tables, warc
+from quire.llm import chat_format, decontaminate, fill_middle, html_extract, jaccard_join, licenses, mixing, quality_classifier, quality_rules, shared, spelling, surrogates, token_tables, warc
 from quire.sources.tables import spread
 
 
@@ -30,10 +31,22 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(_table(spark, sf_dir, "conversations"))
 
 
+def op4_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reply-ordered conversations without quotes, each as one JSON array of messages (in parts, if it is long)."""
+    c = chat_format.chats(chat_format.report(_table(spark, sf_dir, "conversations")))
+    return c.select("conv_id", "thread", "part", F.size("messages").alias("n_messages"), F.to_json("messages").alias("messages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, from the stored ledger: no text is read for it."""
+    led = shared.written(quality_rules.ledger(_table(spark, sf_dir, "documents"), keep=["doc_id"]), "ledger")
+    return quality_rules.ablation(led, quality_rules.BASE).unionByName(quality_rules.ablation(led, quality_rules.PRODUCTION))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
@@ -75,7 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
     "op4_chat_format": op4_chat_format,
+    "op4_chats": op4_chats,
     "op5_quality_rules": op5_quality_rules,
+    "op5_quality_ablation": op5_quality_ablation,
     "op6_mixing": op6_mixing,
     "op7_html_extraction": op7_html_extraction,
     "op8_quality_classifier": op8_quality_classifier,
@@ -116,6 +131,10 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
  + CASE WHEN n_words > 0 AND 2 * n_upper > n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_marks > n_words THEN 32 ELSE 0 END + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, 'production-1' AS policy FROM b"""
 
+_policies = ", ".join(f"('{p.version}', '{r.name}', {1 << r.bit}, {p.mask(quality_rules.RULES)})" for p in (quality_rules.BASE, quality_rules.PRODUCTION) for r in quality_rules.RULES if r.name in p.rules)
+_op5_ablation = f"""WITH l AS ({_op5}), p(version, rule, bit, mask) AS (VALUES {_policies})
+SELECT version, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_only, count(*) FILTER (fail_bits & mask IN (0, bit)) AS n_kept_without, count(*) AS n_rows FROM l, p GROUP BY 1, 2"""
+
 _op9 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(t=_LOWER.format(t="coalesce(text, '')"))} AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + 3), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
@@ -145,4 +164,4 @@ hit AS (SELECT r, label, exact, s, least(1.0, round(found::DOUBLE / total::DOUBL
 per AS (SELECT r, count(*) FILTER (exact) AS n_base, min(s) FILTER (exact) AS first_word, max(s) FILTER (exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM hit GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN per USING (r)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": _op2, "op3_warc": _op3, "op5_quality_rules": _op5, "op9_jaccard_join": _op9, "op11_fill_middle": _op11, "op13_license_scan": _op13}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": _op2, "op3_warc": _op3, "op5_quality_rules": _op5, "op5_quality_ablation": _op5_ablation, "op9_jaccard_join": _op9, "op11_fill_middle": _op11, "op13_license_scan": _op13}

@@ -26,4 +26,4 @@ def test_against_sql(spark, name):
 def test_runs_over_the_whole_table(spark, name):
     n = queries.QUERIES[name](spark, SF).count()
     table = {"op4": "conversations", "op7": "pages"}.get(name.split("_")[0], "documents")
-    assert n > 0 if name.startswith("op12_") else n == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert n > 0 if name in ("op4_chats", "op12_spelling_variants") else n == spark.read.parquet(f"{SF}/{table}.parquet").count()
