@@ -129,11 +129,12 @@ def _nearest(batches: Iterator[pa.RecordBatch], path: str, k: int, threshold: fl
                     for dims in set(q.column("embedding").value_lengths().to_pylist()):
                         qs, of = _matrix(q.column("embedding"), dims)
                         if dims not in by_dims:
-                            by_dims[dims] = _matrix(column, dims)
-                        v, at = by_dims[dims]
+                            v, at = _matrix(column, dims)
+                            order = np.argsort(np.argsort(ids.take(pa.array(at)).to_numpy(zero_copy_only=False), kind="stable"))  # ties go by id
+                            by_dims[dims] = v, at, order
+                        v, at, order = by_dims[dims]
                         if not len(qs) or not len(v):
                             continue
-                        order = np.argsort(np.argsort(ids.take(pa.array(at)).to_numpy(zero_copy_only=False), kind="stable"))  # ties go by id
                         rows, cols, scores = [], [], []
                         for lo in range(0, len(qs), 64):
                             s = np.round(qs[lo : lo + 64] @ v.T, 6)
