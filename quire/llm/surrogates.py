@@ -12,7 +12,7 @@ occurs itself, is drawn again with the next attempt number. Only these few excep
 documents; all other surrogates are worked out where they are needed. All steps are built-in functions.
 
 Texts are scanned once: a trace of an entity decides whether the patterns are tried at all, and what they find is written with the text
-between. Every repetition in a pattern is bounded or possessive, so very long texts and words need no deep stack.
+between. Where a text has titled names, its other words with a capital are looked up among them, in hashed maps. Every repetition in a pattern is bounded or possessive, so very long texts and words need no deep stack.
 Not found are names that have a title nowhere in their document, street addresses, dates of birth and
 numbers of kinds not listed here.
 """
@@ -49,6 +49,9 @@ PATTERNS = {
 TRACE = rf"@[A-Za-z0-9\-]{{1,64}}+\.|\d[\d ().\-]{{5}}|[A-Z]{{2}}\d\d ?[A-Z0-9]{{4}}|{_LABEL} ?[=:]|[0-9A-Fa-f]:[0-9A-Fa-f:]"
 TITLE_TRACE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: The same, and what could be a word of a name or an initial before one.
+ANY_OR_NAME = rf"{ANY}|(?<!\p{{L}}){_WORD}|(?<!\p{{L}})\p{{Lu}}\.(?= ?(?:\p{{Lu}}\. ?)?\p{{Lu}})"
+_SEP = "\x1f"
 GIVEN = ("given_m", "given_f", "given_n")
 NAMES = (*GIVEN, "surname", "initial")
 KINDS = (*PATTERNS, *NAMES)
@@ -68,37 +71,45 @@ def _bind(x: Column, f) -> Column:
 
 
 def _names(t: Column) -> Column:
-    """array<struct<w, lower, kind>>: the words of the names behind the titles of a text."""
+    """array<string>: of each word of the names behind the titles of a text, in lower case, its kind behind a separator; sorted, a word once (as a given
+    name, if it is both). A part of a hyphened word is a word too, where the whole one isn't found."""
 
     def words(m: Column) -> Column:
         kind = F.when(m.rlike(rf"\A(?:{MALE})\.? "), "given_m").when(m.rlike(rf"\A(?:{FEMALE})\.? "), "given_f").otherwise("given_n")
         parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(m, rf"\A{_TITLE}", ""), r"\. ?", ". "), " "), lambda w: w.rlike(rf"\A{_WORD}\z") & ~w.rlike(rf"\A(?:{MALE}|{FEMALE}|{NEUTRAL})\z"))
-        return F.transform(parts, lambda w, i: F.struct(w.alias("w"), F.lower(w).alias("lower"), F.when(i == F.size(parts) - 1, "surname").otherwise(kind).alias("kind")))
+        of = lambda w, i: F.when(i == F.size(parts) - 1, "surname").otherwise(kind)
+        own = F.transform(parts, lambda w, i: F.transform(F.array_distinct(F.concat(F.array(w), F.split(w, "-"))), lambda p: F.concat(F.lower(p), F.lit(_SEP), of(w, i))))
+        return F.flatten(own)
 
-    none = F.expr("cast(array() as array<struct<w:string,lower:string,kind:string>>)")
-    return F.when(t.rlike(TITLE_TRACE), F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(t, F.lit(_TITLED), F.lit(0)), words)))).otherwise(none)
+    none = F.expr("cast(array() as array<string>)")
+    found = F.when(t.rlike(TITLE_TRACE), F.sort_array(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(t, F.lit(_TITLED), F.lit(0)), words))))).otherwise(none)
+    word = lambda x: F.substring_index(x, _SEP, 1)
+    return _bind(found, lambda all_of: F.filter(all_of, lambda x, i: (i == 0) | (word(F.get(all_of, i - 1)) != word(x))))
 
 
-def _pattern(names: Column) -> Column:
-    """What to look for in a text with these names: every entity, the names' words and initials before them."""
-    own = F.array_distinct(F.flatten(F.transform(names, lambda n: F.array(n["w"], F.upper(n["w"])))))
-    longest_first = F.array_join(F.transform(F.array_sort(F.transform(own, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"]), "|")
-    with_names = F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), longest_first, F.lit(r")(?!\p{L})|(?<!\p{L})\p{Lu}\.(?= ?(?:(?:\p{Lu}\. ?)?(?:"), longest_first, F.lit(r")(?!\p{L})))"))
-    return F.when(F.size(names) == 0, F.lit(ANY)).otherwise(with_names)
+def _buckets(names: Column) -> Column:
+    """The names as maps from word to kind, one for each of so many hashes that a look-up goes through about the root of their number."""
+    n = F.ceil(F.sqrt(F.size(names))).cast("int")
+    hashed = F.transform(names, lambda x: F.struct(F.pmod(F.xxhash64(F.substring_index(x, _SEP, 1)), n).alias("h"), F.substring_index(x, _SEP, 1).alias("w"), F.substring_index(x, _SEP, -1).alias("k")))
+    return F.when(F.size(names) > 0, _bind(hashed, lambda h: F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.map_from_entries(F.transform(F.filter(h, lambda x: x["h"] == b), lambda x: F.struct(x["w"], x["k"]))))))
 
 
 def found(text: Column) -> Column:
-    """struct(e: array of (m, kind, norm), gaps: the pieces of text around them) of a text; null for one without entities."""
+    """struct(e: array of (m, kind, norm), gaps: the pieces of text around them) of a text; null for one without entities.
+
+    In a text with names all words that could be names are looked up among them; those that are none have the kind ``none``, and stay."""
     t = F.coalesce(text, F.lit(""))
 
-    def one(m: Column, before: Column, names: Column) -> Column:
+    def kind_of(w: Column, buckets: Column) -> Column:
+        return F.try_element_at(F.get(buckets, F.pmod(F.xxhash64(w), F.size(buckets)).cast("int")), w)
+
+    def one(m: Column, before: Column, buckets: Column) -> Column:
         low = F.lower(m)
-        own = F.array_min(F.transform(F.filter(names, lambda n: n["lower"] == low), lambda n: n["kind"]))  # a given name before a surname
-        kind = (
-            F.when(own.isNotNull(), own)
-            .when(m.rlike(r"\A\p{Lu}\.\z"), "initial")
-            .when(m.rlike(r"\A[^@]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\z"), "email")
+        kind = F.coalesce(kind_of(low, buckets), F.when(m.rlike(r"\A\p{Lu}\.\z"), "initial"))
+        other = (
+            F.when(m.rlike(r"\A[^@]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\z"), "email")
             .when(F.coalesce(before, F.lit("")).rlike(rf'{_LABEL} ?[=:] ?"?\z'), "secret")
+            .when(m.rlike(rf"\A{_WORD}\z"), "none")
             .when(m.contains(":"), "ipv6")
             .when(m.contains("."), "ip")
             .when(m.rlike(r"\A(?:\d[ \-]?){15,16}\z") & ~m.rlike(r"\A\+"), "card")
@@ -106,16 +117,31 @@ def found(text: Column) -> Column:
             .when(m.rlike(r"\A[+(\d]"), "phone")
             .otherwise("iban")
         )
+        kind = F.coalesce(kind, other)
         norm = F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(m, r"\D", "")).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "secret", m).otherwise(low)
-        return F.struct(m.alias("m"), kind.alias("kind"), norm.alias("norm"))
+        return F.struct(F.coalesce(before, F.lit("")).alias("gap"), m.alias("m"), kind.alias("kind"), norm.alias("norm"))
+
+    def in_parts(x: Column, buckets: Column) -> Column:
+        """A hyphened word that is no name, by its parts."""
+        part = lambda p, i: F.struct(F.when(i == 0, x["gap"]).otherwise("").alias("gap"), p.alias("m"), F.coalesce(kind_of(F.lower(p), buckets), F.lit("none")).alias("kind"), F.lower(p).alias("norm"))
+        return F.when((x["kind"] == "none") & x["m"].rlike("[-'’]"), F.transform(F.split(x["m"], "(?<=[-'’])|(?=[-'’])"), part)).otherwise(F.array(x))
+
+    def settled(e: Column) -> Column:
+        """Initials stay, unless a name follows, or another initial and a name."""
+        at = lambda i: F.get(e, i)
+        close = lambda i: at(i)["gap"].isin("", " ")
+        name = lambda i: at(i)["kind"].isin(*GIVEN, "surname")
+        led = lambda i: F.coalesce(close(i + 1) & (name(i + 1) | (at(i + 1)["kind"] == "initial") & close(i + 2) & name(i + 2)), F.lit(False))
+        return F.transform(e, lambda x, i: F.struct(x["m"].alias("m"), F.when((x["kind"] == "initial") & ~led(i), "none").otherwise(x["kind"]).alias("kind"), x["norm"].alias("norm")))
 
     def cut(x: Column) -> Column:
-        pieces = F.struct(F.regexp_extract_all(t, x["p"], F.lit(0)).alias("ms"), F.split(t, x["p"], -1).alias("gaps"), x["names"].alias("names"))
-        return _bind(pieces, lambda y: F.struct(F.transform(y["ms"], lambda m, i: one(m, F.get(y["gaps"], i), y["names"])).alias("e"), y["gaps"].alias("gaps")))
+        pieces = F.struct(F.regexp_extract_all(t, x["p"], F.lit(0)).alias("ms"), F.split(t, x["p"], -1).alias("gaps"), x["buckets"].alias("buckets"))
+        tokens = lambda y: F.flatten(F.transform(F.transform(y["ms"], lambda m, i: one(m, F.get(y["gaps"], i), y["buckets"])), lambda z: in_parts(z, y["buckets"])))
+        return _bind(pieces, lambda y: _bind(tokens(y), lambda e: F.struct(settled(e).alias("e"), F.concat(F.transform(e, lambda z: z["gap"]), F.array(F.element_at(y["gaps"], -1))).alias("gaps"))))
 
-    all_of = _bind(_names(t), lambda names: _bind(F.struct(_pattern(names).alias("p"), names.alias("names")), cut))
+    all_of = _bind(_names(t), lambda names: _bind(F.struct(F.when(F.size(names) > 0, ANY_OR_NAME).otherwise(ANY).alias("p"), _buckets(names).alias("buckets")), cut))
     traced = F.when(t.rlike(TRACE) | t.rlike(TITLE_TRACE), all_of)
-    return F.when(F.size(traced["e"]) > 0, traced)
+    return F.when(F.exists(traced["e"], lambda x: x["kind"] != "none"), traced)
 
 
 def _digits(s: Column) -> Column:
@@ -286,7 +312,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", out: str = "surro
     cols = [c for c in docs.columns if c != out]
     # rows are packed, so that no column of theirs can clash with what is added
     d = shared.written(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), found(F.col(f"`{text_col}`")).alias("f")), "found")
-    each = d.filter("f IS NOT NULL").select(F.explode("f.e").alias("x")).select("x.kind", "x.norm").filter("kind != 'initial'")
+    each = d.filter("f IS NOT NULL").select(F.explode("f.e").alias("x")).select("x.kind", "x.norm").filter("kind NOT IN ('initial', 'none')")
     n = d.agg(F.coalesce(F.sum(F.size("f.e")), F.lit(0))).first()[0]
     known = shared.written(each.distinct(), "entities", rows=n)
     odd = exceptions(known, key)
@@ -301,9 +327,9 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", out: str = "surro
 
     def sub(x: Column) -> Column:
         other = F.get(F.filter("o", lambda o: (o["kind"] == x["kind"]) & (o["norm"] == x["norm"])), F.lit(0))["s"]
-        return _bind(F.coalesce(other, draw(x["kind"], x["norm"], key, F.lit(0))), lambda s: dressed(x["m"], x["kind"], s))
+        return F.when(x["kind"] == "none", x["m"]).otherwise(_bind(F.coalesce(other, draw(x["kind"], x["norm"], key, F.lit(0))), lambda s: dressed(x["m"], x["kind"], s)))
 
-    e = F.coalesce(F.col("f.e"), F.expr(f"cast(array() as {_MENTIONS})"))
+    e = F.filter(F.coalesce(F.col("f.e"), F.expr(f"cast(array() as {_MENTIONS})")), lambda x: x["kind"] != "none")
     subs = F.concat(F.transform("f.e", sub), F.array(F.lit("")))
     joined = F.array_join(F.transform(F.arrays_zip(F.col("f.gaps").alias("g"), subs.alias("s")), lambda z: F.concat(z["g"], z["s"])), "")
     n = lambda k: F.size(F.filter(e, lambda x: x["kind"].isin(*k))).cast("long")
