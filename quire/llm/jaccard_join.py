@@ -20,6 +20,7 @@ below two lowest nodes are compared at once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ from quire.llm.shingles import set_id, sets
 LEAF, FANOUT, CHUNK = 16, 8, 256
 #: Shingles of the sets in a task, of a bucket, of a shuffle partition of buckets, and of what a task deals out at once.
 TASK_SHINGLES, BUCKET_SHINGLES, PARTITION_SHINGLES, FLUSH_SHINGLES = 4_000_000, 1 << 21, 1 << 24, 1 << 19
-BROADCAST_ROWS, SEEN, SUMS, MAP_BITS, CACHE_BYTES = 500_000, 200_000, 1 << 19, 1 << 14, 1 << 24
+BROADCAST_ROWS, SEEN, SUMS, MAP_BITS, CACHE_BYTES = 100_000, 200_000, 1 << 19, 1 << 14, 1 << 24
+#: Bits of the bitmap of active sets' keys, of which each worker holds one (8 MB).
+KEY_BITS = 1 << 26
 
 
 def prefix_length(size: int, num: int) -> int:
@@ -473,6 +476,43 @@ def _joined(ids: DataFrame, reps: DataFrame, links: DataFrame, split: bool, n: i
     return shared.written(joined.join(least, "root").select("sid", "least"), "found", rows=n)
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a join: to all executors, through the driver, if it has few rows, else never."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
+@lru_cache(2)
+def _bitmap(path: str) -> np.ndarray:
+    """Bits, packed, at the hashes (h) of a table in the shared folder."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
+
+    bits = np.zeros(KEY_BITS // 8, np.uint8)
+    fs, base = shared.file_system(path)
+    for x in fs.get_file_info(FileSelector(base)):
+        if x.base_name.endswith(".parquet"):
+            with fs.open_input_file(x.path) as f:
+                for b in pq.ParquetFile(f).iter_batches(1 << 16, columns=["h"]):
+                    h = b.column("h").to_numpy(zero_copy_only=False) & (KEY_BITS - 1)
+                    np.bitwise_or.at(bits, h >> 3, np.uint8(1) << (h & 7).astype(np.uint8))
+    return bits
+
+
+def _sieved(d: DataFrame, active: DataFrame) -> DataFrame:
+    """Of (_dk, _text) the rows whose key may be one of ``active`` (_k), all of those that are: so that an exact join of many keys moves
+    few other texts. A worker reads the keys' hashes from the shared folder, and the driver holds nothing of them."""
+    path = shared.written(active.select(F.xxhash64("_k").alias("h")), "active-keys")._quire_path
+    schema = d.schema
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _bitmap(path)
+        for b in batches:
+            h = b.column("h").to_numpy(zero_copy_only=False) & (KEY_BITS - 1)
+            yield b.select(["_dk", "_text"]).filter(pa.array(bits[h >> 3] >> (h & 7).astype(np.uint8) & np.uint8(1) == 1))
+
+    return d.withColumn("h", F.xxhash64("_dk")).mapInArrow(rows, schema)
+
+
 def _grouped(docs: DataFrame, n: int, num: int, key: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, bool, int]:
     """(rows of ``docs`` with their sets' ids, sets with their smallest keys, the texts of the candidate groups by task, whether
     a group has several tasks, how many sets can link)."""
@@ -483,7 +523,8 @@ def _grouped(docs: DataFrame, n: int, num: int, key: str, text_col: str) -> tupl
     active = shared.written(active.select("sid", F.col("rep").alias("_k"), F.col("n").alias("_n")), "active", rows=n_sets)
     n_active, prefixes = active.agg(F.count("*"), F.coalesce(F.sum(F.expr(f"_n * {100 - num} div 100 + 1")), F.lit(0))).first()
     d = docs.select(F.col(key).alias("_dk"), F.col(text_col).alias("_text"))
-    a = F.broadcast(active) if n_active <= BROADCAST_ROWS else active
+    d = d if n_active <= BROADCAST_ROWS else _sieved(d, active)
+    a = _small(active, n_active)
     texts = shared.written(d.join(a, d["_dk"].eqNullSafe(a["_k"])).select("sid", "_n", "_text"), "active-texts")
     groups = shared.written(components(_candidates(texts, n, num, prefixes), rows=prefixes), "groups", rows=n_active)
     sized = groups.join(active, groups["node"] == active["sid"]).groupBy(F.col("root").alias("comp")).agg(F.expr(f"cast(ceil(sum(_n) / {TASK_SHINGLES}) as int)").alias("blocks"))
@@ -492,7 +533,7 @@ def _grouped(docs: DataFrame, n: int, num: int, key: str, text_col: str) -> tupl
     cut = cut.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     cut = cut.withColumn("other", F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x != own))")))
     cut = cut.select("node", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    cut = F.broadcast(cut) if n_active <= BROADCAST_ROWS and not split else cut
+    cut = cut.hint("merge") if split else _small(cut, n_active)  # as many rows as sets times blocks, which Spark takes for few
     rows = texts.join(cut, texts["sid"] == cut["node"]).select("comp", "i", "j", "own", "sid", "_text")
     return ids, reps, rows, split, n_active
 
@@ -507,7 +548,7 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, key: str = "doc_id", tex
     """
     ids, reps, rows, split, n_active = _grouped(docs, n, num, key, text_col)
     of_set = _joined(ids, reps, shared.written(_within(rows, n, num), "links"), split, n_active)
-    of_set = F.broadcast(of_set) if n_active <= BROADCAST_ROWS else of_set
+    of_set = _small(of_set, n_active)
     of_set = reps.join(of_set, "sid", "left").select("sid", F.coalesce("least", "rep").alias("least"))
     return ids.join(of_set, "sid", "left").select(F.col("_k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "_k").alias("component_id"), F.col("th").alias("text_hash"))
 

@@ -49,6 +49,22 @@ def test_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute.components(rows)
 
 
+def test_nothing_broadcast(spark, monkeypatch):
+    """Beyond a bound, sets that can link go through no broadcast, and few other texts are moved for their join."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    rows = corpus() + [(1000 + i, f"alone{i} " * 30) for i in range(500)]
+    d = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    got = jaccard_join.classes(d, 4, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute.components(rows)
+    active = spark.createDataFrame([(i,) for i in range(100)] + [(None,)], "_k long")
+    left = jaccard_join._sieved(d.selectExpr("doc_id AS _dk", "text AS _text"), active).collect()
+    assert {r["_dk"] for r in left} >= set(range(100)) and len(left) < 110
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 10**6)
+    monkeypatch.setattr(jaccard_join, "TASK_SHINGLES", 600)
+    tasks = jaccard_join._grouped(d, 4, 85, "doc_id", "text")
+    assert tasks[3] and "Broadcast" not in tasks[2]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_edge_rows(spark):
     t = "the same words in a row here"
     rows = [(None, t), (7, t), (7, t), (7, "quite another text with other words"), (9, t + " x"), (None, None), (3, "")]
