@@ -29,6 +29,8 @@ PAGE_NUMBER = r"^[-–—]?\s*\d{1,4}\s*[-–—]?$"
 PAGE_LABEL = r"(?i)^(page|trang)\s+\d+.*$"
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 INVISIBLE = "\ufeff\u200b\u200c\u200d\ufffd"
+#: What ``normalize`` changes.
+ARTEFACT = rf"[\r\t\u00a0{INVISIBLE}{CONTROLS[1:]}|\n{{4}}"
 
 
 def whole(pattern: str) -> str:
@@ -38,7 +40,7 @@ def whole(pattern: str) -> str:
 
 
 def utf16_length(c: Column) -> Column:
-    return (F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))).cast("int")
+    return (F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]+", ""))).cast("int")
 
 
 def strip(c: Column) -> Column:
@@ -52,7 +54,7 @@ def trim_controls(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return c.isNull() | (F.length(strip(c)) == 0)
+    return c.isNull() | ~c.rlike(r"\P{javaWhitespace}")
 
 
 def not_blank_or(c: Column, other: Column) -> Column:
@@ -61,11 +63,11 @@ def not_blank_or(c: Column, other: Column) -> Column:
 
 def normalize(c: Column, tabs: bool = True) -> Column:
     """Encoding artefacts out, line ends and spaces made alike, at most two blank lines running."""
-    out = F.regexp_replace(F.translate(c, INVISIBLE[0], ""), "\r\n?", "\n")
-    out = F.translate(out, "\u00a0" + INVISIBLE[1:], " ")
-    if tabs:
-        out = F.translate(out, "\t", " ")
-    return F.regexp_replace(F.regexp_replace(out, CONTROLS, ""), "\n{4,}", "\n\n\n")
+    out = c
+    for x, by in ((INVISIBLE[0], ""), ("\r\n", "\n"), ("\r", "\n"), ("\u00a0", " "), *([("\t", " ")] if tabs else [])):
+        out = F.replace(out, F.lit(x), F.lit(by))
+    out = F.regexp_replace(F.regexp_replace(out, f"[{INVISIBLE[1:]}{CONTROLS[1:]}", ""), "\n{4,}", "\n\n\n")
+    return F.when(c.rlike(ARTEFACT if tabs else ARTEFACT.replace(r"\t", "")), out).otherwise(c)  # most texts have none
 
 
 def clean_text(c: Column) -> Column:
@@ -75,7 +77,7 @@ def clean_text(c: Column) -> Column:
 
 def is_noise(line: Column) -> Column:
     """Of a stripped line: a page number, a page label, or one or two characters."""
-    return line.rlike(whole(PAGE_NUMBER)) | line.rlike(whole(PAGE_LABEL)) | ((line != "") & (utf16_length(line) < 3))
+    return line.rlike(whole(PAGE_NUMBER)) | line.rlike(whole(PAGE_LABEL)) | ((line != "") & (F.length(line) < 3) & (utf16_length(line) < 3))
 
 
 def starts_with_connector(line: Column) -> Column:
@@ -98,7 +100,7 @@ def heading(line: Column) -> Column:
     commas = F.length(F.regexp_replace(rest, "[^,]", ""))
     numbered = line.rlike(whole(NUMBERED)) & ~rest.endswith(".") & (commas <= 2)
     return (
-        F.when(blank(line) | (utf16_length(line) > 200), F.lit(None))
+        F.when(((line >= "a") & (line < "{")) | blank(line) | (utf16_length(line) > 200), F.lit(None))  # none begins with a to z
         .when(line.rlike(whole(MARKDOWN)), out(trim_controls(F.regexp_extract(line, MARKDOWN, 2)), F.length(F.regexp_extract(line, MARKDOWN, 1))))
         .when(line.rlike(whole(LEGAL_VI)), out(trim_controls(line), legal(LEGAL_VI)))
         .when(line.rlike(whole(LEGAL_EN)), out(trim_controls(line), legal(LEGAL_EN)))
@@ -117,11 +119,11 @@ def reconstruct(text: Column) -> Column:
     Noise lines go; more than two blank lines running don't stay; a line is joined to the raw next one unless
     it ends hard (mark, over 80 characters, heading, § or •) or the next doesn't go on in lower case or with a connector.
     """
-    seen = F.transform(F.split(normalize(text), "\n", -1), lambda x: F.struct(strip(x).alias("t"), is_heading(strip(x)).alias("head")))
+    seen = F.transform(F.transform(F.split(normalize(text), "\n", -1), strip), lambda t: F.struct(t.alias("t"), is_heading(t).alias("head")))
 
     def emitted(x: Column, i: Column, lines: Column) -> Column:
         t, after = x["t"], F.get(lines, i + 1)
-        hard = t.rlike(r"(?s)\A.*[.!?:;]\s*\z") | (utf16_length(t) > 80) | x["head"] | t.rlike(r"\A[§•]")
+        hard = F.substring(t, -1, 1).isin(*".!?:;") | (F.length(t) > 80) | (utf16_length(t) > 80) | x["head"] | t.rlike(r"\A[§•]")
         goes_on = (after["t"] != "") & ~after["head"] & (after["t"].rlike(r"\A\p{javaLowerCase}") | starts_with_connector(after["t"]))
         end = F.when(~hard & F.coalesce(goes_on, F.lit(False)), " ").otherwise("\n")
         return F.struct(is_noise(t).alias("noise"), (t == "").alias("blank"), F.when(t == "", F.lit("\n")).otherwise(F.concat(t, end)).alias("out"))

@@ -190,3 +190,23 @@ def test_authorities(spark):
     df = spark.createDataFrame([("MEMBER", '["ORG_ADMIN", "X"]'), (None, None)], "r string, rs string").select(X.authorities(F.col("r"), F.col("rs")).alias("a"))
     base = "document:create,document:read,document:update,document:delete"
     assert [r["a"] for r in df.collect()] == [f"{base},ORG_ADMIN,X,ROLE_MEMBER,system:admin,kb:manage,user:manage", f"{base},ROLE_WORKSPACE_MEMBER"]
+
+
+def test_normalize_against_plain_python(spark):
+    """Texts with and without artefacts, at random; characters go without a lookup of each."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab \n\n\n\r\t\x07\x1c\x7f\u00a0\ufeff\u200b\u200d\ufffdé😀", k=rng.randrange(30))) for _ in range(400)] + ["plain", "", None, "a\n\n\n\nb"]
+
+    def plain(t, tabs):
+        t = re.sub("\r\n?", "\n", t.replace("\ufeff", "")).replace("\u00a0", " ")
+        t = re.sub("[\u200b\u200c\u200d\ufffd]", "", t.replace("\t", " ") if tabs else t)
+        return re.sub("\n{4,}", "\n\n\n", re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", t))
+
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.normalize(F.col("t")).alias("a"), X.normalize(F.col("t"), tabs=False).alias("b"), X.utf16_length(F.col("t")).alias("n"), X.blank(F.col("t")).alias("blank"))
+    for t, a, b, n, blank in d.collect():
+        assert (a, b, n) == ((None,) * 3 if t is None else (plain(t, True), plain(t, False), len(t.encode("utf-16-le")) // 2))
+        assert blank == (t is None or not t.strip(" \n\r\t\x1c"))
+    assert "translate" not in d._jdf.queryExecution().toString()
