@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.chunking import slices
+
 Embedder = Callable[[list[str]], np.ndarray]
 DIMENSIONS = 64
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -45,7 +47,7 @@ def embedded(df: DataFrame, text: str, embed: Embedder = hashed, out: str = "emb
         own += "_"
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, n)):
             m = np.ascontiguousarray(embed([t or "" for t in b.column(n).to_pylist()]), np.float32).reshape(b.num_rows, -1)
             at = pa.array(np.arange(0, m.size + 1, max(m.shape[1], 1), dtype=np.int32)[: b.num_rows + 1], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.ListArray.from_arrays(at, pa.array(m.ravel()))], names=[*cols, out])
