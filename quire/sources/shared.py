@@ -9,12 +9,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import closing, contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
@@ -67,6 +69,11 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text, None if there is no such file."""
     fs, p = _hadoop(spark, path)
@@ -139,3 +146,61 @@ def file_system(uri: str):
     if "://" not in uri:
         uri = "file://" + uri.removeprefix("file:")
     return fs.FileSystem.from_uri(uri)
+
+
+#: Files, and their bytes, that a task reads, and folders that one lists.
+FILES_A_TASK, BYTES_A_TASK, FOLDERS_A_TASK = 1000, 32 << 20, 16
+
+
+def _hidden(name: str) -> bool:
+    """Of files that Spark's readers leave out."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def listed(spark: SparkSession, path: str) -> tuple[DataFrame, Callable[[], Callable[[int, str], bytes]]]:
+    """Rows (path, size, root, at) of all files under ``path``, which may be a pattern, dealt to tasks by their number and bytes; and what
+    gives, in a task, a function from (root, at) to a file's bytes.
+
+    Tasks list the folders, level by level: the driver sees what the pattern matches, and numbers of files and folders. A folder is listed by one task."""
+    fs, p = _hadoop(spark, path)
+    found = list(fs.globStatus(p) or [])
+    if not found:
+        raise FileNotFoundError(path)
+    uris, names = [f.getPath().toUri().toASCIIString() for f in found], [f.getPath().toString() for f in found]
+
+    def opened() -> Callable[[int, str], bytes]:
+        at_root = [file_system(u) for u in uris]
+
+        def read(root: int, at: str) -> bytes:
+            own, base = at_root[root]
+            with own.open_input_stream(base + at) as f:
+                return f.read()
+
+        return read
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSelector, FileType
+
+        at_root = [file_system(u) for u in uris]
+        for b in batches:
+            for root, at in zip(b.column("root").to_pylist(), b.column("at").to_pylist()):
+                own, base = at_root[root]
+                inside = [x for x in own.get_file_info(FileSelector(base + at)) if not _hidden(x.base_name)]
+                for i in range(0, len(inside), 10_000):
+                    part = inside[i : i + 10_000]
+                    sizes = [None if x.type == FileType.Directory else x.size for x in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([root] * len(part), pa.int32()), pa.array([f"{at}/{x.base_name}" for x in part], pa.string()), pa.array(sizes, pa.int64())], names=["root", "at", "size"])
+
+    schema = "root int, at string, size long"
+    levels = [spark.createDataFrame([(i, "", None if f.isDirectory() else f.getLen()) for i, f in enumerate(found)], schema)]
+    while n := levels[-1].filter("size IS NULL").count():
+        folders = levels[-1].filter("size IS NULL").select("root", "at").repartition(-(-n // FOLDERS_A_TASK), "root", "at")
+        levels.append(written(folders.mapInArrow(level, schema), "listing"))
+    files = levels[0]
+    for one in levels[1:]:
+        files = files.unionByName(one)
+    files = files.filter("size IS NOT NULL")
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("root") + 1)
+    dealt = files.select(F.concat(name, "at").alias("path"), "size", "root", "at").repartition(max(1, -(-n // FILES_A_TASK) + size // BYTES_A_TASK), "path")
+    return dealt, opened
