@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import chunking
 from quire.functions import text as X
+from quire.sources import shared
 
 UPLOAD = T.StructType([T.StructField(n, T.StringType()) for n in ("fileId", "userId", "url", "mimeType", "originalName", "classification", "collectionId")])
 SYNC = "documentId string, title string, content string, chunks array<struct<chunkId:string,content:string,metadata:map<string,string>>>, metadata struct<collectionId:string,classification:string,uploadedBy:string,acl:array<map<string,string>>>"
@@ -30,18 +34,28 @@ def spread(df: DataFrame) -> DataFrame:
 def files(spark: SparkSession, path: str, extract=None) -> DataFrame:
     """Rows (path, size, text) of whole files. Text files are read as they are; for other formats give
     ``extract``, a function from bytes to a list of text parts, of which the blank ones are left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    if extract is None:
-        return raw.select("path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
+    listing, opened = shared.listed(spark, path)
 
-    def parts(batches):
-        import pyarrow as pa
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, held, size = opened(), [], 0
 
-        for b in batches:
-            found = [extract(c) for c in b.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array(found, pa.list_(pa.string()))], names=["path", "size", "parts"])
+        def given() -> pa.RecordBatch:
+            paths, sizes, found = zip(*held)
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary() if extract is None else pa.list_(pa.string()))], names=["path", "size", "found"])
 
-    return raw.select("path", "length", "content").mapInArrow(parts, "path string, size long, parts array<string>").select("path", "size", join_parts(F.col("parts")).alias("text"))
+        for b in batches:
+            for p, n, root, at in zip(*(b.column(c).to_pylist() for c in ("path", "size", "root", "at"))):
+                content = read(root, at)
+                held.append((p, n, content if extract is None else extract(content)))
+                size += len(content)
+                if size > 1 << 22 or len(held) >= 1000:
+                    yield given()
+                    held, size = [], 0
+        if held:
+            yield given()
+
+    found = listing.mapInArrow(whole, f"path string, size long, found {'binary' if extract is None else 'array<string>'}")
+    return found.select("path", "size", (F.decode("found", "UTF-8") if extract is None else join_parts(F.col("found"))).alias("text"))
 
 
 def join_parts(parts: Column, blank_line: bool = True) -> Column:
