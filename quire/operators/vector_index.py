@@ -1,11 +1,11 @@
 """An index of vectors: inverted lists with product-quantised codes, for nearest vectors by cosine.
 
-Unit vectors are dealt to the cells of trained centroids, and what a vector is off its centroid is written as one byte for each of a few subspaces. The
-codes, and the vectors themselves, are tables partitioned by cell. A search reads codes, which are a small part of the vectors' bytes, and then
-only the cells of vectors that it has to compare exactly.
+Unit vectors are dealt to the cells of trained centroids, and what a vector is off its centroid is written as one byte for each of a few subspaces; what
+that leaves, as one byte a number, which only a search without ``probes`` reads. The codes, and the vectors themselves, are tables partitioned by cell. A search
+reads codes, which are a small part of the vectors' bytes, and then only the cells of vectors that it has to compare exactly.
 
-Each code comes with its own error, so that a vector's similarity is known to lie between two bounds, and each cell with the widest angle to its
-centroid. ``search`` without ``probes`` leaves out only what these bounds exclude: its hits are those of ``search.top_k_batch``. With ``probes`` a query looks
+Each code comes with the error that its finer bytes leave, so that a vector's similarity is known to lie between two bounds, which are close enough to leave few
+vectors open, and each cell with the widest angle to its centroid. ``search`` without ``probes`` leaves out only what these bounds exclude: its hits are those of ``search.top_k_batch``. With ``probes`` a query looks
 at that many cells and compares the ``keep`` best by code exactly; ``tuned`` finds how many are needed for a recall, measured against
 brute force over the training sample.
 
@@ -31,6 +31,8 @@ from quire.sources.tables import MAX_IDS
 MAX_TRAIN, MAX_BYTES, MAX_CELLS = 16_384, 64 << 20, 4096
 #: Bounds are widened by this, for scores are rounded to six places.
 SLACK = 2e-6
+#: Numbers of a task's vectors that meet a block of queries at once.
+GROUP_NUMBERS = 1 << 21
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, unit: bool = False, rounds: int = 12) -> np.ndarray:
@@ -81,6 +83,13 @@ class Model:
     def decoded(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return self.centroids[cell] + np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], 1)
 
+    def finer(self, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the codes leave of unit vectors, as a byte a number and what one step of it is; and the errors of both."""
+        left = x - self.decoded(cell, codes)
+        step = np.maximum(np.abs(left).max(1, initial=0.0), 1e-12) / 127
+        fine = np.rint(left / step[:, None]).astype(np.int8)
+        return fine, step, np.linalg.norm(left - fine * step[:, None], axis=1)
+
     def most(self, q: np.ndarray) -> np.ndarray:
         """The greatest similarity that each query can have in each cell."""
         angle = np.arccos(np.clip(q @ self.centroids.T, -1, 1))
@@ -113,19 +122,20 @@ class VectorIndex:
             x = np.eye(1, dims)
         model = Model.fitted(x, cells or max(1, min(MAX_CELLS, round(total**0.5))), bytes_)
         id_type = v.schema["id"].dataType
-        schema = T.StructType([T.StructField("id", id_type), T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType()), T.StructField("code", T.BinaryType()), T.StructField("error", T.DoubleType()), T.StructField("angle", T.DoubleType())])
+        schema = T.StructType([T.StructField("id", id_type), T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType()), T.StructField("code", T.BinaryType()), T.StructField("fine", T.BinaryType()), T.StructField("step", T.DoubleType()), T.StructField("error", T.DoubleType()), T.StructField("angle", T.DoubleType())])
 
         def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 column = b.column("embedding")
                 x, at = search._matrix(column, dims)
-                cell, codes, error, angle = model.encoded(x)
+                cell, codes, _, angle = model.encoded(x)
+                fine, step, error = model.finer(x, cell, codes)
                 rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(rows), column.take(rows), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(angle)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(rows), column.take(rows), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([c.tobytes() for c in fine], pa.binary()), pa.array(step), pa.array(error), pa.array(angle)], names=schema.names)
 
         made = shared.written(v.filter(F.size("embedding") == dims).mapInArrow(assigned, schema), "assigned")
         dealt = made.hint("rebalance", "cell")  # a cell that holds much is split
-        dealt.select("id", "code", "error", "cell").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(f"{path}/codes")
+        dealt.select("id", "code", "fine", "step", "error", "cell").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(f"{path}/codes")
         dealt.select("id", "embedding", "cell").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(f"{path}/vectors")
         v.filter(F.size("embedding") != dims).write.parquet(f"{path}/others")
         widest = np.full(len(model.centroids), -1.0)
@@ -146,6 +156,7 @@ class VectorIndex:
         fields = [T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", codes.schema["id"].dataType), T.StructField("cell", T.IntegerType()), T.StructField("least", T.DoubleType()), T.StructField("most", T.DoubleType())]
         model, path = self.model, q._quire_path
         wanted = self._cells(q, threshold, probes)
+        codes = codes.select("id", "cell", "code", *(("fine", "step", "error") if probes is None else ()))
         found = codes.filter(F.col("cell").isin(wanted)).mapInArrow(lambda batches: _bounded(batches, model, path, k, threshold, probes, keep), T.StructType(fields))
         found = shared.written(found, "index-bounds")
         by_query = Window.partitionBy("query_id")
@@ -213,21 +224,27 @@ def _looked_at(model: Model, q: np.ndarray, threshold: float, probes: int | None
 
 def _bounded(batches: Iterator[pa.RecordBatch], model: Model, path: str, k: int, threshold: float, probes: int | None, keep: int) -> Iterator[pa.RecordBatch]:
     """Rows (query_id, id, cell, least, most) of the vectors of a task that may be hits: bounds of their similarity, or twice the
-    similarity by code if probed. A task holds one batch of codes and one block of queries."""
+    similarity by code if probed. A task holds one group of codes and one block of queries."""
     import pyarrow.parquet as pq
     from pyarrow.fs import FileSelector
 
     fs, base = shared.file_system(path)
     files = sorted(x.path for x in fs.get_file_info(FileSelector(base)) if x.base_name.endswith(".parquet"))
-    for b in batches:
-        cells = b.column("cell").to_numpy(zero_copy_only=False)
-        codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-        x, error = model.decoded(cells, codes), b.column("error").to_numpy(zero_copy_only=False) + SLACK
+    bytes_of = lambda t, name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind).reshape(t.num_rows, -1)
+
+    def bounded(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(group).combine_chunks()
+        ids, cell_of = t.column("id").chunk(0), t.column("cell").chunk(0)
+        cells = cell_of.to_numpy(zero_copy_only=False)
+        x, error = model.decoded(cells, bytes_of(t, "code", np.uint8)), 0.0
+        if probes is None:
+            x += bytes_of(t, "fine", np.int8) * t.column("step").to_numpy()[:, None]
+            error = t.column("error").to_numpy() + SLACK
         for file in files:
             with fs.open_input_file(file) as f:
                 for block in pq.ParquetFile(f).iter_batches(search.QUERY_BLOCK):
                     q, of = search._matrix(block.column("embedding"), model.dims)
-                    if not len(q) or not b.num_rows:
+                    if not len(q):
                         continue
                     rows, cols, least, most = [], [], [], []
                     for lo in range(0, len(q), 64):
@@ -246,4 +263,17 @@ def _bounded(batches: Iterator[pa.RecordBatch], model: Model, path: str, k: int,
                             least.append(low[at])
                             most.append(high[at])
                     at = pa.array(np.concatenate(cols))
-                    yield pa.RecordBatch.from_arrays([block.column("query_id").take(pa.array(np.concatenate(rows))), b.column("id").take(at), b.column("cell").take(at), pa.array(np.concatenate(least)), pa.array(np.concatenate(most))], names=["query_id", "id", "cell", "least", "most"])
+                    yield pa.RecordBatch.from_arrays([block.column("query_id").take(pa.array(np.concatenate(rows))), ids.take(at), cell_of.take(at), pa.array(np.concatenate(least)), pa.array(np.concatenate(most))], names=["query_id", "id", "cell", "least", "most"])
+
+    held, rows = [], 0
+    most_rows = max(1, GROUP_NUMBERS // max(model.dims, 1))
+    for b in batches:
+        while b.num_rows:
+            held.append(b.slice(0, most_rows - rows))
+            rows += held[-1].num_rows
+            b = b.slice(held[-1].num_rows)
+            if rows >= most_rows:
+                yield from bounded(held)
+                held, rows = [], 0
+    if held:
+        yield from bounded(held)

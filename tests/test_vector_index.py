@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pytest
 
-from quire.operators import search
+from quire.operators import search, vector_index
 from quire.operators.vector_index import Model, VectorIndex
+from quire.sources import shared
 
 SF = "/root/testdata/sf0.1"
 
@@ -90,3 +91,26 @@ def test_bounds_hold():
     s = x @ x.T
     assert (np.abs(s - x @ m.decoded(cell, codes).T) <= error + 1e-9).all()
     assert (s <= m.most(x)[:, cell] + 1e-9).all()
+
+
+def test_bounds_leave_few_vectors_open(spark):
+    """Without clusters too: what has to be compared exactly is a few vectors a query, not most."""
+    rng = np.random.default_rng(4)
+    v = frame(spark, rng.normal(size=(3000, 64)).astype(np.float32))
+    q = v.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+    index = VectorIndex.build(v)
+    taken, written = [], shared.written
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(shared, "written", lambda df, name, rows=None: taken.append((name, out := written(df, name, rows))) or out)
+        assert rows(index.search(q, 5, 0.2)) == rows(search.top_k_batch(v, q, 5, 0.2))
+    n = {name: df.count() for name, df in taken}
+    assert n["index-bounds"] < 30 * 60 and n["index-candidates"] < 30 * 12
+
+
+def test_groups_give_the_same_hits(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = frame(spark, rng.normal(size=(300, 8)))
+    q = v.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    index = VectorIndex.build(v, cells=7, bytes_=3)
+    monkeypatch.setattr(vector_index, "GROUP_NUMBERS", 8 * 13)
+    assert rows(index.search(q, 5, 0.1)) == rows(search.top_k_batch(v, q, 5, 0.1))
