@@ -1,13 +1,14 @@
 """Answers as they are streamed: tokens put in order, their end, their failure, and a sink that takes each micro-batch once.
 
 Pieces (stream_id, seq, kind, token, at_us) may come in any order and in any micro-batch; ``seq`` counts the pieces of a stream from 0, ``kind`` is token, end or
-error, ``at_us`` its time in microseconds. State is kept by stream: pieces wait in a map until their predecessor has come, what came out
-is a list, and timers end waiting: a gap is passed over after ``patience`` seconds, an answer that falls silent has failed after ``silence``. Time is
+error, ``at_us`` its time in microseconds. State is kept by stream: pieces wait in a map, in blocks of
+``BLOCK`` numbers, until their predecessor has come, what came out is a list, and timers end waiting: a gap is passed over after ``patience`` seconds, an answer that falls silent has failed after ``silence``. Time is
 that of arrival, which goes on as micro-batches come; so no piece is ever late, and a micro-batch that is run again does the same.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -22,6 +23,8 @@ PIECES = "stream_id long, seq int, kind string, token string, at_us long"
 OUT = "stream_id long, kind string, seq int, content string, failed boolean, asked_us long, answered_us long"
 #: Seconds for which an answer that has ended is remembered, so that pieces that come twice don't begin it anew.
 MEMORY = 24 * 3600
+#: Numbers of a stream's pieces that wait as one value: a call of the state for each block, and not for each piece.
+BLOCK = 256
 
 
 class Ordered(StatefulProcessor):
@@ -33,7 +36,7 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.head = handle.getValueState("head", "next int, begun boolean, asked_us long, answered_us long")
-        self.waiting = handle.getMapState("waiting", "seq int", "kind string, token string")
+        self.waiting = handle.getMapState("waiting", "block int", "pieces string")
         self.text = handle.getListState("text", "token string")
         self.ended = handle.getValueState("ended", "ended boolean")
 
@@ -56,44 +59,66 @@ class Ordered(StatefulProcessor):
             return
         now = expiredTimerInfo.getExpiryTimeInMs()
         at, begun, asked, answered = self.head.get()
-        seqs = [k[0] for k in self.waiting.keys()]
-        if seqs:  # what is missing has been waited for
-            yield from self._on(key, {}, (min(seqs), begun, asked, answered), now)
+        blocks = [k[0] for k in self.waiting.keys()]
+        if blocks:  # what is missing has been waited for
+            yield from self._on(key, {}, (min(self._block(min(blocks))), begun, asked, answered), now)
         else:
-            yield from self._over(key, at, True, asked, answered, now)
+            yield from self._over(key, at, True, asked, answered, now, [])
+
+    def _block(self, number: int) -> dict[int, tuple[str, str]]:
+        """The pieces of a block that wait."""
+        found = self.waiting.getValue((number,))
+        return {seq: (kind, token) for seq, kind, token in json.loads(found[0])} if found is not None else {}
 
     def _on(self, key, came: dict, head: tuple, now: int) -> Iterator[Row]:
         """Gives what is next, as far as it is there; the rest waits."""
         at, begun, asked, answered = head
-        fresh = []
-        while (piece := came.pop(at, None) or self.waiting.getValue((at,))) is not None:
-            self.waiting.removeKey((at,))
-            kind, token = piece
-            if kind != "token":
-                self.text.appendList([(t,) for t in fresh]) if fresh else None
-                yield from self._over(key, at, kind == "error", asked, answered, now)
-                return
-            if token and not begun and "{" in token:
-                begun, token = True, token[token.index("{") :]
-            if token and begun:
-                fresh.append(token)
-                yield Row(stream_id=key[0], kind="token", seq=at, content=token, failed=False, asked_us=None, answered_us=None)
-            at += 1
+        fresh, new = [], {}
+        for seq, piece in came.items():
+            new.setdefault(seq // BLOCK, {})[seq] = piece
+        waits = False
+        while True:
+            number = at // BLOCK
+            had = self._block(number)
+            here = had | new.pop(number, {})
+            while (piece := here.pop(at, None)) is not None:
+                kind, token = piece
+                if kind != "token":
+                    yield from self._over(key, at, kind == "error", asked, answered, now, fresh)
+                    return
+                if token and not begun and "{" in token:
+                    begun, token = True, token[token.index("{") :]
+                if token and begun:
+                    fresh.append(token)
+                    yield Row(stream_id=key[0], kind="token", seq=at, content=token, failed=False, asked_us=None, answered_us=None)
+                at += 1
+            if here:
+                waits = True
+                if here != had:
+                    self._wait(number, here)
+            elif had:
+                self.waiting.removeKey((number,))
+            if at // BLOCK == number:
+                break
         if fresh:
             self.text.appendList([(t,) for t in fresh])
-        for seq, piece in came.items():
-            self.waiting.updateValue((seq,), piece)
+        for number, pieces in new.items():
+            self._wait(number, self._block(number) | pieces)
         self.head.update((at, begun, asked, answered))
-        waits = self.patience if came or next(iter(self.waiting.keys()), None) is not None else self.silence
-        self._wake(now, waits)
+        waits = waits or bool(new) or next(iter(self.waiting.keys()), None) is not None
+        self._wake(now, self.patience if waits else self.silence)
+
+    def _wait(self, number: int, pieces: dict) -> None:
+        self.waiting.updateValue((number,), (json.dumps([(seq, *piece) for seq, piece in pieces.items()]),))
 
     def _wake(self, now: int, seconds: float) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(now + max(1, int(1000 * seconds)))
 
-    def _over(self, key, at: int, failed: bool, asked: int, answered: int, now: int) -> Iterator[Row]:
-        whole = "".join(t[0] for t in self.text.get()) if self.text.exists() else ""
+    def _over(self, key, at: int, failed: bool, asked: int, answered: int, now: int, fresh: list[str]) -> Iterator[Row]:
+        """The whole answer; fresh: its last tokens, which are not in the state."""
+        whole = "".join([*(t[0] for t in self.text.get()), *fresh]) if self.text.exists() else "".join(fresh)
         self._wake(now, MEMORY)
         for state in (self.head, self.waiting, self.text):
             state.clear()

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quire.sources.store import Log
@@ -96,3 +97,72 @@ def test_a_subscription_that_is_stopped_ends(spark, tmp_path, waits):
     s.stop()
     s.run()
     assert s.ended.is_set() and s.stream.isStreaming and spark.range(1).select(F.lit(1)).count() == 1
+
+
+class Counted:
+    """State in memory, of which calls are counted."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.list, self.timers = 0, None, {}, [], []
+
+    def getValueState(self, name, schema):
+        return self if name == "head" else Counted()
+
+    def getMapState(self, name, *schemas):
+        self.waiting = Counted()
+        return self.waiting
+
+    def getListState(self, name, schema):
+        return Counted()
+
+    def exists(self):
+        return self.value is not None or bool(self.list)
+
+    def get(self):
+        return self.value if self.value is not None else iter(self.list)
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value, self.map, self.list = None, {}, []
+
+    def appendList(self, rows):
+        self.list += rows
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.map.pop(key, None)
+
+    def keys(self):
+        self.calls += 1
+        return iter(list(self.map))
+
+    def listTimers(self):
+        return self.timers
+
+    def deleteTimer(self, t):
+        pass
+
+    def registerTimer(self, t):
+        pass
+
+
+def test_pieces_wait_in_blocks():
+    """The calls of the state are by blocks of pieces, not by pieces, whatever order these come in."""
+    n = 3000
+    pieces = [Row(stream_id=1, seq=i, kind="token" if i < n else "end", token=f"{{{i}" if i % 7 else "", at_us=i, now_ms=5) for i in range(n + 1)]
+    random.Random(1).shuffle(pieces)
+    p, state = live.Ordered(60, 600), Counted()
+    p.init(state)
+    out = [r for half in (pieces[: n // 2], pieces[n // 2 :]) for r in p.handleInputRows((1,), iter(half), None)]
+    assert out[-1].kind == "message" and out[-1].content == "".join(f"{{{i}" for i in range(n) if i % 7) and [r.seq for r in out] == [i for i in range(n) if i % 7] + [n]
+    assert state.waiting.calls < 8 * (n // live.BLOCK + 1) and not state.waiting.map
