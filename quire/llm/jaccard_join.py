@@ -3,8 +3,9 @@
 1. Equal sets are one: each document gets the hash of its set.
 2. A set can only link if at least t |x| of its shingles are in another set too. All shingles are dealt out by hash
    once, counted over distinct sets, and for each set the shared ones are summed. The sets that pass are active.
-3. Candidate groups. Two sets that link share one of the first |x| - ceil(t |x|) + 1 shingles of each, in the order of
-   their hashes. Active sets with such a shingle in common and sizes within t of each other, directly
+3. Candidate groups. Two sets that link share one of the first |x| - ceil(t |x|) + 1 shingles of each, in any one order of all
+   shingles. Here those that the fewest active sets have come first, then hashes decide: so chance shingles, which get the more common the
+   larger the corpus, don't connect all of it. Active sets with such a shingle in common and sizes within t of each other, directly
    or over further ones, form a group.
 4. Within a group a signature tree holds in each node the OR of its sets' token bitmaps, their size range and slack
    (size less bits set). Two nodes traverse together, and are left when their greatest possible overlap is
@@ -34,6 +35,9 @@ from quire.llm.shingles import set_id, sets
 LEAF, FANOUT, CHUNK = 16, 8, 256
 #: Shingles of the sets in a task, of a bucket, of a shuffle partition of buckets, and of what a task deals out at once.
 TASK_SHINGLES, BUCKET_SHINGLES, PARTITION_SHINGLES, FLUSH_SHINGLES = 4_000_000, 1 << 21, 1 << 24, 1 << 19
+#: Of active sets, whose number is known, a partition has fewer, as work on them is large next to moving them.
+ACTIVE_SHINGLES = 1 << 20
+POSTING, RARITY = np.dtype([("g", "<u4"), ("sid", "<i8"), ("n", "<u4")]), np.dtype([("df", "<u4"), ("g", "<u8")])
 BROADCAST_ROWS, SEEN, SUMS, MAP_BITS, CACHE_BYTES = 100_000, 200_000, 1 << 19, 1 << 14, 1 << 24
 #: Bits of the bitmap of active sets' keys, of which each worker holds one (8 MB).
 KEY_BITS = 1 << 26
@@ -232,11 +236,41 @@ def _dealt(df: DataFrame, buckets: int, shingles: int) -> DataFrame:
     return df.repartition(max(12, min(buckets, -(-shingles // PARTITION_SHINGLES), 100_000)), "bucket").sortWithinPartitions("bucket")
 
 
+def _packed(found: Iterator[tuple[int, np.ndarray]], buckets: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, rows) of (set id, shingles): a bucket gets, packed, each set's id, its number of shingles there and their low bits."""
+    for ids, own in _flushed(found, FLUSH_SHINGLES):
+        g, sid = np.concatenate(own), np.array(ids, np.int64)
+        of = np.repeat(np.arange(len(own), dtype=np.int32), [len(s) for s in own])
+        where = ((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        g, of, where = g.astype(kind)[order], of[order], where[order]
+        at = np.append(np.flatnonzero(np.r_[True, where[1:] != where[:-1]]), len(where))
+        blobs = []
+        for p, q in zip(at[:-1], at[1:]):
+            x = of[p:q]
+            edge = np.append(np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x))
+            blobs.append(b"".join([len(edge[1:]).to_bytes(4, "little"), sid[x[edge[:-1]]].tobytes(), np.diff(edge).astype("<u4").tobytes(), g[p:q].tobytes()]))
+        yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+
+
+def _unpacked(held: list, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set ids, shingles of each, shingles) of a bucket."""
+    sids, counts, grams = [], [], []
+    for x in held:
+        m = int.from_bytes(bytes(x[:4]), "little")
+        sids.append(np.frombuffer(x, "<i8", m, 4))
+        counts.append(np.frombuffer(x, "<u4", m, 4 + 8 * m))
+        grams.append(np.frombuffer(x, kind, -1, 4 + 12 * m))
+    sid, count, g = np.concatenate(sids), np.concatenate(counts), np.concatenate(grams)
+    first = np.zeros(len(sid), bool)  # copies met in other tasks count once
+    first[np.unique(sid, return_index=True)[1]] = True
+    return sid[first], count[first], g[np.repeat(first, count)]
+
+
 def _shared_counts(docs: DataFrame, n: int, total: int, text_col: str) -> DataFrame:
     """Rows (sid, shared): of each set, how many shingles another set has too, never too few. total: shingles of all sets.
 
-    A bucket gets, packed, each set's id, its number of shingles there and their low 32 bits. What is held at once is bounded by
-    shingles, on either side of the shuffle.
+    What is held at once is bounded by shingles, on either side of the shuffle.
     """
     buckets = max(12, -(-total // BUCKET_SHINGLES))
 
@@ -253,31 +287,10 @@ def _shared_counts(docs: DataFrame, n: int, total: int, text_col: str) -> DataFr
                         seen.add(i)
                         yield i, s
 
-        for ids, own in _flushed(new(), FLUSH_SHINGLES):
-            g, sid = np.concatenate(own), np.array(ids, np.int64)
-            of = np.repeat(np.arange(len(own), dtype=np.int32), [len(s) for s in own])
-            where = ((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            g, of, where = g.astype("<u4")[order], of[order], where[order]
-            at = np.append(np.flatnonzero(np.r_[True, where[1:] != where[:-1]]), len(where))
-            blobs = []
-            for p, q in zip(at[:-1], at[1:]):
-                x = of[p:q]
-                edge = np.append(np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x))
-                blobs.append(b"".join([len(edge[1:]).to_bytes(4, "little"), sid[x[edge[:-1]]].tobytes(), np.diff(edge).astype("<u4").tobytes(), g[p:q].tobytes()]))
-            yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+        yield from _packed(new(), buckets, "<u4")
 
     def counted(held: list) -> tuple[np.ndarray, np.ndarray]:
-        sids, counts, grams = [], [], []
-        for x in held:
-            m = int.from_bytes(bytes(x[:4]), "little")
-            sids.append(np.frombuffer(x, "<i8", m, 4))
-            counts.append(np.frombuffer(x, "<u4", m, 4 + 8 * m))
-            grams.append(np.frombuffer(x, "<u4", -1, 4 + 12 * m))
-        sid, count, g = np.concatenate(sids), np.concatenate(counts), np.concatenate(grams)
-        first = np.zeros(len(sid), bool)  # copies met in other tasks count once
-        first[np.unique(sid, return_index=True)[1]] = True
-        g, sid, count = g[np.repeat(first, count)], sid[first], count[first]
+        sid, count, g = _unpacked(held, "<u4")
         order = np.argsort(g, kind="stable")
         s = g[order]
         same = s[1:] == s[:-1]
@@ -331,31 +344,78 @@ def _by_bucket(each):
     return run
 
 
-def _candidates(docs: DataFrame, n: int, num: int, total: int) -> DataFrame:
-    """Edges (a, b) between set ids of (sid, _text) that connect the candidate groups. total: shingles in all prefixes, about."""
-    buckets = max(12, -(-total // BUCKET_SHINGLES))
-    posting = np.dtype([("g", "<u4"), ("sid", "<i8"), ("n", "<u4")])
+def _rarity(held: list) -> pa.RecordBatch:
+    """Of each set of a bucket (sid, alone, rows): how many of its shingles there no other set has, and the others with how many sets have them."""
+    sid, count, g = _unpacked(held, "<u8")
+    order = np.argsort(g, kind="stable")
+    s = g[order]
+    at = np.append(np.flatnonzero(np.r_[True, s[1:] != s[:-1]]), len(s))
+    rows = np.empty(len(g), RARITY)
+    rows["g"], rows["df"][order] = g, np.repeat(np.diff(at), np.diff(at))
+    more = rows["df"] > 1
+    kept = np.bincount(np.repeat(np.arange(len(sid)), count)[more], minlength=len(sid))
+    ends = np.r_[0, np.cumsum(kept) * RARITY.itemsize].astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(sid), [None, pa.py_buffer(ends), pa.py_buffer(rows[more].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(count.astype(np.int64) - kept), packed], names=["sid", "alone", "rows"])
+
+
+def _firsts(sid: np.ndarray, alone: np.ndarray, size: np.ndarray, rows: np.ndarray, num: int) -> np.ndarray:
+    """Postings of the first shingles of whole sets, the rarest first. A set's rows, of ``size`` shingles each, stand together."""
+    at = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
+    ids, alone, size = sid[at], np.add.reduceat(alone, at), np.add.reduceat(size, at)
+    n = alone + size
+    left = prefix_length(n, num) - alone  # shingles of one set are the rarest, and connect nothing
+    of = np.repeat(np.arange(len(ids)), size)
+    order = np.lexsort((rows["g"], rows["df"], of))
+    ok = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) < left[of]
+    out = np.empty(int(ok.sum()), POSTING)
+    out["g"], out["sid"], out["n"] = (rows["g"][order][ok] & np.uint64(0xFFFFFFFF)).astype(np.uint32), ids[of[ok]], n[of[ok]]
+    return out
+
+
+def _candidates(docs: DataFrame, n: int, num: int, shingles: int, total: int) -> DataFrame:
+    """Edges (a, b) between set ids of (sid, _text) that connect the candidate groups. shingles: of all these sets; total: in all prefixes, about."""
+    buckets, dealt_to = max(12, -(-total // BUCKET_SHINGLES)), max(12, -(-shingles // BUCKET_SHINGLES))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def heads() -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def own() -> Iterator[tuple[int, np.ndarray]]:
             for b in batches:
                 for i, s in zip(b.column("sid").to_pylist(), sets(b.column("_text"), n)):
                     if i == set_id(s):  # else another text with the same document id
-                        yield (i, len(s)), s[: prefix_length(len(s), num)]
-
-        for ids, own in _flushed(heads(), FLUSH_SHINGLES // 4):
-            size, g = [len(x) for x in own], np.concatenate(own)
-            rows = np.empty(len(g), posting)
-            rows["g"], rows["sid"], rows["n"] = (g & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.repeat(np.array([i for i, _ in ids], np.int64), size), np.repeat([k for _, k in ids], size)
-            # the hashes are the smallest of a set, so their high bits don't spread
-            w = (g % np.uint64(0xFFFFFFFB) % np.uint64(buckets)).astype(np.int64)
+                        yield i, s
+
+        yield from _packed(own(), dealt_to, "<u8")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole() -> Iterator[tuple]:
+            """Rows of whole sets, as far as they have come."""
+            held: tuple = ()
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                blob = b.column("rows").cast(pa.large_binary())
+                ends = np.frombuffer(blob.buffers()[1], np.int64)[blob.offset : blob.offset + len(blob) + 1]
+                rows = np.frombuffer(blob.buffers()[2], RARITY, int(ends[-1] - ends[0]) // RARITY.itemsize, int(ends[0])) if ends[-1] > ends[0] else np.empty(0, RARITY)
+                own = (b.column("sid").to_numpy(), b.column("alone").to_numpy(), np.diff(ends) // RARITY.itemsize, rows)
+                own = tuple(map(np.concatenate, zip(held, own))) if held else own
+                cut = int(np.searchsorted(own[0], own[0][-1]))
+                edge = int(own[2][:cut].sum())
+                if cut:
+                    yield own[0][:cut], own[1][:cut], own[2][:cut], own[3][:edge]
+                held = own[0][cut:], own[1][cut:], own[2][cut:], own[3][edge:].copy()
+            if held:
+                yield held
+
+        for own in whole():
+            rows = _firsts(*own, num)
+            w = rows["g"].astype(np.int64) % 0xFFFFFFFB % buckets
             order = np.argsort(w, kind="stable")
             rows, w = rows[order], w[order]
-            at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array([x.tobytes() for x in np.split(rows, at[1:])], pa.binary())], names=["bucket", "rows"])
+            at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else w
+            yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array([x.tobytes() for x in np.split(rows, at[1:])][: len(at)], pa.binary())], names=["bucket", "rows"])
 
     def edges(held: list[bytes]) -> pa.RecordBatch:
-        r = np.frombuffer(b"".join(held), posting)
+        r = np.frombuffer(b"".join(held), POSTING)
         r = r[np.lexsort((r["sid"], r["n"], r["g"]))]
         a, b = r[:-1], r[1:]
         ok = (a["g"] == b["g"]) & (a["sid"] != b["sid"]) & (100 * a["n"].astype(np.int64) >= num * b["n"].astype(np.int64))
@@ -375,10 +435,17 @@ def _candidates(docs: DataFrame, n: int, num: int, total: int) -> DataFrame:
         e = [(x, find(x)) for x in list(root) if find(x) != x]
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], names=["a", "b"])
 
-    return _dealt(docs.select("sid", "_text").mapInArrow(prefixes, "bucket long, rows binary"), buckets, total).mapInArrow(_by_bucket(edges), "a long, b long")
+    rare = _dealt(docs.select("sid", "_text").mapInArrow(dealt, "bucket long, rows binary"), dealt_to, shingles).mapInArrow(_by_bucket(_rarity), "sid long, alone long, rows binary")
+    rare = rare.repartition(_parts(shingles), "sid").sortWithinPartitions("sid")
+    return _dealt(rare.mapInArrow(prefixes, "bucket long, rows binary"), buckets, total).mapInArrow(_by_bucket(edges), "a long, b long")
+
+
+def _parts(shingles: int) -> int:
+    """Partitions of active sets."""
+    return max(12, min(-(-shingles // ACTIVE_SHINGLES), 10_000))
 
 
-def _within(rows: DataFrame, n: int, num: int) -> DataFrame:
+def _within(rows: DataFrame, n: int, num: int, parts: int) -> DataFrame:
     """Edges (a, b), a set and the first of its component, found in the groups of rows (comp, i, j, sid, _text)."""
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,10 +474,10 @@ def _within(rows: DataFrame, n: int, num: int) -> DataFrame:
         close()
         yield batch()
 
-    return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(trees, "a long, b long")
+    return rows.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(trees, "a long, b long")
 
 
-def _all_within(rows: DataFrame, n: int, num: int, each: bool) -> DataFrame:
+def _all_within(rows: DataFrame, n: int, num: int, parts: int, each: bool) -> DataFrame:
     """Of every link in the groups of rows (comp, i, j, own, sid, _text): with ``each`` rows (a, b, common), one a link; else
     rows (a, b, n): a set, the first of its component in the task, and how many links of it are counted there.
 
@@ -462,7 +529,7 @@ def _all_within(rows: DataFrame, n: int, num: int, each: bool) -> DataFrame:
                     held[sid], blocks[sid] = s, own
         yield from close()
 
-    return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(trees, ", ".join(f"{x} long" for x in names))
+    return rows.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(trees, ", ".join(f"{x} long" for x in names))
 
 
 def _joined(ids: DataFrame, reps: DataFrame, links: DataFrame, split: bool, n: int) -> DataFrame:
@@ -513,20 +580,20 @@ def _sieved(d: DataFrame, active: DataFrame) -> DataFrame:
     return d.withColumn("h", F.xxhash64("_dk")).mapInArrow(rows, schema)
 
 
-def _grouped(docs: DataFrame, n: int, num: int, key: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, bool, int]:
+def _grouped(docs: DataFrame, n: int, num: int, key: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, bool, int, int]:
     """(rows of ``docs`` with their sets' ids, sets with their smallest keys, the texts of the candidate groups by task, whether
-    a group has several tasks, how many sets can link)."""
+    a group has several tasks, how many sets can link, in how many partitions they are compared)."""
     ids = shared.written(_set_rows(docs, n, key, text_col), "sets")
     reps = shared.written(ids.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("_k").alias("rep"), F.first("n").alias("n")), "reps", rows=ids.count())
     total, n_sets = reps.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     active = _shared_counts(docs, n, total, text_col).join(reps, "sid").filter(f"100 * shared >= {num} * n")
     active = shared.written(active.select("sid", F.col("rep").alias("_k"), F.col("n").alias("_n")), "active", rows=n_sets)
-    n_active, prefixes = active.agg(F.count("*"), F.coalesce(F.sum(F.expr(f"_n * {100 - num} div 100 + 1")), F.lit(0))).first()
+    n_active, shingles, prefixes = active.agg(F.count("*"), *(F.coalesce(F.sum(F.expr(x)), F.lit(0)) for x in ("_n", f"_n * {100 - num} div 100 + 1"))).first()
     d = docs.select(F.col(key).alias("_dk"), F.col(text_col).alias("_text"))
     d = d if n_active <= BROADCAST_ROWS else _sieved(d, active)
     a = _small(active, n_active)
     texts = shared.written(d.join(a, d["_dk"].eqNullSafe(a["_k"])).select("sid", "_n", "_text"), "active-texts")
-    groups = shared.written(components(_candidates(texts, n, num, prefixes), rows=prefixes), "groups", rows=n_active)
+    groups = shared.written(components(_candidates(texts, n, num, shingles, prefixes), rows=prefixes), "groups", rows=n_active)
     sized = groups.join(active, groups["node"] == active["sid"]).groupBy(F.col("root").alias("comp")).agg(F.expr(f"cast(ceil(sum(_n) / {TASK_SHINGLES}) as int)").alias("blocks"))
     cut = shared.written(groups.join(sized, groups["root"] == sized["comp"]).select("node", "comp", "blocks"), "tasks", rows=n_active)
     split = bool(cut.filter("blocks > 1").limit(1).count())
@@ -535,7 +602,7 @@ def _grouped(docs: DataFrame, n: int, num: int, key: str, text_col: str) -> tupl
     cut = cut.select("node", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     cut = cut.hint("merge") if split else _small(cut, n_active)  # as many rows as sets times blocks, which Spark takes for few
     rows = texts.join(cut, texts["sid"] == cut["node"]).select("comp", "i", "j", "own", "sid", "_text")
-    return ids, reps, rows, split, n_active
+    return ids, reps, rows, split, n_active, _parts(shingles)
 
 
 def classes(docs: DataFrame, n: int = 5, num: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -546,8 +613,8 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, key: str = "doc_id", tex
     key. Rows with equal ids are rows of their own. Keys that are null don't count for the smallest
     unless there are no others.
     """
-    ids, reps, rows, split, n_active = _grouped(docs, n, num, key, text_col)
-    of_set = _joined(ids, reps, shared.written(_within(rows, n, num), "links"), split, n_active)
+    ids, reps, rows, split, n_active, parts = _grouped(docs, n, num, key, text_col)
+    of_set = _joined(ids, reps, shared.written(_within(rows, n, num, parts), "links"), split, n_active)
     of_set = _small(of_set, n_active)
     of_set = reps.join(of_set, "sid", "left").select("sid", F.coalesce("least", "rep").alias("least"))
     return ids.join(of_set, "sid", "left").select(F.col("_k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "_k").alias("component_id"), F.col("th").alias("text_hash"))
@@ -559,8 +626,8 @@ def links(docs: DataFrame, n: int = 4, num: int = 85, key: str = "doc_id", text_
     n_equal is how many other rows have an equal set, n_links how many different sets the row's set links to, each
     counted once, whether or not they are connected otherwise. A row without words has set_id null and 0 of both.
     """
-    ids, reps, rows, split, n_active = _grouped(docs, n, num, key, text_col)
-    found = shared.written(_all_within(rows, n, num, False), "links")
+    ids, reps, rows, split, n_active, parts = _grouped(docs, n, num, key, text_col)
+    found = shared.written(_all_within(rows, n, num, parts, False), "links")
     of_set = _joined(ids, reps, found.filter("a != b").select("a", "b"), split, n_active)
     of_set = reps.join(of_set, "sid", "left").select("sid", F.coalesce("least", "rep").alias("least"))
     equal = ids.filter("sid IS NOT NULL").groupBy("sid").agg((F.count("*") - 1).alias("n_equal"))
@@ -575,8 +642,8 @@ def links(docs: DataFrame, n: int = 4, num: int = 85, key: str = "doc_id", text_
 def pairs(docs: DataFrame, n: int = 4, num: int = 85, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (a, b, set_a, set_b, common): every link between two different sets once, by the smallest keys and the ids of
     the sets, with their shingles in common. ``links`` has the set_id of each row. As many rows as there are links."""
-    _, reps, rows, *_ = _grouped(docs, n, num, key, text_col)
-    p = _all_within(rows, n, num, True).select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"), "common")
+    _, reps, rows, *_, parts = _grouped(docs, n, num, key, text_col)
+    p = _all_within(rows, n, num, parts, True).select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"), "common")
     x, y = (reps.select(F.col("sid").alias(f"set_{c}"), F.col("rep").alias(c)) for c in "ab")
     return p.join(x, "set_a").join(y, "set_b").select("a", "b", "set_a", "set_b", "common")
 

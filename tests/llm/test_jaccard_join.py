@@ -49,6 +49,21 @@ def test_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute.components(rows)
 
 
+def test_common_shingles_connect_nothing(spark):
+    """Pairs of near copies stay groups of their own, however many passages that are found everywhere each of them holds."""
+    passages = [" ".join(f"p{k}_{i}" for i in range(12)) for k in range(8)]
+    rows = []
+    for pair in range(60):
+        own = [f"o{pair}_{i}" for i in range(60)]
+        for last in ("x", "y"):
+            rows.append((len(rows), " ".join([*own, last, *passages])))
+    d = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(4)
+    tasks = jaccard_join._grouped(d, 4, 85, "doc_id", "text")
+    sizes = [r["count"] for r in tasks[2].groupBy("comp").count().collect()]
+    assert sizes == [2] * 60
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.report(d).collect()} == brute.components(rows)
+
+
 def test_nothing_broadcast(spark, monkeypatch):
     """Beyond a bound, sets that can link go through no broadcast, and few other texts are moved for their join."""
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
