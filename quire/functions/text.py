@@ -5,6 +5,8 @@ All are built-in functions; none leaves the JVM. Lengths count UTF-16 units, as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,8 +86,14 @@ def starts_with_connector(line: Column) -> Column:
     return F.lower(F.substring(line, 1, 20)).rlike(rf"\A(?:{'|'.join(CONNECTORS)}) ")
 
 
-def heading(line: Column) -> Column:
-    """struct(title, level) of a heading line, else null. Rules in order; the first that holds decides."""
+def upper_each(c: Column) -> Column:
+    """Upper case character by character, none becoming several: ß becomes ẞ, and what has no single upper case (ŉ, ﬁ) stays."""
+    each = lambda x: F.when(x == "ß", F.lit("ẞ")).when(F.length(F.upper(x)) > 1, x).otherwise(F.upper(x))
+    return F.when(F.length(F.upper(c)) == F.length(c), F.upper(c)).otherwise(F.array_join(F.transform(F.split(c, ""), each), ""))
+
+
+def heading(line: Column, units: Callable[[Column], Column] = utf16_length) -> Column:
+    """struct(title, level) of a heading line, else null. Rules in order; the first that holds decides. units: what a line's length is."""
     out = lambda title, level: F.struct(title.alias("title"), level.cast("int").alias("level"))
 
     def legal(pattern: str) -> Column:
@@ -100,7 +108,7 @@ def heading(line: Column) -> Column:
     commas = F.length(F.regexp_replace(rest, "[^,]", ""))
     numbered = line.rlike(whole(NUMBERED)) & ~rest.endswith(".") & (commas <= 2)
     return (
-        F.when(((line >= "a") & (line < "{")) | blank(line) | (utf16_length(line) > 200), F.lit(None))  # none begins with a to z
+        F.when(((line >= "a") & (line < "{")) | blank(line) | (units(line) > 200), F.lit(None))  # none begins with a to z
         .when(line.rlike(whole(MARKDOWN)), out(trim_controls(F.regexp_extract(line, MARKDOWN, 2)), F.length(F.regexp_extract(line, MARKDOWN, 1))))
         .when(line.rlike(whole(LEGAL_VI)), out(trim_controls(line), legal(LEGAL_VI)))
         .when(line.rlike(whole(LEGAL_EN)), out(trim_controls(line), legal(LEGAL_EN)))
