@@ -143,15 +143,15 @@ def reconstruct(text: Column) -> Column:
     return F.when(blank(text), F.lit("")).otherwise(trim_controls(joined))
 
 
-def tokens_by_ratio(c: Column) -> Column:
+def tokens_by_ratio(c: Column, units: Callable[[Column], Column] = utf16_length) -> Column:
     """ceil(units / 3.8), at least 1; 0 for null and empty."""
-    n = utf16_length(c)
+    n = units(c)
     return F.when(F.coalesce(n, F.lit(0)) == 0, 0).otherwise(F.ceil(n / F.lit(CHARS_PER_TOKEN))).cast("int")
 
 
-def tokens_by_quarter(c: Column, up: bool = True) -> Column:
+def tokens_by_quarter(c: Column, up: bool = True, units: Callable[[Column], Column] = utf16_length) -> Column:
     """A quarter of the units, rounded up or down, at least 1; 0 for null and empty."""
-    n = utf16_length(c)
+    n = units(c)
     quarter = F.ceil(n / F.lit(4.0)) if up else F.floor(n / F.lit(4.0))
     return F.when(F.coalesce(n, F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), quarter)).cast("int")
 

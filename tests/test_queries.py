@@ -66,7 +66,7 @@ assert set(e.queries()) == set(kb.QUERIES) and set(e.oracle_sql()) == set(kb.ORA
 ODD = [None, "", " ", "\n", "a\n\nb", "\n\nc", "x \U0001f600 y", "\U0001f600" * 7, "a" * 199 + "\U0001f600", "STRAßE DER", "Größe\nMaße ŉ", "﻿mark", "no break　", " x ", "a b \u0085", "bell\x07 \x0c \x0b", "\x0b", "_x0007_ _x005F_x0007_ _x0041_", "c\r\nd\te ", "&lt;b&gt; <i>"]
 
 
-@pytest.mark.parametrize("name", ["extracted_files", "heading_detect"])
+@pytest.mark.parametrize("name", ["extracted_files", "heading_detect", "token_estimates"])
 def test_odd_texts(spark, tmp_path, name):
     """Null, empty and blank texts, empty lines, and characters beyond the tables' give what SQL gives."""
     d = spark.createDataFrame([(k * len(ODD) * 8 + i * 8 + k, t) for k in range(8) for i, t in enumerate(ODD)], "doc_id long, text string")
